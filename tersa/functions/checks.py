@@ -1,22 +1,23 @@
 """Identifier checks as staged projections.
 
-A check is a list of stages. Each stage is a dict of new columns computed from
-the columns of the stage before, so a cleaned value is computed once and then
-referenced, not copied into every branch of every CASE. ``apply_checks`` merges
-stage *k* of all fields into one projection: five fields cost five projections
-in total, all inside the same whole-stage pipeline.
-
-The last stage leaves ``<p>_norm`` and ``<p>_rule``; message, severity and
-confidence follow from the rule.
+A check is a list of stages. Each stage is a dict of new columns (SQL text)
+computed from the columns of the stage before, so a cleaned value is computed
+once and then referenced, not copied into every branch of every CASE.
+``apply_checks`` merges stage *k* of all fields into one projection, and all of
+them run inside the same whole-stage pipeline.
+
+The stages leave ``__<kind>_rule``, ``_norm`` (canonical text or null) and
+``_detail`` (message of a failing value); severity and confidence follow from
+the rule.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from . import fixed
-from .text import SPACES, text_value
+from .sql import any_of, case, ident, lookup, pinned, quote, select, staged
+from .text import SPACES, cell_text, is_float, strip, text_of_stripped, text_value
 
 _MISSING = {
     "email": "Email vacío.",
@@ -25,161 +26,135 @@ _MISSING = {
     "iban": "IBAN vacío.",
     "postal_code": "Código postal vacío.",
 }
-_CONFIDENCE = {
+CONFIDENCE = {
     "email.typo": 0.85,
     "email.disposable": 0.95,
     "postal_code.lost_zero": 0.9,
     "iban.ok_unknown_country": 0.8,
 }
-WARNINGS = tuple(_CONFIDENCE)
 PASSING = (
     "email.ok", "phone.ok", "tax_id.nif", "tax_id.nie", "tax_id.cif",
     "iban.ok", "iban.ok_unknown_country", "postal_code.ok",
 )
 
 
-def _map(col: Column, table: dict[str, object], default=None) -> Column:
-    expr = F
-    for key, value in table.items():
-        expr = expr.when(col == key, F.lit(value))
-    return expr if default is None else expr.otherwise(default)
-
-
-def _int(col: Column) -> Column:
-    return col.try_cast("bigint")
+def _rest(text: str, start: int) -> str:
+    return f"substring({text}, {start})"
 
 
 # --- tax ids ---------------------------------------------------------------
 
-def _nif_letter(number: Column) -> Column:
-    return F.substring(F.lit(fixed.NIF_LETTERS), (number % 23).cast("int") + 1, F.lit(1))
-
-
-def clean_id(text: Column) -> Column:
-    joined = F.translate(F.upper(text), "-._/" + SPACES, "")
-    country_prefix = joined.startswith("ES") & (F.length(joined) > 9)
-    return F.when(country_prefix, F.substring(joined, F.lit(3), F.length(joined))).otherwise(joined)
+def clean_id(text: str) -> str:
+    joined = f"translate(upper({text}), {quote('-._/' + SPACES)}, '')"
+    return case(
+        (f"startswith({joined}, 'ES') AND length({joined}) > 9", _rest(joined, 3)),
+        default=joined)
 
 
-def _tax_id(p: str) -> list[dict[str, Column]]:
-    c, kind = F.col(f"{p}_c"), F.col(f"{p}_kind")
-    nif = F.col(f"{p}_c").rlike("^[0-9]{8}[A-Z]$")
-    nie = F.col(f"{p}_c").rlike("^[XYZ][0-9]{7}[A-Z]$")
-    cif = F.col(f"{p}_c").rlike(f"^[{fixed.CIF_ENTITY_LETTERS}][0-9]{{7}}[0-9A-J]$")
-
+def _tax_id(p: str) -> list[dict[str, str]]:
+    c, kind, digit, expected = f"{p}_c", f"{p}_kind", f"{p}_digit", f"{p}_letter"
     # Digits 1, 3, 5, 7 are doubled and their figures added; the rest count once.
-    total = F.lit(0)
+    terms = []
     for pos in range(1, 8):
-        digit = F.substring(c, pos + 1, 1).try_cast("int")
-        total = total + (
-            F.when(digit < 5, digit * 2).otherwise(digit * 2 - 9) if pos % 2 else digit
-        )
-    number = F.when(kind == "nie", F.translate(F.substring(c, 1, 8), "XYZ", "012"))
-    number = _int(number.otherwise(F.substring(c, 1, 8)))
-    digit = F.col(f"{p}_digit")
-    control = F.substring(c, 9, 1)
-    entity = F.substring(c, 1, 1)
-    letter = F.substring(F.lit(fixed.CIF_CONTROL_LETTERS), digit + 1, F.lit(1))
-    by_digit, by_letter = control == digit.cast("string"), control == letter
-    cif_ok = (
-        F.when(entity.isin(*fixed.CIF_DIGIT_CONTROL), by_digit)
-        .when(entity.isin(*fixed.CIF_LETTER_CONTROL), by_letter)
-        .otherwise(by_digit | by_letter)
-    )
-    expected = F.col(f"{p}_letter")
+        d = f"try_cast(substring({c}, {pos + 1}, 1) AS INT)"
+        terms.append(f"({d} * 2 - CASE WHEN {d} > 4 THEN 9 ELSE 0 END)" if pos % 2 else d)
+    number = (
+        f"try_cast(CASE {kind} WHEN 'nie' THEN translate(substring({c}, 1, 8), 'XYZ', '012') "
+        f"ELSE substring({c}, 1, 8) END AS BIGINT)")
+    control, entity = f"substring({c}, 9, 1)", f"substring({c}, 1, 1)"
+    letter = f"substring('{fixed.CIF_CONTROL_LETTERS}', {digit} + 1, 1)"
+    by_digit, by_letter = f"{control} = CAST({digit} AS STRING)", f"{control} = {letter}"
+    cif_ok = case(
+        (any_of(entity, fixed.CIF_DIGIT_CONTROL), by_digit),
+        (any_of(entity, fixed.CIF_LETTER_CONTROL), by_letter),
+        default=f"({by_digit} OR {by_letter})")
     return [
-        {f"{p}_c": clean_id(F.col(f"{p}_t"))},
-        {f"{p}_kind": F.when(c == "", "missing").when(F.length(c) != 9, "length")
-            .when(nif, "nif").when(nie, "nie").when(cif, "cif").otherwise("format")},
-        {f"{p}_letter": F.when(kind.isin("nif", "nie"), _nif_letter(number)),
-         f"{p}_digit": F.when(kind == "cif", (10 - total % 10) % 10)},
-        {f"{p}_rule": F.when(kind.isin("nif", "nie"), F.concat(
-            F.lit("tax_id."), kind,
-            F.when(control == expected, "").otherwise(".checksum")))
-            .when(kind == "cif", F.when(cif_ok, "tax_id.cif").otherwise("tax_id.cif.checksum"))
-            .otherwise(F.concat(F.lit("tax_id."), kind)),
-         f"{p}_norm": F.when(c != "", c),
-         f"{p}_detail": F.when(kind == "length", F.concat(
-            F.lit("Un identificador fiscal español tiene 9 caracteres, este tiene "),
-            F.length(c).cast("string"), F.lit(".")))
-            .when(kind.isin("nif", "nie"), F.concat(
-                F.lit("Letra de control incorrecta: se esperaba "), expected,
-                F.lit(" y hay "), control, F.lit(".")))
-            .when(kind == "cif", F.concat(
-                F.lit("Dígito de control incorrecto para la entidad "), entity,
-                F.lit(": se esperaba "), digit.cast("string"), F.lit(" o "), letter, F.lit(".")))
-            .when(kind == "format", F.lit(
-                "No corresponde al formato de un NIF, NIE ni CIF español."))},
+        {c: clean_id(f"{p}_t")},
+        {kind: case(
+            (f"{c} = ''", "'missing'"),
+            (f"length({c}) <> 9", "'length'"),
+            (f"{c} RLIKE '^[0-9]{{8}}[A-Z]$'", "'nif'"),
+            (f"{c} RLIKE '^[XYZ][0-9]{{7}}[A-Z]$'", "'nie'"),
+            (f"{c} RLIKE '^[{fixed.CIF_ENTITY_LETTERS}][0-9]{{7}}[0-9A-J]$'", "'cif'"),
+            default="'format'")},
+        {expected: case((
+            f"{kind} IN ('nif', 'nie')",
+            f"substring('{fixed.NIF_LETTERS}', CAST({number} % 23 AS INT) + 1, 1)")),
+         digit: case((f"{kind} = 'cif'", f"(10 - ({' + '.join(terms)}) % 10) % 10"))},
+        {f"{p}_rule": case(
+            (f"{kind} IN ('nif', 'nie')",
+             f"concat('tax_id.', {kind}, IF({control} = {expected}, '', '.checksum'))"),
+            (f"{kind} = 'cif'", f"IF({cif_ok}, 'tax_id.cif', 'tax_id.cif.checksum')"),
+            default=f"concat('tax_id.', {kind})"),
+         f"{p}_norm": f"nullif({c}, '')",
+         f"{p}_detail": case(
+            (f"{kind} = 'length'", "concat('Un identificador fiscal español tiene 9 caracteres, "
+                f"este tiene ', length({c}), '.')"),
+            (f"{kind} IN ('nif', 'nie')", "concat('Letra de control incorrecta: se esperaba ', "
+                f"{expected}, ' y hay ', {control}, '.')"),
+            (f"{kind} = 'cif'", "concat('Dígito de control incorrecto para la entidad ', "
+                f"{entity}, ': se esperaba ', {digit}, ' o ', {letter}, '.')"),
+            default="'No corresponde al formato de un NIF, NIE ni CIF español.'")},
     ]
 
 
 # --- IBAN ------------------------------------------------------------------
 
-def clean_iban(text: Column) -> Column:
-    return F.translate(F.upper(text), "-" + SPACES, "")
+def clean_iban(text: str) -> str:
+    return f"translate(upper({text}), {quote('-' + SPACES)}, '')"
 
 
-def _letters_to_numbers(col: Column) -> Column:
+def _letters_to_numbers(text: str) -> str:
     for code in range(26):
-        col = F.replace(col, F.lit(chr(65 + code)), F.lit(str(code + 10)))
-    return col
-
-
-def _mod97_digits(digits: Column, chunks: int) -> Column:
-    """Remainder of a decimal string, sixteen digits at a time in 64-bit integers."""
-    rest = _int(F.substring(digits, 1, 18)) % 97
-    for k in range(chunks):
-        part = F.substring(digits, 19 + 16 * k, 16)
-        rest = F.when(part == "", rest).otherwise(
-            _int(F.concat(rest.cast("string"), part)) % 97)
-    return rest
-
-
-def _mod97_any(digits: Column) -> Column:
-    """Same for strings of any length (beyond the 34 characters of the norm)."""
-    return F.aggregate(
-        F.regexp_extract_all(digits, F.lit("([0-9]{1,16})"), F.lit(1)),
-        F.lit(0).cast("bigint"),
-        lambda acc, part: _int(F.concat(acc.cast("string"), part)) % 97,
-    )
-
-
-def _iban(p: str) -> list[dict[str, Column]]:
-    c, digits = F.col(f"{p}_c"), F.col(f"{p}_digits")
-    country = F.substring(c, 1, 2)
-    expected, kind = F.col(f"{p}_len"), F.col(f"{p}_kind")
-    tail = F.substring(c, F.lit(5), F.length(c))
+        text = f"replace({text}, '{chr(65 + code)}', '{code + 10}')"
+    return text
+
+
+def _iban(p: str) -> list[dict[str, str]]:
+    c, digits, size, kind = f"{p}_c", f"{p}_digits", f"{p}_len", f"{p}_kind"
+    tail = _rest(c, 5)
     # Account first, then country letters as numbers, then the check digits.
-    moved = F.concat(
-        F.when(tail.rlike("^[0-9]+$"), tail).otherwise(_letters_to_numbers(tail)),
-        (F.ascii(c) - 55).cast("string"),
-        (F.ascii(F.substring(c, 2, 1)) - 55).cast("string"),
-        F.substring(c, 3, 2),
-    )
-    # 18 + 4 * 16 digits cover the 34 characters an IBAN can have.
-    rest = F.when(F.length(digits) <= 82, _mod97_digits(digits, 4)).otherwise(_mod97_any(digits))
+    moved = (
+        f"concat(CASE WHEN {tail} RLIKE '^[0-9]+$' THEN {tail} "
+        f"ELSE {_letters_to_numbers(tail)} END, ascii({c}) - 55, "
+        f"ascii(substring({c}, 2, 1)) - 55, substring({c}, 3, 2))")
+    # Remainder sixteen digits at a time in 64-bit integers: 18 + 4 * 16 digits
+    # cover the 34 characters an IBAN can have. Each step is its own column.
+    steps = [{f"{p}_m0": f"try_cast(substring({digits}, 1, 18) AS BIGINT) % 97"}]
+    for k in range(4):
+        part = f"substring({digits}, {19 + 16 * k}, 16)"
+        steps.append({f"{p}_m{k + 1}": case(
+            (f"{part} = ''", f"{p}_m{k}"),
+            default=f"try_cast(concat({p}_m{k}, {part}) AS BIGINT) % 97")})
+    longer = (
+        f"aggregate(regexp_extract_all({digits}, '([0-9]{{1,16}})', 1), 0L, "
+        "(acc, part) -> try_cast(concat(acc, part) AS BIGINT) % 97)")
+    rest = f"{p}_m5"
     return [
-        {f"{p}_c": clean_iban(F.col(f"{p}_t"))},
-        {f"{p}_len": _map(country, fixed.IBAN_LENGTHS)},
-        {f"{p}_kind": F.when(c == "", "missing")
-            .when(~c.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]+$"), "format")
-            .when(expected.isNotNull() & (F.length(c) != expected), "length")
-            .otherwise("checksum")},
-        {f"{p}_digits": F.when(kind == "checksum", moved)},
-        {f"{p}_rule": F.when(kind != "checksum", F.concat(F.lit("iban."), kind))
-            .when(rest != 1, "iban.checksum")
-            .when(expected.isNull(), "iban.ok_unknown_country")
-            .otherwise("iban.ok"),
-         f"{p}_norm": F.when(c != "", c),
-         f"{p}_detail": F.when(kind == "format", F.lit(
-            "El IBAN debe empezar por dos letras de país y dos dígitos de control."))
-            .when(kind == "length", F.concat(
-                F.lit("Un IBAN de "), country, F.lit(" tiene "), expected.cast("string"),
-                F.lit(" caracteres, este tiene "), F.length(c).cast("string"), F.lit(".")))
-            .when(kind == "checksum", F.when(rest != 1, F.lit(
-                "Los dígitos de control no cuadran. Hay al menos una cifra mal transcrita."))
-                .otherwise(F.concat(
-                    F.lit("País "), country, F.lit(" fuera de la lista SEPA verificada."))))},
+        {c: clean_iban(f"{p}_t")},
+        {size: lookup(f"substring({c}, 1, 2)", fixed.IBAN_LENGTHS)},
+        {kind: case(
+            (f"{c} = ''", "'missing'"),
+            (f"NOT {c} RLIKE '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]+$'", "'format'"),
+            (f"{size} IS NOT NULL AND length({c}) <> {size}", "'length'"),
+            default="'checksum'")},
+        {digits: case((f"{kind} = 'checksum'", moved))},
+        *steps,
+        {rest: case((f"length({digits}) <= 82", f"{p}_m4"), default=longer)},
+        {f"{p}_rule": case(
+            (f"{kind} <> 'checksum'", f"concat('iban.', {kind})"),
+            (f"{rest} <> 1", "'iban.checksum'"),
+            (f"{size} IS NULL", "'iban.ok_unknown_country'"), default="'iban.ok'"),
+         f"{p}_norm": f"nullif({c}, '')",
+         f"{p}_detail": case(
+            (f"{kind} = 'format'",
+             "'El IBAN debe empezar por dos letras de país y dos dígitos de control.'"),
+            (f"{kind} = 'length'", f"concat('Un IBAN de ', substring({c}, 1, 2), ' tiene ', "
+                f"{size}, ' caracteres, este tiene ', length({c}), '.')"),
+            (f"{rest} <> 1",
+             "'Los dígitos de control no cuadran. Hay al menos una cifra mal transcrita.'"),
+            default=f"concat('País ', substring({c}, 1, 2), "
+                "' fuera de la lista SEPA verificada.')")},
     ]
 
 
@@ -190,86 +165,80 @@ _LABEL = "[a-z0-9]++(?:-++[a-z0-9]++)*+"
 EMAIL_SYNTAX = rf"^[a-z0-9._%+\-]++@{_LABEL}(?:\.{_LABEL})++$"
 
 
-def _email(p: str) -> list[dict[str, Column]]:
-    c, domain, rule = F.col(f"{p}_c"), F.col(f"{p}_domain"), F.col(f"{p}_rule")
-    right = _map(domain, fixed.DOMAIN_TYPOS)
+def _email(p: str) -> list[dict[str, str]]:
+    c, domain, rule = f"{p}_c", f"{p}_domain", f"{p}_rule"
+    right = lookup(domain, fixed.DOMAIN_TYPOS)
     return [
-        {f"{p}_c": F.lower(F.col(f"{p}_t"))},
-        {f"{p}_domain": F.substring_index(c, "@", -1)},
-        {f"{p}_rule": F.when(c == "", "email.missing")
-            .when(c.isin(*fixed.EMAIL_FILLERS), "email.placeholder")
-            .when(~c.rlike(EMAIL_SYNTAX), "email.syntax")
-            .when(domain.isin(*fixed.DOMAIN_TYPOS), "email.typo")
-            .when(domain.isin(*fixed.DISPOSABLE_DOMAINS), "email.disposable")
-            .otherwise("email.ok")},
-        {f"{p}_norm": F.when(rule == "email.typo", F.concat(
-            F.substring(c, F.lit(1), F.length(c) - F.length(domain)), right))
-            .when(c != "", c),
-         f"{p}_detail": F.when(rule == "email.placeholder", F.lit(
-            "Valor de relleno, no es una dirección real."))
-            .when(rule == "email.syntax", F.lit("La dirección no tiene una sintaxis válida."))
-            .when(rule == "email.typo", F.concat(
-                F.lit("Dominio probablemente mal escrito. Sugerencia: "), right, F.lit(".")))
-            .when(rule == "email.disposable", F.lit("Dominio de correo desechable."))},
+        {c: f"lower({p}_t)"},
+        {domain: f"substring_index({c}, '@', -1)"},
+        {rule: case(
+            (f"{c} = ''", "'email.missing'"),
+            (any_of(c, fixed.EMAIL_FILLERS), "'email.placeholder'"),
+            (f"NOT {c} RLIKE {quote(EMAIL_SYNTAX)}", "'email.syntax'"),
+            (any_of(domain, fixed.DOMAIN_TYPOS), "'email.typo'"),
+            (any_of(domain, fixed.DISPOSABLE_DOMAINS), "'email.disposable'"),
+            default="'email.ok'")},
+        {f"{p}_norm": case(
+            (f"{rule} = 'email.typo'",
+             f"concat(substring({c}, 1, length({c}) - length({domain})), {right})"),
+            default=f"nullif({c}, '')"),
+         f"{p}_detail": case(
+            (f"{rule} = 'email.placeholder'", "'Valor de relleno, no es una dirección real.'"),
+            (f"{rule} = 'email.syntax'", "'La dirección no tiene una sintaxis válida.'"),
+            (f"{rule} = 'email.typo'", "concat('Dominio probablemente mal escrito. "
+                f"Sugerencia: ', {right}, '.')"),
+            default="'Dominio de correo desechable.'")},
     ]
 
 
-def _phone(p: str) -> list[dict[str, Column]]:
-    raw, c, rule = F.col(f"{p}_t"), F.col(f"{p}_c"), F.col(f"{p}_rule")
-    dialled = F.col(f"{p}_d")
-    kept = F.ltrim(F.regexp_replace(raw, r"[^0-9+]", ""), F.lit("+"))
-    no_exit = F.when(F.col(f"{p}_k").startswith("00"), F.substring(
-        F.col(f"{p}_k"), F.lit(3), F.length(F.col(f"{p}_k")))).otherwise(F.col(f"{p}_k"))
-    national = F.when(
-        dialled.startswith("34") & (F.length(dialled) == 11), F.substring(dialled, 3, 9)
-    ).otherwise(dialled)
-    one_digit = F.replace(c, F.substring(c, 1, 1), F.lit("")) == ""
+def _phone(p: str) -> list[dict[str, str]]:
+    raw, kept, dialled, c, rule = (f"{p}_{s}" for s in ("t", "k", "d", "c", "rule"))
     return [
-        {f"{p}_k": kept},
-        {f"{p}_d": no_exit},
-        {f"{p}_c": national},
-        {f"{p}_rule": F.when(raw == "", "phone.missing")
-            .when(c == "", "phone.empty_after_clean")
-            .when(one_digit, "phone.placeholder")
-            .when(~c.rlike("^[6789][0-9]{8}$"), "phone.format_es")
-            .otherwise("phone.ok")},
-        {f"{p}_norm": F.when(rule == "phone.ok", F.concat(F.lit("+34"), c))
-            .when(rule == "phone.empty_after_clean", raw)
-            .when(rule != "phone.missing", c),
-         f"{p}_detail": F.when(rule == "phone.empty_after_clean", F.lit(
-            "No queda ningún dígito tras limpiar el valor."))
-            .when(rule == "phone.placeholder", F.lit(
-                "Todos los dígitos son iguales, es un valor de relleno."))
-            .when(rule == "phone.format_es", F.concat(
-                F.lit("Un número español tiene 9 dígitos y empieza por 6, 7, 8 o 9. Este tiene "),
-                F.length(c).cast("string"), F.lit(" dígitos.")))},
+        {kept: f"trim(LEADING '+' FROM regexp_replace({raw}, '[^0-9+]', ''))"},
+        {dialled: case((f"startswith({kept}, '00')", _rest(kept, 3)), default=kept)},
+        {c: case((f"startswith({dialled}, '34') AND length({dialled}) = 11", _rest(dialled, 3)),
+                 default=dialled)},
+        {rule: case(
+            (f"{raw} = ''", "'phone.missing'"),
+            (f"{c} = ''", "'phone.empty_after_clean'"),
+            (f"replace({c}, substring({c}, 1, 1), '') = ''", "'phone.placeholder'"),
+            (f"NOT {c} RLIKE '^[6789][0-9]{{8}}$'", "'phone.format_es'"),
+            default="'phone.ok'")},
+        {f"{p}_norm": case(
+            (f"{rule} = 'phone.ok'", f"concat('+34', {c})"),
+            (f"{rule} = 'phone.empty_after_clean'", raw),
+            (f"{rule} <> 'phone.missing'", c)),
+         f"{p}_detail": case(
+            (f"{rule} = 'phone.empty_after_clean'",
+             "'No queda ningún dígito tras limpiar el valor.'"),
+            (f"{rule} = 'phone.placeholder'",
+             "'Todos los dígitos son iguales, es un valor de relleno.'"),
+            default="concat('Un número español tiene 9 dígitos y empieza por 6, 7, 8 o 9. "
+                f"Este tiene ', length({c}), ' dígitos.')")},
     ]
 
 
-def _postal_code(p: str) -> list[dict[str, Column]]:
-    raw, c, rule = F.col(f"{p}_t"), F.col(f"{p}_c"), F.col(f"{p}_rule")
-    padded = F.concat(F.lit("0"), c)
-
-    def province(col):
-        return F.substring(col, 1, 2).between("01", "52")
-
+def _postal_code(p: str) -> list[dict[str, str]]:
+    raw, c, rule = f"{p}_t", f"{p}_c", f"{p}_rule"
     return [
-        {f"{p}_c": F.regexp_replace(raw, "[^0-9]", "")},
-        {f"{p}_rule": F.when(raw == "", "postal_code.missing")
-            .when((F.length(c) == 4) & province(padded), "postal_code.lost_zero")
-            .when(F.length(c) != 5, "postal_code.length")
-            .when(~province(c), "postal_code.province")
-            .otherwise("postal_code.ok")},
-        {f"{p}_norm": F.when(rule == "postal_code.lost_zero", padded)
-            .when(rule != "postal_code.missing", c),
-         f"{p}_detail": F.when(rule == "postal_code.lost_zero", F.lit(
-            "Falta el cero inicial, probablemente por formato numérico en Excel."))
-            .when(rule == "postal_code.length", F.concat(
-                F.lit("Un código postal español tiene 5 dígitos, este tiene "),
-                F.length(c).cast("string"), F.lit(".")))
-            .when(rule == "postal_code.province", F.concat(
-                F.lit("El código de provincia "), F.substring(c, 1, 2),
-                F.lit(" no existe en España.")))},
+        {c: f"regexp_replace({raw}, '[^0-9]', '')"},
+        {rule: case(
+            (f"{raw} = ''", "'postal_code.missing'"),
+            (f"length({c}) = 4 AND concat('0', substring({c}, 1, 1)) BETWEEN '01' AND '52'",
+             "'postal_code.lost_zero'"),
+            (f"length({c}) <> 5", "'postal_code.length'"),
+            (f"NOT substring({c}, 1, 2) BETWEEN '01' AND '52'", "'postal_code.province'"),
+            default="'postal_code.ok'")},
+        {f"{p}_norm": case(
+            (f"{rule} = 'postal_code.lost_zero'", f"concat('0', {c})"),
+            (f"{rule} <> 'postal_code.missing'", c)),
+         f"{p}_detail": case(
+            (f"{rule} = 'postal_code.lost_zero'",
+             "'Falta el cero inicial, probablemente por formato numérico en Excel.'"),
+            (f"{rule} = 'postal_code.length'", "concat('Un código postal español tiene 5 "
+                f"dígitos, este tiene ', length({c}), '.')"),
+            default=f"concat('El código de provincia ', substring({c}, 1, 2), "
+                "' no existe en España.')")},
     ]
 
 
@@ -285,60 +254,63 @@ CHECKS = {
 def apply_checks(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Check several columns at once. ``fields`` maps a check to a column name.
 
-    Adds per check ``__<kind>_rule``, ``_norm`` (canonical text or null) and
-    ``_detail`` (message of a failing or doubtful value); works on streams.
+    Adds ``__<kind>_rule``, ``__<kind>_norm`` and ``__<kind>_detail`` per check.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    stages: list[dict[str, Column]] = [{
-        f"__{kind}_t": text_value(F.col(f"`{name}`"), types[name])
-        for kind, name in fields.items()
-    }]
-    plans = [CHECKS[kind](f"__{kind}") for kind in fields]
-    for step in range(max((len(p) for p in plans), default=0)):
-        stages.append({k: v for p in plans if step < len(p) for k, v in p[step].items()})
-    for stage in stages:
-        df = df.withColumns(stage)
-    return df
+    plans = []
+    for kind, name in fields.items():
+        cell, dtype, p = ident(name), types[name], f"__{kind}"
+        if is_float(dtype) or dtype.typeName() in ("byte", "short", "integer", "long"):
+            first = [{f"{p}_t": text_value(cell, dtype)}]
+        else:
+            first = [{f"{p}_s": strip(f"coalesce({cell_text(cell, dtype)}, '')")},
+                     {f"{p}_t": text_of_stripped(f"{p}_s")}]
+        plans.append(first + CHECKS[kind](p))
+    stages = [
+        {k: v for p in plans if step < len(p) for k, v in p[step].items()}
+        for step in range(max((len(p) for p in plans), default=0))
+    ]
+    texts = [f"__{k}_{part}" for k in fields for part in ("norm", "detail")]
+    # Rules are what consumers filter on.
+    rules = pinned({f"__{k}_rule": f"__{k}_rule" for k in fields})
+    return staged(df, stages, [*map(ident, df.columns), *texts, rules])
 
 
-def passed(kind: str) -> Column:
-    return F.col(f"__{kind}_rule").isin(*PASSING)
+def passed(kind: str) -> str:
+    return any_of(f"__{kind}_rule", [r for r in PASSING if r.startswith(kind + ".")])
 
 
-def severity_of(rule: Column) -> Column:
-    return F.when(rule.isin(*WARNINGS), "warning").otherwise("error")
+def warned(kind: str) -> str:
+    own = [r for r in CONFIDENCE if r.startswith(kind + ".")]
+    return any_of(f"__{kind}_rule", own) if own else "false"
 
 
-def confidence_of(rule: Column) -> Column:
-    return _map(rule, _CONFIDENCE, F.lit(1.0))
+def severity_of(kind: str) -> str:
+    return f"IF({warned(kind)}, 'warning', 'error')"
 
 
-def message_of(kind: str) -> Column:
-    rule = F.col(f"__{kind}_rule")
-    clean = rule.isin(*[r for r in PASSING if r != "iban.ok_unknown_country"])
-    return (
-        F.when(rule == f"{kind}.missing", _MISSING[kind])
-        .when(clean, "")
-        .otherwise(F.col(f"__{kind}_detail"))
-    )
+def confidence_of(kind: str) -> str:
+    own = {r: c for r, c in CONFIDENCE.items() if r.startswith(kind + ".")}
+    return lookup(f"__{kind}_rule", own, "1.0D") if own else "1.0D"
 
 
-def verdict(kind: str) -> Column:
+def message_of(kind: str) -> str:
+    silent = [r for r in PASSING if r.startswith(kind + ".") and r not in CONFIDENCE]
+    return case(
+        (f"__{kind}_rule = '{kind}.missing'", quote(_MISSING[kind])),
+        (any_of(f"__{kind}_rule", silent), "''"), default=f"__{kind}_detail")
+
+
+def verdict(kind: str) -> str:
     """The full verdict of one check, to be used after ``apply_checks``."""
-    rule = F.col(f"__{kind}_rule")
-    return F.struct(
-        passed(kind).alias("ok"),
-        F.col(f"__{kind}_norm").alias("normalized"),
-        rule.alias("rule"),
-        severity_of(rule).alias("severity"),
-        message_of(kind).alias("message"),
-        confidence_of(rule).alias("confidence"),
-    )
+    return (
+        f"named_struct('ok', {passed(kind)}, 'normalized', __{kind}_norm, 'rule', __{kind}_rule, "
+        f"'severity', {severity_of(kind)}, 'message', {message_of(kind)}, "
+        f"'confidence', {confidence_of(kind)})")
 
 
 def validate_column(df: DataFrame, kind: str, name: str, into: str = "verdict") -> DataFrame:
     """Run one named check over a whole column; adds a verdict struct."""
     if kind not in CHECKS:
         raise ValueError(f"Unknown check: {kind}")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return apply_checks(df, {kind: name}).select(*columns, verdict(kind).alias(into))
+    return select(apply_checks(df, {kind: name}), {into: verdict(kind)}, keep=df.columns)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from . import fixed
+from .sql import case
 from .text import strip, text_value
 
 
+def _bytes(value: bytes) -> str:
+    return f"X'{value.hex()}'"
+
+
 @dataclass(frozen=True)
 class Pseudonymizer:
     """Keyed, stable tokens: HMAC-SHA256 of organisation, field and value.
@@ -34,40 +36,41 @@ class Pseudonymizer:
         key = hashlib.sha256(key).digest() if len(key) > 64 else key
         return bytes(b ^ byte for b in key.ljust(64, b"\0"))
 
-    def token(self, col: Column, name: str = "", dtype=None) -> Column:
+    def token(self, e: str, name: str = "", dtype=None) -> str:
         """Token of a cell: null and empty give ''. Depends on the field name too."""
-        text = F.lower(strip(text_value(col, dtype)))
+        text = f"lower({strip(text_value(e, dtype))})"
         scope = self.org_id.encode() + b"\0" + name.encode() + b"\0"
-        inner = F.sha2(F.concat(
-            F.lit(bytearray(self._pad(0x36) + scope)), text.cast("binary")), 256)
-        outer = F.sha2(F.concat(F.lit(bytearray(self._pad(0x5C))), F.unhex(inner)), 256)
-        return F.when(text == "", "").otherwise(F.substring(outer, 1, fixed.TOKEN_LENGTH))
+        inner = f"sha2(concat({_bytes(self._pad(0x36) + scope)}, CAST({text} AS BINARY)), 256)"
+        outer = f"sha2(concat({_bytes(self._pad(0x5C))}, unhex({inner})), 256)"
+        return case((f"{text} = ''", "''"),
+                    default=f"substring({outer}, 1, {fixed.TOKEN_LENGTH})")
 
 
-def mask_email(text: Column) -> Column:
+def mask_email(e: str) -> str:
     """First and last letter of the mailbox and the whole domain stay visible."""
-    shown = strip(F.coalesce(text, F.lit("")))
-    domain = F.substring_index(shown, "@", -1)
-    box = F.substring(shown, F.lit(1), F.length(shown) - F.length(domain) - 1)
-    hidden = F.when(F.length(box) <= 2, F.repeat(F.lit("*"), F.length(box))).otherwise(
-        F.concat(
-            F.substring(box, 1, 1), F.repeat(F.lit("*"), F.length(box) - 2),
-            F.substring(box, -1, 1)))
-    return F.when(~shown.contains("@"), "***").otherwise(F.concat(hidden, F.lit("@"), domain))
+    shown = strip(f"coalesce({e}, '')")
+    domain = f"substring_index({shown}, '@', -1)"
+    size = f"(length({shown}) - length({domain}) - 1)"
+    box = f"substring({shown}, 1, {size})"
+    hidden = case(
+        (f"{size} <= 2", f"repeat('*', {size})"),
+        default=f"concat(substring({box}, 1, 1), repeat('*', {size} - 2), substring({box}, -1, 1))")
+    return case((f"NOT contains({shown}, '@')", "'***'"),
+                default=f"concat({hidden}, '@', {domain})")
 
 
-def _stars_but_last(text: Column, visible: int) -> Column:
-    tail = F.substring(text, -visible, visible)
-    return F.when(F.length(text) < 4, "*" * 9).otherwise(
-        F.concat(F.repeat(F.lit("*"), F.length(text) - visible), tail))
+def _stars_but_last(text: str, visible: int) -> str:
+    return case(
+        (f"length({text}) < 4", "repeat('*', 9)"),
+        default=f"concat(repeat('*', length({text}) - {visible}), substring({text}, -{visible}))")
 
 
-def mask_phone(text: Column) -> Column:
-    return _stars_but_last(F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9]", ""), 3)
+def mask_phone(e: str) -> str:
+    return _stars_but_last(f"regexp_replace(coalesce({e}, ''), '[^0-9]', '')", 3)
 
 
-def mask_tax_id(text: Column) -> Column:
-    return _stars_but_last(F.upper(strip(F.coalesce(text, F.lit("")))), 4)
+def mask_tax_id(e: str) -> str:
+    return _stars_but_last(f"upper({strip(f"coalesce({e}, '')")})", 4)
 
 
 MASKS = {"email": mask_email, "phone": mask_phone, "tax_id": mask_tax_id, "iban": mask_tax_id}

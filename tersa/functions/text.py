@@ -1,7 +1,8 @@
-"""Text expressions. Every function takes and returns a string ``Column``.
+"""Text expressions: each function maps a SQL expression to a SQL expression.
 
-They are built from codegen-friendly expressions only (no Python, no lambdas),
-so a projection that uses them stays inside one whole-stage pipeline.
+Only codegen-friendly built-ins (no Python, no lambdas), so a projection that
+uses them stays inside one whole-stage pipeline. Use them with ``selectExpr`` or
+``F.expr``; ``normalize_columns`` applies them to a table by name.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import fixed
+from .sql import any_of, case, ident, lookup, quote, replace
 
 # Unicode white space, written out because the regex shorthand is ASCII-only.
 _SPACE_CODES = (
@@ -20,12 +22,12 @@ _SPACE_CODES = (
     0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 SPACES = "".join(map(chr, _SPACE_CODES))
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACE = "[" + "".join(f"\\u{c:04x}" for c in _SPACE_CODES) + "]"
 
 
-def strip(col: Column) -> Column:
+def strip(e: str) -> str:
     """Trim Unicode white space at both ends."""
-    return F.trim(col, F.lit(SPACES))
+    return f"trim(BOTH {quote(SPACES)} FROM {e})"
 
 
 def _accent_table() -> tuple[str, str]:
@@ -52,9 +54,9 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
-def strip_accents(col: Column) -> Column:
+def strip_accents(e: str) -> str:
     """Drop accents but keep ñ/Ñ, which are not accented letters in Spanish."""
-    return F.translate(col, _ACCENTED, _PLAIN)
+    return f"translate({e}, {quote(_ACCENTED)}, {quote(_PLAIN)})"
 
 
 def strip_accents_unicode(col: Column) -> Column:
@@ -84,14 +86,14 @@ def strip_accents_unicode(col: Column) -> Column:
     return full(col)
 
 
-def collapse_spaces(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, SPACE + "+", " "))
+def collapse_spaces(e: str) -> str:
+    return f"trim(regexp_replace({e}, {quote(SPACE + '+')}, ' '))"
 
 
-def normalize_key(col: Column) -> Column:
+def normalize_key(e: str) -> str:
     """Comparison key: lower case, no accents, no punctuation, single spaces."""
-    plain = strip_accents(F.translate(F.coalesce(col, F.lit("")), "º°ª", "   "))
-    return F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}_]+", " "))
+    plain = strip_accents(f"translate(coalesce({e}, ''), 'º°ª', '   ')")
+    return f"trim(regexp_replace(lower({plain}), {quote('[^\\p{L}\\p{N}_]+')}, ' '))"
 
 
 _FORMS = sorted(
@@ -101,144 +103,134 @@ _FORMS = sorted(
 LEGAL_FORM = "(?<![^ ])(" + "|".join(_FORMS) + ")(?![^ ])"
 
 
-def company_key(key: Column) -> Column:
+def company_key(key: str) -> str:
     """Legal forms removed from a normalised key; the last one found goes last."""
-    last = F.try_element_at(F.regexp_extract_all(key, F.lit(LEGAL_FORM), F.lit(1)), F.lit(-1))
-    short = None
-    for code, forms in fixed.LEGAL_FORMS.items():
-        short = (F if short is None else short).when(last.isin(*forms), F.lit(code))
-    kept = F.regexp_replace(F.regexp_replace(key, LEGAL_FORM, " "), " +", " ")
-    return F.when(
-        key.rlike(LEGAL_FORM), F.trim(F.concat(F.trim(kept), F.lit(" "), short))
-    ).otherwise(key)
+    form = quote(LEGAL_FORM)
+    last = f"try_element_at(regexp_extract_all({key}, {form}, 1), -1)"
+    short = lookup(last, {f: code for code, fs in fixed.LEGAL_FORMS.items() for f in fs}, "''")
+    kept = f"trim(regexp_replace(regexp_replace({key}, {form}, ' '), ' +', ' '))"
+    return case((f"{key} RLIKE {form}", f"trim(concat({kept}, ' ', {short}))"), default=key)
 
 
-def normalize_company(col: Column) -> Column:
-    return company_key(normalize_key(col))
+def normalize_company(e: str) -> str:
+    return company_key(normalize_key(e))
 
 
-def title_case_name(col: Column) -> Column:
+def title_case_name(e: str) -> str:
     """Capitalise each word; Spanish particles stay lower except in first place."""
-    lowered = F.lower(collapse_spaces(F.coalesce(col, F.lit(""))))
-    titled = F.initcap(lowered)
-    fixed_up = titled
+    lowered = f"lower({collapse_spaces(f"coalesce({e}, '')")})"
+    titled = adjusted = f"initcap({lowered})"
     for word in fixed.NAME_PARTICLES:
-        fixed_up = F.regexp_replace(fixed_up, f"(?<= ){word.capitalize()}(?= |$)", word)
-    has_particle = " (?:" + "|".join(fixed.NAME_PARTICLES) + ")(?: |$)"
-    return F.when(lowered.rlike(has_particle), fixed_up).otherwise(titled)
+        pattern = quote(f"(?<= ){word.capitalize()}(?= |$)")
+        adjusted = f"regexp_replace({adjusted}, {pattern}, '{word}')"
+    has_particle = quote(" (?:" + "|".join(fixed.NAME_PARTICLES) + ")(?: |$)")
+    return case((f"{lowered} RLIKE {has_particle}", adjusted), default=titled)
+
+
+def reason_of_tidy(tidy: str) -> str:
+    """``synthetic_reason`` of a text whose spaces are already collapsed."""
+    return case(
+        (f"{tidy} = ''", "'Nombre vacío.'"),
+        (f"length({tidy}) < 2", "'Nombre de un solo carácter.'"),
+        (f"{tidy} RLIKE {quote('\\p{Nd}')}", "'El nombre contiene dígitos.'"),
+        (f"{tidy} RLIKE {quote('(?iu)(.)\\1{3,}|^[^a-záéíóúüñ]+$')}",
+         "'Patrón de tecleo aleatorio o sin letras.'"),
+        (any_of(normalize_key(tidy), fixed.NAME_FILLERS), "'Valor de relleno de formulario.'"),
+    )
 
 
-def synthetic_reason(col: Column) -> Column:
+def synthetic_reason(e: str) -> str:
     """Why a name looks invented, or null when it does not."""
-    text = collapse_spaces(F.coalesce(col, F.lit("")))
-    return (
-        F.when(text == "", "Nombre vacío.")
-        .when(F.length(text) < 2, "Nombre de un solo carácter.")
-        .when(text.rlike(r"\p{Nd}"), "El nombre contiene dígitos.")
-        .when(
-            text.rlike(r"(?iu)(.)\1{3,}|^[^a-záéíóúüñ]+$"),
-            "Patrón de tecleo aleatorio o sin letras.",
-        )
-        .when(
-            normalize_key(text).isin(*fixed.NAME_FILLERS),
-            "Valor de relleno de formulario.",
-        )
-    )
+    return reason_of_tidy(collapse_spaces(f"coalesce({e}, '')"))
 
 
-def slugify(col: Column, fallback: str = "organizacion") -> Column:
-    plain = strip_accents(F.translate(F.coalesce(col, F.lit("None")), "ñÑ", "nN"))
-    ascii_only = F.lower(F.regexp_replace(plain, r"[^\x00-\x7f]", ""))
-    dashed = F.trim(F.regexp_replace(ascii_only, "[^a-z0-9]+", "-"), F.lit("-"))
-    slug = F.trim(F.substring(dashed, 1, 63), F.lit("-"))
-    return F.when(F.length(slug) < 2, F.lit(fallback)).otherwise(slug)
+def slugify(e: str, fallback: str = "organizacion") -> str:
+    plain = strip_accents(f"translate(coalesce({e}, 'None'), 'ñÑ', 'nN')")
+    ascii_only = f"lower(regexp_replace({plain}, {quote('[^\\x00-\\x7f]')}, ''))"
+    dashed = f"trim(BOTH '-' FROM regexp_replace({ascii_only}, '[^a-z0-9]+', '-'))"
+    slug = f"trim(BOTH '-' FROM substring({dashed}, 1, 63))"
+    return case((f"length({slug}) < 2", quote(fallback)), default=slug)
 
 
 # --- typed cells to text ---------------------------------------------------
 
-_FLOATS = (T.FloatType, T.DoubleType)
+def is_float(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
 
 
-def _float_digits(col: Column) -> Column:
-    """Digits of a non-integral double, never in exponent form when |x| ≥ 1e-4."""
-    java = col.cast("string")
-    plain = F.rtrim(java.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
-    small = F.abs(col) < 1e-4
-    return F.when(java.contains("E") & ~small, F.coalesce(plain, java)).otherwise(java)
+def _float_digits(value: str) -> str:
+    """Digits of a non-integral double, without exponent form when |x| ≥ 1e-4."""
+    java = f"CAST({value} AS STRING)"
+    plain = f"trim(TRAILING '0' FROM CAST(try_cast({java} AS DECIMAL(38,18)) AS STRING))"
+    return case(
+        (f"contains({java}, 'E') AND abs({value}) >= 1e-4D", f"coalesce({plain}, {java})"),
+        default=java)
 
 
-def float_repr(col: Column) -> Column:
+def float_repr(value: str) -> str:
     """A double the way it is shown to people: ``150.0``, ``25000000.0``, ``0.5``."""
-    whole = (F.floor(col) == col) & (F.abs(col) < 1e16)
-    return F.when(
-        whole, F.concat(col.try_cast("decimal(38,0)").cast("string"), F.lit(".0"))
-    ).otherwise(_float_digits(col))
+    return case(
+        (f"floor({value}) = {value} AND abs({value}) < 1e16D",
+         f"concat(CAST(try_cast({value} AS DECIMAL(38,0)) AS STRING), '.0')"),
+        default=_float_digits(value))
 
 
-def cell_text(col: Column, dtype: T.DataType) -> Column:
+def cell_text(e: str, dtype: T.DataType) -> str:
     """Plain text of a raw cell; null and NaN stay null."""
-    if isinstance(dtype, _FLOATS):
-        value = col.cast("double")
-        return F.when(F.isnan(value), F.lit(None)).otherwise(float_repr(value))
+    if isinstance(dtype, T.StringType):
+        return e
+    if is_float(dtype):
+        value = f"CAST({e} AS DOUBLE)"
+        return case((f"NOT isnan({e})", float_repr(value)))
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(col.cast("string"))
-    return col.cast("string")
+        return f"initcap(CAST({e} AS STRING))"
+    return f"CAST({e} AS STRING)"
+
+
+def text_of_stripped(text: str) -> str:
+    """``text_value`` of a text that is already trimmed."""
+    return case(
+        (any_of(f"lower({text})", fixed.NULL_TOKENS), "''"),
+        (f"{text} RLIKE '^-?[0-9]+[.]0+$'", f"substring_index({text}, '.', 1)"),
+        default=text)
 
 
-def text_value(col: Column, dtype: T.DataType | None = None) -> Column:
+def text_value(e: str, dtype: T.DataType | None = None) -> str:
     """Cell as clean text: null tokens become '', whole doubles lose their '.0'."""
-    if isinstance(dtype, _FLOATS):
-        value = col.cast("double")
-        whole = F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value.cast("string"))
-        return (
-            F.when(value.isNull() | F.isnan(value), "")
-            .when(F.floor(value) == value, whole)
-            .otherwise(_float_digits(value))
-        )
+    if dtype is not None and is_float(dtype):
+        v = f"CAST({e} AS DOUBLE)"
+        whole = f"coalesce(CAST(try_cast({v} AS DECIMAL(38,0)) AS STRING), CAST({v} AS STRING))"
+        return case(
+            (f"{e} IS NULL OR isnan({e})", "''"), (f"floor({v}) = {v}", whole),
+            default=_float_digits(v))
     if isinstance(dtype, T.IntegralType):
-        return F.coalesce(col.cast("string"), F.lit(""))
-    text = strip(F.coalesce(cell_text(col, dtype) if dtype else col, F.lit("")))
-    return (
-        F.when(F.lower(text).isin(*fixed.NULL_TOKENS), "")
-        .when(text.rlike(r"^-?[0-9]+\.0+$"), F.substring_index(text, ".", 1))
-        .otherwise(text)
-    )
+        return f"coalesce(CAST({e} AS STRING), '')"
+    return text_of_stripped(strip(f"coalesce({cell_text(e, dtype or T.StringType())}, '')"))
 
 
-def column_as_text(col: Column, dtype: T.DataType) -> Column:
+def column_as_text(e: str, dtype: T.DataType) -> str:
     """``text_value`` that keeps nulls null, for columns widened to text."""
-    missing = col.isNull()
-    if isinstance(dtype, _FLOATS):
-        missing = missing | F.isnan(col)
-    return F.when(~missing, text_value(col, dtype))
-
-
-def thousands(col: Column, separator: str = ".") -> Column:
-    text = F.format_number(col, 0)
-    return text if separator == "," else F.translate(text, ",", separator)
-
-
-def rule_family(rule: Column) -> Column:
-    return F.substring_index(rule, ".", 1)
+    present = f"{e} IS NOT NULL" + (f" AND NOT isnan({e})" if is_float(dtype) else "")
+    return case((present, text_value(e, dtype)))
 
 
-def _literal_case(col: Column, table: dict[str, str], default: Column) -> Column:
-    expr = F
-    for key, value in table.items():
-        expr = expr.when(col == key, F.lit(value))
-    return expr.otherwise(default)
+def thousands(e: str, separator: str = ".") -> str:
+    text = f"format_number({e}, 0)"
+    return text if separator == "," else f"translate({text}, ',', {quote(separator)})"
 
 
-def action_for(rule: Column) -> Column:
-    return _literal_case(rule_family(rule), fixed.ACTION_TEXT, F.lit(fixed.DEFAULT_ACTION_TEXT))
+def action_for(rule: str) -> str:
+    """Instruction for a rule, by its family."""
+    return lookup(
+        f"substring_index({rule}, '.', 1)", fixed.ACTION_TEXT, quote(fixed.DEFAULT_ACTION_TEXT))
 
 
-def rule_label(rule: Column) -> Column:
-    return _literal_case(rule, fixed.RULE_LABELS, rule)
+def rule_label(rule: str) -> str:
+    return lookup(rule, fixed.RULE_LABELS, rule)
 
 
-def format_iban(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, "(.{4})", "$1 "))
+def format_iban(e: str) -> str:
+    return f"trim(regexp_replace({e}, '(.{{4}})', '$1 '))"
 
 
 FUNCTIONS = {
@@ -259,8 +251,8 @@ FUNCTIONS = {
 def normalize_columns(df: DataFrame, plan: dict[str, str]) -> DataFrame:
     """Apply named text functions to columns of a table in one projection."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    return df.withColumns({
-        name: text_value(F.col(f"`{name}`"), types[name]) if fn == "text_value"
-        else FUNCTIONS[fn](cell_text(F.col(f"`{name}`"), types[name]))
+    return replace(df, {
+        name: text_value(ident(name), types[name]) if fn == "text_value"
+        else FUNCTIONS[fn](cell_text(ident(name), types[name]))
         for name, fn in plan.items()
     })

@@ -12,172 +12,158 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import checks, fixed, text
+from ..functions.sql import case, ident, literal, lookup, pinned, quote, staged
 from .numeric import OutlierModel, numeric_value, outlier_score
 
 ROW_ID = "row_id"
 
-FINDING_FIELDS = (
-    "seq", "column", "rule", "severity", "level", "message", "action",
-    "original", "proposed", "confidence", "cell",
+FINDING_COLUMNS = (
+    "seq", "row_id", "column", "rule", "severity", "level", "message", "action",
+    "original", "proposed", "confidence",
 )
+_NOTHING = "CAST(NULL AS STRING)"
+_EMPTY_SLOT = (
+    "CAST(NULL AS STRUCT<seq:INT,column:STRING,rule:STRING,severity:STRING,level:INT,"
+    "message:STRING,action:STRING,original:STRING,proposed:STRING,confidence:DOUBLE,cell:STRING>)")
 
 
-def _finding(field, column, rule, severity, message, action, original, proposed, confidence, cell):
-    def as_col(v):
-        return v if isinstance(v, Column) else F.lit(v)
-
-    level = text._literal_case(as_col(severity), fixed.LEVEL, F.lit(0))
-    values = (
-        F.lit(fixed.FIELD_SEQ[field]), F.lit(column), as_col(rule), as_col(severity), level,
-        as_col(message), as_col(action), as_col(original).cast("string"),
-        as_col(proposed).cast("string"), as_col(confidence).cast("double"), cell,
-    )
-    return F.struct(*[v.alias(n) for n, v in zip(FINDING_FIELDS, values, strict=True)])
+def _cell(df: DataFrame, name: str) -> str:
+    return text.cell_text(ident(name), df.schema[name].dataType)
 
 
-def _cell(df: DataFrame, name: str) -> Column:
-    return text.cell_text(F.col(f"`{name}`"), df.schema[name].dataType)
+def _finding(field, column, cell, rule, severity, message, action,
+             original=_NOTHING, proposed=_NOTHING, confidence="1.0D") -> str:
+    level = lookup(severity, fixed.LEVEL, "0")
+    return (
+        f"named_struct('seq', {fixed.FIELD_SEQ[field]}, 'column', {quote(column)}, "
+        f"'rule', {rule}, 'severity', {severity}, 'level', {level}, 'message', {message}, "
+        f"'action', {action}, 'original', {original}, 'proposed', {proposed}, "
+        f"'confidence', CAST({confidence} AS DOUBLE), 'cell', {cell})")
 
 
-def _identifier_columns(df, field, name):
-    rule, norm = F.col(f"__{field}_rule"), F.col(f"__{field}_norm")
-    ok, cell = checks.passed(field), _cell(df, name)
-    changed = norm.isNotNull() & ~norm.eqNullSafe(cell)
-    severity, confidence = checks.severity_of(rule), checks.confidence_of(rule)
+def _identifier(df, field, name) -> tuple[dict[str, str], str]:
+    norm, cell, ok = f"__{field}_norm", _cell(df, name), checks.passed(field)
+    changed = f"{norm} IS NOT NULL AND NOT {norm} <=> {cell}"
+    severity, confidence = checks.severity_of(field), checks.confidence_of(field)
     failing = _finding(
-        field, name, rule, severity, checks.message_of(field),
-        F.when(norm.isNotNull(), "quarantined").otherwise("kept"), None, norm, confidence, cell)
+        field, name, cell, f"__{field}_rule", severity, checks.message_of(field),
+        f"IF({norm} IS NOT NULL, 'quarantined', 'kept')", proposed=norm, confidence=confidence)
     tidied = _finding(
-        field, name, f"{field}.normalized", "info", "Valor normalizado a formato canónico.",
-        "normalized", cell, norm, 1.0, cell)
-    raw = F.col(f"`{name}`")
+        field, name, cell, f"'{field}.normalized'", "'info'",
+        "'Valor normalizado a formato canónico.'", "'normalized'", cell, norm)
     dtype = df.schema[name].dataType
-    kept = raw if dtype.typeName() == "string" else text.column_as_text(raw, dtype)
+    kept = cell if dtype.typeName() == "string" else text.column_as_text(ident(name), dtype)
     # A doubtful value is rewritten only from a confidence of 0.85 upwards.
-    rewrite = F.when(ok, changed).otherwise(
-        (severity == "warning") & (confidence >= 0.85) & norm.isNotNull())
+    doubtful = f"{checks.warned(field)} AND {confidence} >= 0.85D AND {norm} IS NOT NULL"
     return (
-        {f"__out_{field}": F.when(rewrite, norm).otherwise(kept),
-         f"__f_{field}": F.when(~ok, failing).when(changed, tidied)},
-        F.when(ok, 0).when(severity == "warning", 1).otherwise(2),
-    )
+        {f"__out_{field}": case(
+            (f"{ok} AND {changed}", norm), (f"NOT {ok} AND {doubtful}", norm), default=kept),
+         f"__f_{field}": case((f"NOT {ok}", failing), (changed, tidied))},
+        case((ok, "0"), (checks.warned(field), "1"), default="2"))
 
 
-def _name_columns(df, field, name):
-    cell = _cell(df, name)
-    reason = F.col(f"__{field}_reason")
-    tidy = F.col(f"__{field}_tidy")
-    changed = (tidy != "") & (tidy != cell)
+def _name(df, field, name) -> tuple[dict[str, str], str]:
+    cell, reason, tidy = _cell(df, name), f"__{field}_reason", f"__{field}_shown"
+    changed = f"{tidy} <> '' AND {tidy} <> {cell}"
     synthetic = _finding(
-        field, name, f"{field}.synthetic", "warning", reason, "kept", cell, None, 1.0, cell)
+        field, name, cell, f"'{field}.synthetic'", "'warning'", reason, "'kept'", cell)
     formatted = _finding(
-        field, name, f"{field}.formatted", "info", "Capitalización y espacios normalizados.",
-        "normalized", cell, tidy, 1.0, cell)
+        field, name, cell, f"'{field}.formatted'", "'info'",
+        "'Capitalización y espacios normalizados.'", "'normalized'", cell, tidy)
     return (
-        {f"__out_{field}": F.when(reason.isNull() & changed, tidy).otherwise(cell),
-         f"__f_{field}": F.when(reason.isNotNull(), synthetic).when(changed, formatted)},
-        F.when(reason.isNotNull(), 1).otherwise(0),
-    )
+        {f"__out_{field}": case((f"{reason} IS NULL AND {changed}", tidy), default=cell),
+         f"__f_{field}": case((f"{reason} IS NOT NULL", synthetic), (changed, formatted))},
+        f"IF({reason} IS NOT NULL, 1, 0)")
 
 
-def _number_columns(df, field, name, model: OutlierModel | None):
-    cell, value = _cell(df, name), F.col(f"__{field}_num")
+def _number(df, field, name, model: OutlierModel | None) -> tuple[dict[str, str], str]:
+    cell, value = _cell(df, name), f"__{field}_num"
     shown = text.float_repr(value)
     low, high, message = fixed.DOMAIN_RULES[field]
-    missing = _finding(
-        field, name, f"{field}.missing", "warning",
-        "Valor numérico ausente o no convertible.", "kept", None, None, 1.0, cell)
-    impossible = _finding(
-        field, name, f"{field}.impossible", "error", message, "quarantined",
-        shown, None, 1.0, cell)
-    outside = ~value.between(low, high)
-    finding = F.when(value.isNull(), missing).when(outside, impossible)
-    level = F.when(value.isNull(), 1).when(outside, 2)
-    if model is not None:
-        score = F.abs(outlier_score(value, model))
+    outside = f"NOT {value} BETWEEN {literal(low)} AND {literal(high)}"
+    slots = [
+        (f"{value} IS NULL", _finding(
+            field, name, cell, f"'{field}.missing'", "'warning'",
+            "'Valor numérico ausente o no convertible.'", "'kept'")),
+        (outside, _finding(
+            field, name, cell, f"'{field}.impossible'", "'error'", quote(message),
+            "'quarantined'", shown)),
+    ]
+    levels = [(f"{value} IS NULL", "1"), (outside, "2")]
+    if model is not None and model.scale > 0:
+        score = f"abs({outlier_score(value, model)})"
         lower, upper = model.bounds()
-        odd = _finding(
-            field, name, f"{field}.outlier", "warning",
-            f"Valor atípico. El rango habitual de esta columna va de {lower:,.0f} a {upper:,.0f}.",
-            "kept", shown, None, F.least(F.lit(0.99), score / 10), cell)
-        finding = finding.when(score > model.threshold, odd)
-        level = level.when(score > model.threshold, 1)
-    return {f"__f_{field}": finding}, level.otherwise(0)
+        odd = (f"Valor atípico. El rango habitual de esta columna va de {lower:,.0f} "
+               f"a {upper:,.0f}.")
+        is_odd = f"{score} > {literal(float(model.threshold))}"
+        slots.append((is_odd, _finding(
+            field, name, cell, f"'{field}.outlier'", "'warning'", quote(odd), "'kept'", shown,
+            confidence=f"least(0.99D, {score} / 10)")))
+        levels.append((is_odd, "1"))
+    return {f"__f_{field}": case(*slots)}, case(*levels, default="0")
 
 
 def evaluate(
     df: DataFrame, fields: dict[str, str], models: dict[str, OutlierModel] | None = None
 ) -> DataFrame:
     """Check every recognised column. ``fields`` maps canonical field → column."""
-    models = models or {}
-    columns = list(df.columns)
+    columns, models = list(df.columns), models or {}
     ids = {f: fields[f] for f in fixed.IDENTIFIER_FIELDS if f in fields}
     checked = checks.apply_checks(df, ids) if ids else df
 
-    prepared: dict[str, Column] = {}
+    tidied, judged = {}, {}
     for field in fixed.NAME_FIELDS:
         if field in fields:
             cell = _cell(df, fields[field])
-            tidy = text.title_case_name if field == "name" else text.collapse_spaces
-            prepared[f"__{field}_reason"] = text.synthetic_reason(cell)
-            prepared[f"__{field}_tidy"] = tidy(F.coalesce(cell, F.lit("")))
+            tidied[f"__{field}_tidy"] = text.collapse_spaces(f"coalesce({cell}, '')")
+            judged[f"__{field}_reason"] = text.reason_of_tidy(f"__{field}_tidy")
+            judged[f"__{field}_shown"] = (
+                text.title_case_name(f"__{field}_tidy") if field == "name"
+                else f"__{field}_tidy")
     for field in fixed.NUMERIC_FIELDS:
         if field in fields:
             name = fields[field]
-            prepared[f"__{field}_num"] = numeric_value(
-                F.col(f"`{name}`"), df.schema[name].dataType)
-    if prepared:
-        checked = checked.withColumns(prepared)
-
-    made: dict[str, Column] = {}
-    levels: list[Column] = []
+            judged[f"__{field}_num"] = numeric_value(ident(name), df.schema[name].dataType)
+    made: dict[str, str] = {}
+    levels: list[str] = []
     for field, name in fields.items():
         if field in fixed.IDENTIFIER_FIELDS:
-            new, level = _identifier_columns(df, field, name)
+            new, level = _identifier(df, field, name)
         elif field in fixed.NAME_FIELDS:
-            new, level = _name_columns(df, field, name)
+            new, level = _name(df, field, name)
         elif field in fixed.NUMERIC_FIELDS:
-            new, level = _number_columns(df, field, name, models.get(field))
+            new, level = _number(df, field, name, models.get(field))
         else:
             continue
         made.update(new)
         levels.append(level)
-    worst = F.greatest(*levels) if len(levels) > 1 else (levels[0] if levels else F.lit(0))
-    return checked.select(
-        *[F.col(f"`{c}`") for c in columns],
-        *[col.alias(name) for name, col in made.items()],
-        worst.cast("int").alias("__level"),
-    )
+    worst = f"greatest({', '.join(levels)})" if len(levels) > 1 else (levels or ["0"])[0]
+    made["__worst"] = f"CAST({worst} AS INT)"
+    out = [*map(ident, columns), *[c for c in made if c != "__worst"]]
+    return staged(
+        checked, [tidied, judged, made], [*out, pinned({"__level": "__worst"})])
 
 
 def source_columns(evaluated: DataFrame) -> list[str]:
     return [c for c in evaluated.columns if not c.startswith("__")]
 
 
-def findings(evaluated: DataFrame, *carry: Column, row_id: str = ROW_ID) -> DataFrame:
-    """One row per finding: a single Generate over a single scan."""
-    slots = [F.col(c) for c in evaluated.columns if c.startswith("__f_")]
-    out = [F.col(row_id).alias(ROW_ID), *carry]
-    if not slots:
-        empty = "struct<seq:int,column:string,rule:string,severity:string,level:int," \
-            "message:string,action:string,original:string,proposed:string," \
-            "confidence:double,cell:string>"
-        slots = [F.lit(None).cast(empty)]
-    return evaluated.select(*out, F.inline(F.array(*slots))).where(F.col("rule").isNotNull())
-
+def findings(evaluated: DataFrame, *carry: str, row_id: str = ROW_ID) -> DataFrame:
+    """One row per finding: a single Generate over a single scan.
 
-FINDING_COLUMNS = (
-    "seq", "row_id", "column", "rule", "severity", "level", "message", "action",
-    "original", "proposed", "confidence",
-)
+    ``carry``: further SQL expressions of the evaluated row to take along.
+    """
+    slots = [c for c in evaluated.columns if c.startswith("__f_")] or [_EMPTY_SLOT]
+    return evaluated.selectExpr(
+        f"{ident(row_id)} AS row_id", *carry, f"inline(array({', '.join(slots)}))"
+    ).where("rule IS NOT NULL")
 
 
 def findings_table(evaluated: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    return findings(evaluated, row_id=row_id).select(*FINDING_COLUMNS)
+    return findings(evaluated, row_id=row_id).selectExpr(*map(ident, FINDING_COLUMNS))
 
 
 def corrected(evaluated: DataFrame, fields: dict[str, str], apply: bool = True) -> DataFrame:
@@ -190,22 +176,22 @@ def corrected(evaluated: DataFrame, fields: dict[str, str], apply: bool = True)
     out = []
     for name in source_columns(evaluated):
         made = f"__out_{by_column.get(name)}"
-        use = apply and made in present
-        out.append(F.col(made).alias(name) if use else F.col(f"`{name}`"))
-    return evaluated.select(*out, F.col("__level"))
+        out.append(f"{made} AS {ident(name)}" if apply and made in present else ident(name))
+    return evaluated.selectExpr(*out, "__level")
 
 
 def split(table: DataFrame, quarantine_on: str = "error") -> tuple[DataFrame, DataFrame]:
     """Valid rows and quarantined rows; with "info" every row is quarantined."""
     bar = fixed.LEVEL[quarantine_on]
-    level = F.col("__level")
-    return table.where(level < bar).drop("__level"), table.where(level >= bar).drop("__level")
+    return (
+        table.where(f"__level < {bar}").drop("__level"),
+        table.where(f"__level >= {bar}").drop("__level"))
 
 
 def any_quarantined(evaluated: DataFrame, quarantine_on: str = "error") -> DataFrame:
     """Quality gate: one row, ``exit_code`` 1 when some row is quarantined."""
-    hit = evaluated.where(F.col("__level") >= fixed.LEVEL[quarantine_on]).select("__level").limit(1)
-    return hit.agg(F.count("*").cast("int").alias("exit_code"))
+    hit = evaluated.where(f"__level >= {fixed.LEVEL[quarantine_on]}").select("__level").limit(1)
+    return hit.selectExpr("CAST(count(*) AS INT) AS exit_code")
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:

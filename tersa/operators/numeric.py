@@ -14,11 +14,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
+from ..functions.sql import case, ident, literal, quote, select
 from ..functions.text import strip
 
 EXACT_LIMIT = 2_000_000
@@ -59,20 +60,22 @@ def models_table(spark, models: dict[str, OutlierModel]) -> DataFrame:
     return spark.createDataFrame(rows, MODEL_SCHEMA)
 
 
-def numeric_value(col: Column, dtype: T.DataType) -> Column:
+def numeric_value(e: str, dtype: T.DataType) -> str:
     """Cell as a finite double; what cannot be read, NaN and infinities are null."""
     if isinstance(dtype, T.NumericType):
-        value = col.cast("double")
+        value = f"CAST({e} AS DOUBLE)"
     else:
-        shown = strip(col.cast("string"))
-        value = F.when(shown.rlike(_NUMBER), shown.try_cast("double"))
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+        shown = strip(f"CAST({e} AS STRING)")
+        value = case((f"{shown} RLIKE {quote(_NUMBER)}", f"try_cast({shown} AS DOUBLE)"))
+    return case((f"NOT isnan({value}) AND abs({value}) <> double('Infinity')", value))
 
 
-def outlier_score(value: Column, model: OutlierModel) -> Column:
+def outlier_score(value: str, model: OutlierModel) -> str:
     if model.scale == 0:
-        return F.when(value.isNotNull(), F.lit(0.0))
-    return F.lit(fixed.MAD_TO_SIGMA) * (value - F.lit(model.median)) / F.lit(model.scale)
+        return f"IF({value} IS NOT NULL, 0.0D, NULL)"
+    return (
+        f"({literal(fixed.MAD_TO_SIGMA)} * ({value} - {literal(model.median)}) "
+        f"/ {literal(model.scale)})")
 
 
 def _bracket(part: DataFrame, rank: int, rows: int) -> tuple[float, float]:
@@ -122,17 +125,17 @@ def exact_median(df: DataFrame, rows: int, limit: int = EXACT_LIMIT) -> float:
     return lower if upto > rank else (lower + after) / 2
 
 
-def _medians(df: DataFrame, columns: dict[str, Column], sizes: dict[str, tuple[int, int]],
+def _medians(df: DataFrame, columns: dict[str, str], sizes: dict[str, tuple[int, int]],
              limit: int) -> dict[str, float]:
     """Medians of several expressions; one aggregate for all that fit the limit."""
-    small = {k: c for k, c in columns.items() if sizes[k][1] <= limit}
+    small = {k: e for k, e in columns.items() if sizes[k][1] <= limit}
     out: dict[str, float] = {}
     if small:
-        row = df.agg(*[F.median(c).alias(k) for k, c in small.items()]).head()
-        out.update(row.asDict())
-    for k, c in columns.items():
+        out.update(df.selectExpr(
+            *[f"median({e}) AS {ident(k)}" for k, e in small.items()]).head().asDict())
+    for k, e in columns.items():
         if k not in small:
-            part = df.select(c.alias("x")).where(F.col("x").isNotNull())
+            part = df.selectExpr(f"{e} AS x").where("x IS NOT NULL")
             out[k] = exact_median(part, sizes[k][0], limit)
     return out
 
@@ -149,20 +152,19 @@ def fit_models(
     """
     if not fields:
         return {}
-    values = {
-        f: numeric_value(F.col(f"`{c}`"), df.schema[c].dataType) for f, c in fields.items()
-    }
-    row = df.agg(
-        *[F.count(v).alias(f"n_{f}") for f, v in values.items()],
-        *[F.approx_count_distinct(v).alias(f"d_{f}") for f, v in values.items()],
+    values = {f: numeric_value(ident(c), df.schema[c].dataType) for f, c in fields.items()}
+    row = df.selectExpr(
+        *[f"count({v}) AS {ident('n_' + f)}" for f, v in values.items()],
+        *[f"approx_count_distinct({v}) AS {ident('d_' + f)}" for f, v in values.items()],
     ).head()
     sizes = {f: (row[f"n_{f}"], row[f"d_{f}"]) for f in fields}
     some = {f: v for f, v in values.items() if sizes[f][0]}
     centre = _medians(df, some, sizes, exact_limit)
-    spread = {f: F.abs(v - F.lit(centre[f])) for f, v in some.items()}
+    spread = {f: f"abs({v} - {literal(centre[f])})" for f, v in some.items()}
     mads = _medians(df, spread, sizes, exact_limit)
     flat = [f for f in some if not mads[f] > 0]
-    means = df.agg(*[F.avg(spread[f]).alias(f) for f in flat]).head().asDict() if flat else {}
+    means = df.selectExpr(
+        *[f"avg({spread[f]}) AS {ident(f)}" for f in flat]).head().asDict() if flat else {}
 
     models = {}
     for field, column in fields.items():
@@ -186,12 +188,12 @@ def mad_outliers(
 ) -> DataFrame:
     """Any numeric column: adds ``score`` and ``is_outlier``; missing values get null."""
     model = fit_models(df, {"value": column}, threshold, exact_limit)["value"]
-    score = outlier_score(numeric_value(F.col(f"`{column}`"), df.schema[column].dataType), model)
-    return df.withColumn("score", score).withColumn(
-        "is_outlier", F.abs(F.col("score")) > threshold)
+    value = numeric_value(ident(column), df.schema[column].dataType)
+    scored = select(df, {"score": outlier_score(value, model)})
+    return select(scored, {"is_outlier": f"abs(score) > {literal(float(threshold))}"})
 
 
-def domain_message(value: Column, field: str) -> Column:
+def domain_message(value: str, field: str) -> str:
     """Message of the broken hard limit, or null when the value is possible."""
     low, high, message = fixed.DOMAIN_RULES[field]
-    return F.when(~value.between(low, high), message)
+    return case((f"NOT {value} BETWEEN {literal(low)} AND {literal(high)}", quote(message)))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.privacy import MASKS, Pseudonymizer
+from ..functions.sql import ident, replace
 from ..functions.text import column_as_text
 
 
@@ -14,16 +14,15 @@ def pseudonymise(df: DataFrame, fields: dict[str, str], keyed: Pseudonymizer | N
     if keyed is None:
         raise ValueError(
             "Se ha pedido seudonimizar sin configurar la clave: falta el Pseudonymizer.")
-    return df.withColumns({
-        fields[f]: keyed.token(F.col(f"`{fields[f]}`"), f, df.schema[fields[f]].dataType)
+    return replace(df, {
+        fields[f]: keyed.token(ident(fields[f]), f, df.schema[fields[f]].dataType)
         for f in fixed.PSEUDONYM_FIELDS if fields.get(f) in df.columns
     })
 
 
 def mask(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    return df.withColumns({
-        fields[f]: MASKS[f](column_as_text(
-            F.col(f"`{fields[f]}`"), df.schema[fields[f]].dataType))
+    return replace(df, {
+        fields[f]: MASKS[f](column_as_text(ident(fields[f]), df.schema[fields[f]].dataType))
         for f in fixed.MASK_FIELDS if fields.get(f) in df.columns
     })
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.sql import literal, quote
 from ..functions.text import rule_label, thousands
 
 
@@ -29,7 +30,7 @@ def counts_by_severity(findings: DataFrame) -> DataFrame:
 
 def top_rules(findings: DataFrame, n: int = 12) -> DataFrame:
     return counts_by_rule(findings).limit(n).select(
-        "rule", rule_label(F.col("rule")).alias("label"), "count")
+        "rule", F.expr(rule_label("rule")).alias("label"), "count")
 
 
 @dataclass(frozen=True)
@@ -42,11 +43,10 @@ class CostAssumption:
 
 def cost_total(findings: DataFrame, cost: CostAssumption | None) -> DataFrame:
     """Error findings times the given unit cost; no cost means no figure."""
-    errors = F.count_if(F.col("severity") == "error")
-    euros = F.lit(cost.euros_per_error if cost else None).cast("double")
-    return findings.agg(errors.alias("errors")).select(
-        "errors", euros.alias("euros_per_error"), (euros * F.col("errors")).alias("total"),
-        F.lit(cost.source if cost else None).cast("string").alias("cost_source"))
+    euros = literal(float(cost.euros_per_error)) if cost else "CAST(NULL AS DOUBLE)"
+    return findings.selectExpr("count_if(severity = 'error') AS errors").selectExpr(
+        "errors", f"{euros} AS euros_per_error", f"{euros} * errors AS total",
+        f"{quote(cost.source if cost else None)} AS cost_source")
 
 
 REPORT_SCHEMA = (
@@ -102,68 +102,61 @@ _METHOD_NOTE = (
 def report_sections(
     report: DataFrame, cost: CostAssumption | None = None, top: int = 12
 ) -> DataFrame:
-    """The report as rows ``(position, section, label, value, alert, note)``."""
-    def section(position, title, entries, note=None):
-        """``entries``: array of (label, value, alert) structs."""
-        note = note if note is not None else F.lit("")
-        return report.select(
-            F.lit(position).alias("position"), F.lit(title).alias("section"),
-            F.posexplode_outer(entries).alias("line", "entry"), note.alias("note")
-        ).select("position", "section", F.coalesce("line", F.lit(0)).alias("line"),
-                 "entry.label", "entry.value", "entry.alert", "note")
-
-    def entry(label, value, alert=None):
-        return F.struct(
-            F.lit(label).alias("label"), value.alias("value"),
-            (alert if alert is not None else F.lit(False)).alias("alert"))
-
-    def count(name):
-        return thousands(F.col(name))
-
-    nothing = F.array().cast("array<struct<label:string,value:string,alert:boolean>>")
-    rules = F.map_entries("counts_by_rule")
-    ranked = F.array_sort(rules, lambda a, b: F.when(a["value"] > b["value"], -1).when(
-        a["value"] < b["value"], 1).otherwise(0))
-    shown = F.transform(F.slice(ranked, 1, top), lambda e: F.struct(
-        rule_label(e["key"]).alias("label"), thousands(e["value"]).alias("value"),
-        F.lit(False).alias("alert")))
-    more = F.when(F.size(rules) > top, F.concat(
-        F.lit(f"Se muestran los {top} tipos más frecuentes de "),
-        F.size(rules).cast("string"), F.lit("."))).otherwise("")
-    columns = F.transform(F.slice(F.map_entries("columns_detected"), 1, 15), lambda e: F.struct(
-        e["key"].alias("label"), e["value"].alias("value"), F.lit(False).alias("alert")))
-    left_over = F.when(F.size("unmapped_columns") > 0, F.concat(
-        F.lit("Columnas no reconocidas y conservadas sin modificar: "),
-        F.array_join(F.slice("unmapped_columns", 1, 20), ", "))).otherwise("")
-    errors = F.element_at("counts_by_severity", "error")
-    parts = [
-        section(0, "Resumen", F.array(
-            entry("Filas analizadas", count("rows_in")),
-            entry("Filas sin incidencias", count("rows_valid")),
-            entry("Filas en cuarentena", count("rows_quarantined"), F.col("rows_quarantined") > 0),
-            entry("Grupos de duplicados", count("duplicate_groups"), F.col("duplicate_groups") > 0),
-            entry("Tiempo de proceso", F.concat(count("duration_ms"), F.lit(" ms"))),
-        ), F.lit(_QUARANTINE_NOTE)),
-        section(1, "Incidencias por tipo", shown, more).where("label is not null"),
-        section(2, "Columnas reconocidas", columns, left_over).where("label is not null"),
-    ]
+    """The report as rows ``(position, section, line, label, value, alert, note)``."""
+    def entry(label, value, alert="false"):
+        return f"named_struct('label', {quote(label)}, 'value', {value}, 'alert', {alert})"
+
+    nothing = "CAST(array() AS ARRAY<STRUCT<label:STRING,value:STRING,alert:BOOLEAN>>)"
+    by_count = "(a, b) -> CASE WHEN a.value > b.value THEN -1 WHEN a.value < b.value THEN 1 ELSE 0 END"
+    rules = (
+        f"transform(slice(array_sort(map_entries(counts_by_rule), {by_count}), 1, {top}), e -> "
+        f"named_struct('label', {rule_label('e.key')}, 'value', {thousands('e.value')}, "
+        "'alert', false))")
+    more = (
+        f"IF(size(counts_by_rule) > {top}, concat('Se muestran los {top} tipos más frecuentes "
+        "de ', size(counts_by_rule), '.'), '')")
+    columns = (
+        "transform(slice(map_entries(columns_detected), 1, 15), e -> "
+        "named_struct('label', e.key, 'value', e.value, 'alert', false))")
+    left_over = (
+        "IF(size(unmapped_columns) > 0, concat('Columnas no reconocidas y conservadas sin "
+        "modificar: ', array_join(slice(unmapped_columns, 1, 20), ', ')), '')")
     if cost is None:
-        parts.append(section(3, "Impacto económico", nothing, F.lit(_NO_COST_NOTE)))
+        impact, note = nothing, _NO_COST_NOTE
     else:
-        unit = cost.euros_per_error
-
-        def euros(col):
-            return F.concat(F.format_number(col, 2), F.lit(" EUR"))
-
-        parts.append(section(3, "Impacto económico", F.array(
+        unit, errors = literal(float(cost.euros_per_error)), "counts_by_severity['error']"
+        impact = "array(" + ", ".join([
             entry("Incidencias demostrables", thousands(errors)),
-            entry("Coste por incidencia", euros(F.lit(float(unit)))),
-            entry("Total", euros(errors * F.lit(float(unit))), errors > 0),
-        ), F.lit(
+            entry("Coste por incidencia", f"concat(format_number({unit}, 2), ' EUR')"),
+            entry("Total", f"concat(format_number({errors} * {unit}, 2), ' EUR')",
+                  f"{errors} > 0"),
+        ]) + ")"
+        note = (
             f"El coste por incidencia lo ha aportado el cliente. Origen: {cost.source}. "
-            "Esta cifra no se ha estimado ni validado.")))
-    parts.append(section(4, "Metodología", nothing, F.lit(_METHOD_NOTE)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.orderBy("position", "line")
+            "Esta cifra no se ha estimado ni validado.")
+    summary = "array(" + ", ".join([
+        entry("Filas analizadas", thousands("rows_in")),
+        entry("Filas sin incidencias", thousands("rows_valid")),
+        entry("Filas en cuarentena", thousands("rows_quarantined"), "rows_quarantined > 0"),
+        entry("Grupos de duplicados", thousands("duplicate_groups"), "duplicate_groups > 0"),
+        entry("Tiempo de proceso", f"concat({thousands('duration_ms')}, ' ms')"),
+    ]) + ")"
+    sections = [
+        ("Resumen", summary, quote(_QUARANTINE_NOTE)),
+        ("Incidencias por tipo", rules, more),
+        ("Columnas reconocidas", columns, left_over),
+        ("Impacto económico", impact, quote(note)),
+        ("Metodología", nothing, quote(_METHOD_NOTE)),
+    ]
+    blocks = ", ".join(
+        f"named_struct('position', {i}, 'section', {quote(title)}, 'entries', {entries}, "
+        f"'note', {text})" for i, (title, entries, text) in enumerate(sections))
+    optional = "section IN ('Incidencias por tipo', 'Columnas reconocidas')"
+    return (
+        report.selectExpr(f"inline(array({blocks}))")
+        .where(f"NOT ({optional} AND size(entries) = 0)")
+        .selectExpr("position", "section", "posexplode_outer(entries) AS (line, entry)", "note")
+        .selectExpr("position", "section", "coalesce(line, 0) AS line", "entry.label AS label",
+                    "entry.value AS value", "entry.alert AS alert", "note")
+        .orderBy("position", "line")
+    )

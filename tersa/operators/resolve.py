@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.sql import any_of, case, ident, literal, lookup, pinned, select, staged
 from ..functions.text import cell_text, company_key, normalize_key, strip
 from ..session import materialize
 from .components import connected_components
@@ -32,49 +33,52 @@ class Duplicates:
     groups: DataFrame  # group_id, key_type, key_value, confidence, survivor_row, size
 
 
-def _usable(cell: Column) -> Column:
+def _usable(cell: str) -> str:
     """Text that can act as evidence: not null, blank or a null token."""
-    return ~F.lower(strip(F.coalesce(cell, F.lit("")))).isin(*fixed.NULL_TOKENS)
+    return f"NOT {any_of(f"lower({strip(f"coalesce({cell}, '')")})", fixed.NULL_TOKENS)}"
 
 
-def _cells(df: DataFrame, fields: dict[str, str], names) -> dict[str, Column]:
+def _cells(df: DataFrame, fields: dict[str, str], names) -> dict[str, str]:
     return {
-        f: cell_text(F.col(f"`{fields[f]}`"), df.schema[fields[f]].dataType)
+        f: cell_text(ident(fields[f]), df.schema[fields[f]].dataType)
         for f in names if f in fields
     }
 
 
-def name_key_columns(df: DataFrame, fields: dict[str, str]) -> tuple[Column, Column]:
-    """Block (first five characters of the raw postal code) and comparison key."""
+def with_name_key(df: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Adds ``__block`` (start of the raw postal code) and ``__key`` (comparison key).
+
+    The company decides when there is one, the contact's name otherwise.
+    """
     cells = _cells(df, fields, ("company", "name", "postal_code"))
-    missing = F.lit(None).cast("string")
-    company, name = cells.get("company", missing), cells.get("name", missing)
-    has_company = _usable(company)
-    chosen = F.when(has_company, company).when(_usable(name), name)
-    plain = normalize_key(chosen)
-    key = F.when(has_company, company_key(plain)).otherwise(plain)
-    block = F.substring(F.coalesce(cells.get("postal_code", missing), F.lit("")), 1, 5)
-    return F.when(block == "", "_").otherwise(block), key
+    nothing = "CAST(NULL AS STRING)"
+    company, name = cells.get("company", nothing), cells.get("name", nothing)
+    block = f"substring(coalesce({cells.get('postal_code', nothing)}, ''), 1, 5)"
+    stages = [
+        {"__is_company": _usable(company),
+         "__chosen": case((_usable(company), company), (_usable(name), name)),
+         "__block": f"coalesce(nullif({block}, ''), '_')"},
+        {"__plain": normalize_key("__chosen")},
+    ]
+    key = f"IF(__is_company, {company_key('__plain')}, __plain)"
+    return staged(df, stages, [*map(ident, df.columns), "__block", pinned({"__key": key})])
 
 
 def key_rows(df: DataFrame, fields: dict[str, str], row_id: str = "row_id") -> DataFrame:
     """One row per (row, usable key): ``row_id, key_type, block, key``."""
     slots = []
     for kind, cell in _cells(df, fields, fixed.KEY_CONFIDENCE).items():
-        key = F.when(_usable(cell), F.lower(strip(cell)))
-        slots.append(F.struct(
-            F.lit(kind).alias("key_type"), F.lit("").alias("block"), key.alias("key")))
+        key = case((_usable(cell), f"lower({strip(cell)})"))
+        slots.append(f"named_struct('key_type', '{kind}', 'block', '', 'key', {key})")
     if "company" in fields or "name" in fields:
-        block, key = name_key_columns(df, fields)
-        slots.append(F.struct(
-            F.lit("name").alias("key_type"), block.alias("block"),
-            F.when(key != "", key).alias("key")))
+        df = with_name_key(df, fields)
+        slots.append(
+            "named_struct('key_type', 'name', 'block', __block, 'key', nullif(__key, ''))")
     if not slots:
-        return df.select(
-            F.col(row_id).alias("row_id"), F.lit("").alias("key_type"), F.lit("").alias("block"),
-            F.lit(None).cast("string").alias("key")).where("key is not null")
-    return df.select(
-        F.col(row_id).alias("row_id"), F.inline(F.array(*slots))).where("key is not null")
+        slots = ["named_struct('key_type', '', 'block', '', 'key', CAST(NULL AS STRING))"]
+    return df.selectExpr(
+        f"{ident(row_id)} AS row_id", f"inline(array({', '.join(slots)}))"
+    ).where("key IS NOT NULL")
 
 
 def key_buckets(rows: DataFrame) -> DataFrame:
@@ -122,32 +126,28 @@ def _gram_size(threshold: float) -> int:
     return 2 if threshold > 0.86 else 1  # pairs survive for certain above 6/7
 
 
-def gram_codes(key: Column, q: int) -> Column:
+def _gram_codes(key: str, q: int) -> str:
     """Distinct q-grams (q ≤ 2) of a string as small integers."""
-    def code(i):
-        first = F.ascii(F.substring(key, i, F.lit(1))) * 128
-        second = F.ascii(F.substring(key, i + 1, F.lit(1))) if q == 2 else F.lit(0)
-        return F.pmod(first + second, F.lit(_GRAM_CODES))
-
-    last = F.length(key) - (q - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), code)
-    return F.array_distinct(F.when(last >= 1, grams))
+    second = f" + ascii(substring({key}, i + 1, 1))" if q == 2 else ""
+    code = f"pmod(ascii(substring({key}, i, 1)) * 128{second}, {_GRAM_CODES})"
+    last = f"length({key}) - {q - 1}"
+    return case((f"{last} >= 1", (
+        f"array_distinct(transform(sequence(1, greatest({last}, 1)), i -> {code}))")))
 
 
 def _gram_prefixes(keys: DataFrame, threshold: float) -> DataFrame:
     """Adds ``gram``: one row per rare gram that must be shared by a similar key."""
     q = _gram_size(threshold)
-    coded = keys.withColumn("codes", gram_codes(F.col("key"), q))
+    coded = select(keys, {"codes": _gram_codes("key", q)})
     # At most _GRAM_CODES counters reach the driver, whatever the data.
-    counts = dict(coded.select(F.explode("codes").alias("c")).groupBy("c").count().collect())
+    counts = dict(coded.selectExpr("explode(codes) AS c").groupBy("c").count().collect())
     table = ",".join(str(counts.get(c, 0)) for c in range(_GRAM_CODES))
-    frequency = F.split(F.lit(table), ",").cast("array<bigint>")
-    share = 2 * q * (1 - threshold) / (2 - threshold)
-    keep = F.floor(F.length("key") * F.lit(share) + F.lit(1e-9)).cast("int") + 1
-    ordered = F.array_sort(F.transform(
-        "codes", lambda c: F.struct(F.element_at(frequency, c + 1).alias("f"), c.alias("c"))))
-    return coded.withColumn("gram", F.explode(F.slice(ordered, F.lit(1), keep).getField("c"))).drop(
-        "codes")
+    share = literal(2.0 * q * (1 - threshold) / (2 - threshold))
+    ordered = (
+        f"array_sort(transform(codes, c -> struct(element_at("
+        f"CAST(split('{table}', ',') AS ARRAY<BIGINT>), c + 1) AS f, c AS c)))")
+    keep = f"CAST(floor(length(key) * {share} + 1e-9D) AS INT) + 1"
+    return select(coded, {"gram": f"explode(slice({ordered}, 1, {keep}).c)"}, keep=keys.columns)
 
 
 def name_candidates(
@@ -165,32 +165,23 @@ def name_candidates(
         tokens = materialize(tokens, "tokens")
         crowd = materialize(
             tokens.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "crowds")
-        sized = attach(tokens, crowd, on, "n", floor).withColumn(
-            "cells", F.ceil(F.col("n") / _CELL).cast("int"))
-        left = sized.withColumn("cell", F.pmod(F.xxhash64("key"), F.col("cells")).cast("int"))
-        right = sized.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        sized = select(attach(tokens, crowd, on, "n", floor), {
+            "cells": f"CAST(ceil(n / {_CELL}) AS INT)"})
+        left = select(sized, {"cell": "CAST(pmod(xxhash64(key), cells) AS INT)"})
+        right = select(sized, {"cell": "explode(sequence(0, cells - 1))"})
         on = [*on, "cell"]
-    a, b = left.alias("a"), right.alias("b")
-    la, lb = F.length("a.key"), F.length("b.key")
-    close = F.expr(
-        "levenshtein(a.key, b.key, cast(floor("
-        f"(length(a.key) + length(b.key)) * {1 - threshold!r}D + 1e-9D) as int)) >= 0")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    condition = (
-        (F.col("a.key") < F.col("b.key"))
-        & (F.abs(la - lb) / F.greatest(la, lb) <= 0.2)
-        & (2 * F.least(la, lb) >= F.lit(threshold) * (la + lb) - 1e-9)
-    )
-    for term in same:
-        condition = term & condition
-    return (
-        a.join(b, condition & close)
-        .select(
-            F.col("a.block").alias("block"), F.col("a.key").alias("key_a"),
-            F.col("b.key").alias("key_b"), F.col("a.lo").alias("lo_a"),
-            F.col("a.hi").alias("hi_a"), F.col("b.lo").alias("lo_b"), F.col("b.hi").alias("hi_b"))
-        .dropDuplicates(["block", "key_a", "key_b"])
-    )
+    la, lb = "length(a.key)", "length(b.key)"
+    condition = " AND ".join([
+        *[f"a.{c} = b.{c}" for c in on],
+        "a.key < b.key",
+        f"abs({la} - {lb}) / greatest({la}, {lb}) <= 0.2D",
+        f"2 * least({la}, {lb}) >= {literal(float(threshold))} * ({la} + {lb}) - 1e-9D",
+        f"levenshtein(a.key, b.key, CAST(floor(({la} + {lb}) * {literal(1.0 - threshold)} "
+        "+ 1e-9D) AS INT)) >= 0",
+    ])
+    return left.alias("a").join(right.alias("b"), F.expr(condition)).selectExpr(
+        "a.block AS block", "a.key AS key_a", "b.key AS key_b", "a.lo AS lo_a", "a.hi AS hi_a",
+        "b.lo AS lo_b", "b.hi AS hi_b").dropDuplicates(["block", "key_a", "key_b"])
 
 
 def _ratio_udf():
@@ -217,9 +208,8 @@ def _ratio_udf():
 
 def score_names(candidates: DataFrame, threshold: float) -> DataFrame:
     """Candidate pairs that reach the threshold, with their ``score``."""
-    score = _ratio_udf()(
-        "key_a", "key_b", F.col("lo_a") < F.col("hi_b"), F.col("lo_b") < F.col("hi_a"))
-    return candidates.withColumn("score", score).where(F.col("score") >= threshold)
+    score = _ratio_udf()("key_a", "key_b", F.expr("lo_a < hi_b"), F.expr("lo_b < hi_a"))
+    return candidates.withColumn("score", score).where(f"score >= {literal(float(threshold))}")
 
 
 # --- groups ----------------------------------------------------------------
@@ -230,22 +220,16 @@ def _evidence(links: DataFrame, pairs: DataFrame | None) -> DataFrame:
     Within a repeated key all links weigh the same, so its first two rows speak
     for it. A pair of keys that themselves repeat is weaker than the repetition.
     """
-    confidence = F
-    for kind, value in fixed.KEY_CONFIDENCE.items():
-        confidence = confidence.when(F.col("key_type") == kind, F.lit(value))
-    confidence = confidence.otherwise(F.lit(1.0 * fixed.NAME_WEIGHT))
+    weight = lookup("key_type", fixed.KEY_CONFIDENCE, literal(fixed.NAME_WEIGHT))
     found = links.groupBy("key_type", "head").agg(
         F.min("row_id").alias("j"), F.max("key").alias("key_value")
-    ).select(
-        F.col("head").alias("i"), "j", "key_type", "key_value", confidence.alias("confidence"))
+    ).selectExpr("head AS i", "j", "key_type", "key_value", f"{weight} AS confidence")
     if pairs is None:
         return found
-    first = F.col("lo_a") < F.col("lo_b")
-    return found.unionByName(pairs.select(
-        F.least("lo_a", "lo_b").alias("i"), F.greatest("lo_a", "lo_b").alias("j"),
-        F.lit("name").alias("key_type"),
-        F.when(first, F.col("key_a")).otherwise(F.col("key_b")).alias("key_value"),
-        (F.col("score") * fixed.NAME_WEIGHT).alias("confidence")))
+    return found.unionByName(pairs.selectExpr(
+        "least(lo_a, lo_b) AS i", "greatest(lo_a, lo_b) AS j", "'name' AS key_type",
+        "IF(lo_a < lo_b, key_a, key_b) AS key_value",
+        f"score * {literal(fixed.NAME_WEIGHT)} AS confidence"))
 
 
 def build_groups(
@@ -259,15 +243,10 @@ def build_groups(
     members = labels.select(
         "row_id", "group_id", (F.col("row_id") == F.col("group_id")).alias("is_survivor"))
 
-    phase = F
-    for kind, value in _PHASE.items():
-        phase = phase.when(F.col("key_type") == kind, F.lit(-value))
-    strength = F.struct("confidence", -F.col("i"), -F.col("j"), phase)
-    best = (
-        _evidence(links, pairs).join(labels.withColumnRenamed("row_id", "i"), "i")
-        .groupBy("group_id")
-        .agg(F.max_by(F.struct("key_type", "key_value", "confidence"), strength).alias("e"))
-    )
+    strength = f"struct(confidence, -i, -j, -{lookup('key_type', _PHASE, '9')})"
+    best = _evidence(links, pairs).join(labels.withColumnRenamed("row_id", "i"), "i").groupBy(
+        "group_id").agg(F.expr(
+            f"max_by(struct(key_type, key_value, confidence), {strength}) AS e"))
     sizes = labels.groupBy("group_id").agg(F.count("*").cast("int").alias("size"))
     groups = best.join(sizes, "group_id").select(
         "group_id", "e.key_type", "e.key_value", "e.confidence",
@@ -328,16 +307,13 @@ def duplicate_findings(found: Duplicates, floor: int = MIN_HEAVY_ROWS) -> DataFr
     """One warning per row that repeats a surviving one."""
     evidence = found.groups.select("group_id", "key_type", "confidence", "size")
     known = attach(found.members, evidence, ["group_id"], "size", floor).where("not is_survivor")
-    nothing = F.lit(None).cast("string")
-    return known.select(
-        F.lit(fixed.DUPLICATE_SEQ).alias("seq"), "row_id",
-        F.lit(fixed.ROW_COLUMN).alias("column"), F.lit("duplicate.group").alias("rule"),
-        F.lit("warning").alias("severity"), F.lit(1).alias("level"),
-        F.concat(
-            F.lit("Duplicado de la fila "), F.col("group_id").cast("string"),
-            F.lit(" por coincidencia de "), "key_type", F.lit(".")).alias("message"),
-        F.lit("kept").alias("action"), nothing.alias("original"), nothing.alias("proposed"),
-        "confidence")
+    return known.selectExpr(
+        f"{fixed.DUPLICATE_SEQ} AS seq", "row_id", f"'{fixed.ROW_COLUMN}' AS column",
+        "'duplicate.group' AS rule", "'warning' AS severity", "1 AS level",
+        "concat('Duplicado de la fila ', group_id, ' por coincidencia de ', key_type, '.') "
+        "AS message",
+        "'kept' AS action", "CAST(NULL AS STRING) AS original",
+        "CAST(NULL AS STRING) AS proposed", "confidence")
 
 
 def nested_groups(

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..functions.sql import any_of, ident, quote
 from ..functions.text import SPACE, cell_text, strip
 
 SAMPLE_ROWS = 1_000
@@ -42,7 +43,6 @@ class Profile:
 
 
 _NO_PROFILE = Profile(0, 0.0, {})
-_CLASS = re.compile(SPACE)
 _SPACED_PATTERNS = {
     field: pattern.replace(r"[^@\s]", "[^@" + SPACE[1:])
     for field, pattern, _ in fixed.CONTENT_PATTERNS
@@ -78,11 +78,10 @@ def _values(sample: DataFrame, columns: list[str]) -> dict[str, list[str]]:
     """First fifty non-null values of each column, as text."""
     picks = []
     for i, name in enumerate(columns):
-        cell = cell_text(F.col(f"`{name}`"), sample.schema[name].dataType)
-        kept = F.collect_list(F.when(cell.isNotNull(), F.struct("__pos", cell.alias("v"))))
-        picks.append(
-            F.slice(F.array_sort(kept), 1, SAMPLE_VALUES).getField("v").alias(f"c{i}"))
-    row = sample.agg(*picks).head()
+        cell = cell_text(ident(name), sample.schema[name].dataType)
+        kept = f"collect_list(IF({cell} IS NOT NULL, struct(__pos, {cell} AS v), NULL))"
+        picks.append(f"slice(array_sort({kept}), 1, {SAMPLE_VALUES}).v AS c{i}")
+    row = sample.selectExpr(*picks).head()
     return {name: row[f"c{i}"] for i, name in enumerate(columns)}
 
 
@@ -112,19 +111,22 @@ def profile_all_rows(df: DataFrame, columns: list[str] | None = None) -> dict[st
     columns = columns or list(df.columns)
     aggs = []
     for i, name in enumerate(columns):
-        aggs += _measures(cell_text(F.col(f"`{name}`"), df.schema[name].dataType), f"c{i}_")
-    row = df.agg(*aggs).head().asDict()
+        aggs += _measures(cell_text(ident(name), df.schema[name].dataType), f"c{i}_")
+    row = df.selectExpr(*aggs).head().asDict()
     return {name: _as_profile(row, f"c{i}_") for i, name in enumerate(columns)}
 
 
-def _measures(cell, prefix: str):
+def _measures(cell: str, prefix: str) -> list[str]:
     trimmed = strip(cell)
-    filled = cell.isNotNull() & ~trimmed.isin("", "nan", "None")
-    yield F.count_if(filled).alias(prefix + "present")
-    yield F.count_if(filled & trimmed.rlike(fixed.NUMERIC_TEXT)).alias(prefix + "numeric")
-    yield F.count_if(cell != "").alias(prefix + "filled")
+    filled = f"{cell} IS NOT NULL AND NOT {any_of(trimmed, ('', 'nan', 'None'))}"
+    counted = {
+        "present": filled,
+        "numeric": f"{filled} AND {trimmed} RLIKE {quote(fixed.NUMERIC_TEXT)}",
+        "filled": f"{cell} <> ''",
+    }
     for field, pattern in _SPACED_PATTERNS.items():
-        yield F.count_if((cell != "") & trimmed.rlike(pattern)).alias(prefix + field)
+        counted[field] = f"{cell} <> '' AND {trimmed} RLIKE {quote(pattern)}"
+    return [f"count_if({test}) AS {prefix}{name}" for name, test in counted.items()]
 
 
 def _as_profile(row: dict, prefix: str) -> Profile:
@@ -142,7 +144,7 @@ def _evidence(spark: SparkSession, values: dict[str, list[str]]) -> dict[str, Pr
         return {name: _NO_PROFILE for name in values}
     measured = (
         spark.createDataFrame(rows, "source string, cell string")
-        .groupBy("source").agg(*_measures(F.col("cell"), "")).collect()
+        .groupBy("source").agg(*map(F.expr, _measures("cell", ""))).collect()
     )
     found = {r["source"]: _as_profile(r.asDict(), "") for r in measured}
     return {name: found.get(name, _NO_PROFILE) for name in values}

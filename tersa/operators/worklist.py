@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions import fixed
-from ..functions.text import _literal_case, action_for, cell_text, strip
-from .evaluate import ROW_ID, findings, source_columns
+from ..functions.sql import case, ident, lookup
+from ..functions.text import action_for, cell_text, strip
+from .evaluate import ROW_ID, findings
 from .resolve import Duplicates, duplicate_findings
 
 
-def _who(evaluated: DataFrame, fields: dict[str, str]) -> tuple[Column, Column]:
+def _who(evaluated: DataFrame, fields: dict[str, str]) -> tuple[str, str]:
     """Name and tax id that let somebody find the customer."""
     def shown(field):
         if field not in fields:
-            return F.lit(None).cast("string")
-        cell = strip(cell_text(F.col(f"`{fields[field]}`"), evaluated.schema[fields[field]].dataType))
-        return F.when(~F.lower(cell).isin("", "nan"), cell)
+            return "CAST(NULL AS STRING)"
+        name = fields[field]
+        cell = strip(cell_text(ident(name), evaluated.schema[name].dataType))
+        return case((f"NOT lower({cell}) IN ('', 'nan')", cell))
 
-    client = F.coalesce(shown("company"), shown("name"), F.lit(""))
-    return client.alias("client"), F.coalesce(shown("tax_id"), F.lit("")).alias("document")
+    return (
+        f"coalesce({shown('company')}, {shown('name')}, '') AS client",
+        f"coalesce({shown('tax_id')}, '') AS document")
 
 
 def build_worklist(
@@ -39,30 +41,30 @@ def build_worklist(
     client, document = _who(evaluated, fields)
     lines = findings(evaluated, client, document, row_id=row_id)
     if duplicates is not None:
-        people = evaluated.select(F.col(row_id).alias(ROW_ID), client, document)
+        people = evaluated.selectExpr(f"{ident(row_id)} AS row_id", client, document)
         repeated = duplicate_findings(duplicates).join(people, ROW_ID, "left")
-        lines = lines.unionByName(repeated.withColumn("cell", F.lit(None).cast("string")))
+        lines = lines.unionByName(repeated.selectExpr("*", "CAST(NULL AS STRING) AS cell"))
     if not include_info:
         lines = lines.where("severity <> 'info'")
 
-    whole_row = F.col("column") == fixed.ROW_COLUMN
-    current = F.when(whole_row, "").otherwise(F.coalesce("original", "cell", F.lit("")))
+    whole_row = f"`column` = '{fixed.ROW_COLUMN}'"
+    current = "coalesce(original, cell, '')"
     made = {
-        "Fila en el fichero": F.col(ROW_ID) + 2,
-        "Cliente": F.coalesce("client", F.lit("")),
-        "NIF o CIF": F.coalesce("document", F.lit("")),
-        "Campo": F.when(whole_row, fixed.WHOLE_ROW_LABEL).otherwise(F.col("column")),
-        "Valor actual": F.when(F.lower(current) == "nan", "").otherwise(current),
-        "Problema": F.col("message"),
-        "Sugerencia": F.coalesce("proposed", F.lit("")),
-        "Qué hacer": action_for(F.col("rule")),
-        "Gravedad": _literal_case(F.col("severity"), fixed.SEVERITY_LABEL, F.lit("")),
-        "Confianza": F.round("confidence", 2),
-        "Regla": F.col("rule"),
+        "Fila en el fichero": "row_id + 2",
+        "Cliente": "coalesce(client, '')",
+        "NIF o CIF": "coalesce(document, '')",
+        "Campo": f"IF({whole_row}, '{fixed.WHOLE_ROW_LABEL}', `column`)",
+        "Valor actual": f"IF({whole_row} OR lower({current}) = 'nan', '', {current})",
+        "Problema": "message",
+        "Sugerencia": "coalesce(proposed, '')",
+        "Qué hacer": action_for("rule"),
+        "Gravedad": lookup("severity", fixed.SEVERITY_LABEL, "''"),
+        "Confianza": "round(confidence, 2)",
+        "Regla": "rule",
     }
-    out = lines.select(
-        *[made[c].alias(c) for c in fixed.WORKLIST_COLUMNS],
-        (2 - F.col("level")).alias("__priority"), F.col("seq").alias("__seq"))
+    out = lines.selectExpr(
+        *[f"{made[c]} AS {ident(c)}" for c in fixed.WORKLIST_COLUMNS],
+        "2 - level AS __priority", "seq AS __seq")
     if ordered:
         out = out.orderBy("__priority", "Fila en el fichero", "Campo", "__seq")
     return out.drop("__priority", "__seq")
@@ -70,21 +72,13 @@ def build_worklist(
 
 def worklist_summary(worklist: DataFrame) -> DataFrame:
     """Totals and the sentence shown above the list."""
-    kind = F.col("Gravedad")
-    totals = worklist.agg(
-        F.count("*").alias("lines"),
-        F.count_if(kind == "Error").alias("errors"),
-        F.count_if(kind == "Revisar").alias("to_review"),
-        F.countDistinct("Fila en el fichero").alias("rows"))
-    fix = F.when(F.col("errors") > 0, F.concat(
-        F.col("errors").cast("string"), F.lit(" para corregir")))
-    check = F.when(F.col("to_review") > 0, F.concat(
-        F.col("to_review").cast("string"), F.lit(" para revisar")))
-    sentence = F.concat(
-        F.concat_ws(" y ", fix, check), F.lit(", repartidas en "),
-        F.col("rows").cast("string"), F.lit(" filas."))
-    return totals.withColumn(
-        "summary", F.when(F.col("lines") == 0, "No hay nada que arreglar.").otherwise(sentence))
-
-
-__all__ = ["build_worklist", "worklist_summary", "source_columns"]
+    totals = worklist.selectExpr(
+        "count(*) AS lines", "count_if(Gravedad = 'Error') AS errors",
+        "count_if(Gravedad = 'Revisar') AS to_review",
+        "count(DISTINCT `Fila en el fichero`) AS rows")
+    sentence = (
+        "concat(concat_ws(' y ', IF(errors > 0, concat(errors, ' para corregir'), NULL), "
+        "IF(to_review > 0, concat(to_review, ' para revisar'), NULL)), "
+        "', repartidas en ', rows, ' filas.')")
+    return totals.selectExpr(
+        "*", f"IF(lines = 0, 'No hay nada que arreglar.', {sentence}) AS summary")
