@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +66,6 @@ def strip_accents_unicode(col: Column) -> Column:
     ``strip_accents`` covers every one-to-one letter natively; this variant is
     for data with compatibility characters that expand to several letters.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def full(values: pd.Series) -> pd.Series:
         import unicodedata as u

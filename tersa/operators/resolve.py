@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,8 +190,6 @@ def _ratio_udf():
 
     The measure is not symmetric, so both orders count when rows interleave.
     """
-    import pandas as pd
-
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series, a_first: pd.Series, b_first: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
