@@ -85,8 +85,13 @@ def strip_accents_unicode(col: Column) -> Column:
     return full(col)
 
 
+_OTHER_SPACES = SPACES.replace(" ", "")
+
+
 def collapse_spaces(e: str) -> str:
-    return f"trim(regexp_replace({e}, {quote(SPACE + '+')}, ' '))"
+    """Runs of white space become one space, none at the ends."""
+    even = f"translate({e}, {quote(_OTHER_SPACES)}, {quote(' ' * len(_OTHER_SPACES))})"
+    return f"trim(IF(contains({even}, '  '), regexp_replace({even}, ' +', ' '), {even}))"
 
 
 def normalize_key(e: str) -> str:
@@ -99,31 +104,38 @@ _FORMS = sorted(
     (form for forms in fixed.LEGAL_FORMS.values() for form in forms),
     key=lambda f: (-len(f.split()), f),
 )
-LEGAL_FORM = "(?<![^ ])(" + "|".join(_FORMS) + ")(?![^ ])"
+_FORM = "(?<![^ ])(" + "|".join(_FORMS) + ")(?![^ ])"
 
 
 def company_key(key: str) -> str:
     """Legal forms removed from a normalised key; the last one found goes last."""
-    form = quote(LEGAL_FORM)
-    last = f"try_element_at(regexp_extract_all({key}, {form}, 1), -1)"
+    last = f"regexp_extract({key}, {quote('^.*' + _FORM)}, 1)"
     short = lookup(last, {f: code for code, fs in fixed.LEGAL_FORMS.items() for f in fs}, "''")
-    kept = f"trim(regexp_replace(regexp_replace({key}, {form}, ' '), ' +', ' '))"
-    return case((f"{key} RLIKE {form}", f"trim(concat({kept}, ' ', {short}))"), default=key)
+    kept = f"trim(regexp_replace({key}, {quote(_FORM + ' ?')}, ''))"
+    return f"IF({last} = '', {key}, ltrim(concat({kept}, ' ', {short})))"
 
 
 def normalize_company(e: str) -> str:
     return company_key(normalize_key(e))
 
 
+_MARK = "\x01"  # keeps the word after it from being capitalised
+_PARTICLE = "(?<= )(" + "|".join(fixed.NAME_PARTICLES) + ")(?= |$)"
+
+
+def title_of_tidy(tidy: str) -> str:
+    """``title_case_name`` of a text whose spaces are already collapsed."""
+    lowered = f"lower({tidy})"
+    marked = f"regexp_replace({lowered}, {quote(_PARTICLE)}, {quote(_MARK + '$1')})"
+    return case(
+        (f"{lowered} RLIKE {quote(_PARTICLE)}",
+         f"translate(initcap({marked}), {quote(_MARK)}, '')"),
+        default=f"initcap({lowered})")
+
+
 def title_case_name(e: str) -> str:
     """Capitalise each word; Spanish particles stay lower except in first place."""
-    lowered = f"lower({collapse_spaces(f"coalesce({e}, '')")})"
-    titled = adjusted = f"initcap({lowered})"
-    for word in fixed.NAME_PARTICLES:
-        pattern = quote(f"(?<= ){word.capitalize()}(?= |$)")
-        adjusted = f"regexp_replace({adjusted}, {pattern}, '{word}')"
-    has_particle = quote(" (?:" + "|".join(fixed.NAME_PARTICLES) + ")(?: |$)")
-    return case((f"{lowered} RLIKE {has_particle}", adjusted), default=titled)
+    return title_of_tidy(collapse_spaces(f"coalesce({e}, '')"))
 
 
 def reason_of_tidy(tidy: str) -> str:

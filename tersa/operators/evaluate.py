@@ -121,7 +121,7 @@ def evaluate(
             tidied[f"__{field}_tidy"] = text.collapse_spaces(f"coalesce({cell}, '')")
             judged[f"__{field}_reason"] = text.reason_of_tidy(f"__{field}_tidy")
             judged[f"__{field}_shown"] = (
-                text.title_case_name(f"__{field}_tidy") if field == "name"
+                text.title_of_tidy(f"__{field}_tidy") if field == "name"
                 else f"__{field}_tidy")
     for field in fixed.NUMERIC_FIELDS:
         if field in fields:

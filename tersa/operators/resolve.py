@@ -291,9 +291,8 @@ def find_duplicates(
     rows = key_rows(df, fields, row_id)
     buckets = materialize(key_buckets(rows).where("n > 1 or key_type = 'name'"), "buckets")
     inside = materialize(_within_blocks(buckets, max_block, floor), "names")
-    repeated = materialize(
-        buckets.where("key_type <> 'name'").unionByName(inside.select(*buckets.columns)).where(
-            "n > 1"), "repeated")
+    repeated = buckets.where("key_type <> 'name'").unionByName(
+        inside.select(*buckets.columns)).where("n > 1")
     links = materialize(star_links(rows, repeated, floor), "links")
     candidates = name_candidates(inside.where("keys > 1"), threshold, max_block is None, floor)
     pairs = materialize(score_names(candidates, threshold), "pairs")

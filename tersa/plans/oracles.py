@@ -491,13 +491,13 @@ _LIMIT = _case("plan", fixed.REQUESTS_PER_MINUTE, "30")
 _BUCKETS = f"""WITH RECURSIVE log AS (SELECT event_id, (epoch_us(ts) - 1704067200000000) // 2160 AS us,
   CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE 'key_' || (user_id % 20) END AS key,
   CASE WHEN user_id % 3 = 0 THEN 'scale' WHEN user_id % 2 = 0 THEN 'signup' ELSE 'public' END AS plan FROM events),
-numbered AS (SELECT event_id, key, us / 1000000.0::DOUBLE AS at, CAST({_LIMIT} AS INT) AS lim,
+numbered AS (SELECT event_id, key, us / 1000000.0::DOUBLE AS sec, CAST({_LIMIT} AS INT) AS lim,
   row_number() OVER (PARTITION BY key ORDER BY us, event_id) AS n FROM log),
-fold AS (SELECT event_id, key, at, lim, n, lim - 1.0::DOUBLE AS tokens, true AS allowed FROM numbered WHERE n = 1
+fold AS (SELECT event_id, key, sec, lim, n, lim - 1.0::DOUBLE AS tokens, true AS allowed FROM numbered WHERE n = 1
   UNION ALL
-  SELECT b.event_id, b.key, b.at, b.lim, b.n, CASE WHEN b.full >= 1 THEN b.full - 1.0 ELSE b.full END, b.full >= 1
-  FROM (SELECT s.event_id, s.key, s.at, s.lim, s.n,
-    least(s.lim::DOUBLE, fold.tokens + greatest(0.0, s.at - fold.at) * (s.lim / 60.0::DOUBLE)) AS full
+  SELECT b.event_id, b.key, b.sec, b.lim, b.n, CASE WHEN b.full >= 1 THEN b.full - 1.0 ELSE b.full END, b.full >= 1
+  FROM (SELECT s.event_id, s.key, s.sec, s.lim, s.n,
+    least(s.lim::DOUBLE, fold.tokens + greatest(0.0, s.sec - fold.sec) * (s.lim / 60.0::DOUBLE)) AS full
     FROM fold JOIN numbered s ON s.key = fold.key AND s.n = fold.n + 1) b)
 SELECT event_id, key, allowed, CASE WHEN allowed THEN CAST(floor(tokens) AS INT) ELSE 0 END AS remaining,
   CASE WHEN allowed THEN 0 ELSE greatest(1, CAST(floor((1.0 - tokens) / (lim / 60.0::DOUBLE)) AS INT) + 1) END AS retry_after,
