@@ -22,7 +22,7 @@ from ..functions import fixed
 from ..functions.sql import case, ident, literal, quote, select
 from ..functions.text import strip
 
-EXACT_LIMIT = 2_000_000
+EXACT_LIMIT = 100_000
 _SKETCH_ACCURACY = 10_000
 _NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
@@ -85,43 +85,53 @@ def _bracket(part: DataFrame, rank: int, rows: int) -> tuple[float, float]:
     return tuple(part.agg(F.percentile_approx("x", probes, _SKETCH_ACCURACY)).head()[0])
 
 
-def order_statistic(df: DataFrame, rank: int, rows: int, limit: int = EXACT_LIMIT) -> float:
-    """Value at 1-based ``rank`` among the ``rows`` doubles of ``df.x``."""
+def order_statistic(
+    df: DataFrame, rank: int, rows: int, distinct: int, limit: int = EXACT_LIMIT
+) -> float:
+    """Value at 1-based ``rank`` among the ``rows`` doubles of ``df.x``.
+
+    ``distinct`` is an estimate of the number of different values.
+    """
     part = df
     for _ in range(64):
-        if part.agg(F.approx_count_distinct("x")).head()[0] <= limit:
+        if distinct <= limit:
             # Few distinct values: the built-in keeps one counter per value.
-            share = (rank - 0.5) / rows
-            return part.agg(
-                F.expr(f"percentile_disc({share!r}D) within group (order by x)")).head()[0]
+            share = literal((rank - 0.5) / rows)
+            return part.selectExpr(
+                f"percentile_disc({share}) WITHIN GROUP (ORDER BY x)").head()[0]
         low, high = _bracket(part, rank, rows)
-        x = F.col("x")
-        under, at_low, inside, at_high = part.agg(
-            F.count_if(x < low), F.count_if(x == low),
-            F.count_if((x > low) & (x < high)), F.count_if((x == high) & (x > low)),
+        lo, hi = literal(low), literal(high)
+        inner = f"x > {lo} AND x < {hi}"
+        under, at_low, inside, at_high, d_under, d_inside, d_over = part.selectExpr(
+            f"count_if(x < {lo})", f"count_if(x = {lo})", f"count_if({inner})",
+            f"count_if(x = {hi} AND x > {lo})", f"approx_count_distinct(IF(x < {lo}, x, NULL))",
+            f"approx_count_distinct(IF({inner}, x, NULL))",
+            f"approx_count_distinct(IF(x > {hi}, x, NULL))",
         ).head()
         if rank <= under:
-            part, rows = part.where(x < low), under
+            part, rows, distinct = part.where(f"x < {lo}"), under, d_under
         elif rank <= under + at_low:
             return low
         elif rank <= under + at_low + inside:
-            part, rank, rows = part.where((x > low) & (x < high)), rank - under - at_low, inside
+            part, rank, rows, distinct = (
+                part.where(inner), rank - under - at_low, inside, d_inside)
         elif rank <= under + at_low + inside + at_high:
             return high
         else:
             gone = under + at_low + inside + at_high
-            part, rank, rows = part.where(x > high), rank - gone, rows - gone
+            part, rank, rows, distinct = part.where(f"x > {hi}"), rank - gone, rows - gone, d_over
     raise RuntimeError("The order statistic did not converge.")
 
 
-def exact_median(df: DataFrame, rows: int, limit: int = EXACT_LIMIT) -> float:
+def exact_median(df: DataFrame, rows: int, distinct: int, limit: int = EXACT_LIMIT) -> float:
     """Median of ``df.x`` (``rows`` finite doubles), interpolated between the middle two."""
     rank = (rows + 1) // 2
-    lower = order_statistic(df, rank, rows, limit)
+    lower = order_statistic(df, rank, rows, distinct, limit)
     if rows % 2:
         return lower
-    x = F.col("x")
-    upto, after = df.agg(F.count_if(x <= lower), F.min(F.when(x > lower, x))).head()
+    value = literal(lower)
+    upto, after = df.selectExpr(
+        f"count_if(x <= {value})", f"min(IF(x > {value}, x, NULL))").head()
     return lower if upto > rank else (lower + after) / 2
 
 
@@ -136,7 +146,7 @@ def _medians(df: DataFrame, columns: dict[str, str], sizes: dict[str, tuple[int,
     for k, e in columns.items():
         if k not in small:
             part = df.selectExpr(f"{e} AS x").where("x IS NOT NULL")
-            out[k] = exact_median(part, sizes[k][0], limit)
+            out[k] = exact_median(part, *sizes[k], limit)
     return out
 
 
