@@ -141,10 +141,8 @@ def evaluate(
         made.update(new)
         levels.append(level)
     worst = f"greatest({', '.join(levels)})" if len(levels) > 1 else (levels or ["0"])[0]
-    made["__worst"] = f"CAST({worst} AS INT)"
-    out = [*map(ident, columns), *[c for c in made if c != "__worst"]]
-    return staged(
-        checked, [tidied, judged, made], [*out, pinned({"__level": "__worst"})])
+    made["__level"] = f"CAST({worst} AS INT)"
+    return staged(checked, [tidied, judged, made], [*map(ident, columns), *made])
 
 
 def source_columns(evaluated: DataFrame) -> list[str]:
@@ -177,7 +175,8 @@ def corrected(evaluated: DataFrame, fields: dict[str, str], apply: bool = True)
     for name in source_columns(evaluated):
         made = f"__out_{by_column.get(name)}"
         out.append(f"{made} AS {ident(name)}" if apply and made in present else ident(name))
-    return evaluated.selectExpr(*out, "__level")
+    # Both sides of the split filter on the level: see ``pinned``.
+    return evaluated.selectExpr(*out, pinned({"__level": "__level"}))
 
 
 def split(table: DataFrame, quarantine_on: str = "error") -> tuple[DataFrame, DataFrame]:
