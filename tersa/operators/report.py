@@ -49,11 +49,14 @@ def cost_total(findings: DataFrame, cost: CostAssumption | None) -> DataFrame:
         f"{quote(cost.source if cost else None)} AS cost_source")
 
 
-REPORT_SCHEMA = (
+_MAPS = ("columns_detected", "counts_by_rule", "counts_by_severity")
+# Maps travel as entry lists: a map from a Python dict would lose its order.
+_REPORT_ENTRIES = (
     "engine_version string, rows_in bigint, rows_valid bigint, rows_quarantined bigint, "
-    "duplicate_groups bigint, duplicate_rows bigint, columns_detected map<string,string>, "
-    "unmapped_columns array<string>, counts_by_rule map<string,bigint>, "
-    "counts_by_severity map<string,bigint>, duration_ms bigint"
+    "duplicate_groups bigint, duplicate_rows bigint, "
+    "columns_detected array<struct<k:string,v:string>>, unmapped_columns array<string>, "
+    "counts_by_rule array<struct<k:string,v:bigint>>, "
+    "counts_by_severity array<struct<k:string,v:bigint>>, duration_ms bigint"
 )
 
 
@@ -72,15 +75,17 @@ def report_row(evaluated, findings, duplicates, matches, unmapped, quarantine_on
     if duplicates is not None:
         groups, extra = duplicates.groups.agg(
             F.count("*"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0))).head()
-    return evaluated.sparkSession.createDataFrame([(
+    entries = evaluated.sparkSession.createDataFrame([(
         fixed.ENGINE_VERSION, rows, valid, rows - valid, groups, extra,
-        {m.source: m.canonical for m in matches}, list(unmapped),
-        {r["rule"]: r["n"] for r in rules}, severities,
+        [(m.source, m.canonical) for m in matches], list(unmapped),
+        [(r["rule"], r["n"]) for r in rules], list(severities.items()),
         int((time.perf_counter() - started) * 1000),
-    )], REPORT_SCHEMA)
+    )], _REPORT_ENTRIES)
+    return entries.selectExpr(*[
+        f"map_from_entries({c}) AS {c}" if c in _MAPS else c for c in entries.columns])
 
 
-_QUARANTINE_NOTE = (
+QUARANTINE_NOTE = (
     "Una fila en cuarentena contiene al menos un dato inválido de forma demostrable, "
     "como un dígito de control que no cuadra. No se ha eliminado: se ha separado para "
     "que usted decida."
@@ -90,7 +95,7 @@ _NO_COST_NOTE = (
     "incorrecto depende de su operativa. Indique su coste por incidencia y se incorporará "
     "citando su origen."
 )
-_METHOD_NOTE = (
+METHOD_NOTE = (
     "Los identificadores fiscales y los IBAN se verifican con su dígito de control oficial: "
     "el resultado es exacto, no probabilístico. Los valores numéricos atípicos se detectan "
     "con la desviación absoluta mediana y el umbral publicado por Iglewicz y Hoaglin (1993). "
@@ -107,9 +112,8 @@ def report_sections(
         return f"named_struct('label', {quote(label)}, 'value', {value}, 'alert', {alert})"
 
     nothing = "CAST(array() AS ARRAY<STRUCT<label:STRING,value:STRING,alert:BOOLEAN>>)"
-    by_count = "(a, b) -> CASE WHEN a.value > b.value THEN -1 WHEN a.value < b.value THEN 1 ELSE 0 END"
     rules = (
-        f"transform(slice(array_sort(map_entries(counts_by_rule), {by_count}), 1, {top}), e -> "
+        f"transform(slice(map_entries(counts_by_rule), 1, {top}), e -> "
         f"named_struct('label', {rule_label('e.key')}, 'value', {thousands('e.value')}, "
         "'alert', false))")
     more = (
@@ -142,11 +146,11 @@ def report_sections(
         entry("Tiempo de proceso", f"concat({thousands('duration_ms')}, ' ms')"),
     ]) + ")"
     sections = [
-        ("Resumen", summary, quote(_QUARANTINE_NOTE)),
+        ("Resumen", summary, quote(QUARANTINE_NOTE)),
         ("Incidencias por tipo", rules, more),
         ("Columnas reconocidas", columns, left_over),
         ("Impacto económico", impact, quote(note)),
-        ("Metodología", nothing, quote(_METHOD_NOTE)),
+        ("Metodología", nothing, quote(METHOD_NOTE)),
     ]
     blocks = ", ".join(
         f"named_struct('position', {i}, 'section', {quote(title)}, 'entries', {entries}, "

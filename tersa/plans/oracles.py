@@ -8,6 +8,7 @@ chunks, all pairs instead of filtered candidates, recursion instead of stars.
 from __future__ import annotations
 
 from ..functions import fixed
+from ..operators.report import METHOD_NOTE, QUARANTINE_NOTE
 from . import derived
 from .queries import AS_OF, COST, DEMO_KEY, FIELDS, PERIOD
 
@@ -371,38 +372,36 @@ _DUPLICATE_LINES = """repeats AS (SELECT 9 AS seq, labels.row_id, '__row__' AS "
   NULL::VARCHAR AS original, NULL::VARCHAR AS proposed, confidence, NULL::VARCHAR AS cell
   FROM labels JOIN groups USING (group_id) WHERE labels.row_id <> labels.group_id)"""
 
-# Similarity by definition: the longest common block, then both sides of it.
-_SIMILAR = f"""names AS ({_bind(derived.NAMES)}),
+# Similarity by definition: all pairs of keys of a block, and for each pair the
+# longest common block (earliest in the first text, then in the second), then
+# both sides of it, until nothing is shared.
+def _similar(where: str = "") -> str:
+    return f"""names AS ({_bind(derived.NAMES)}),
 plain_keys AS (SELECT row_id, postal_code AS block, {_key('company')} AS k FROM names),
-name_keys AS (SELECT row_id, block, {_company('k')} AS key FROM plain_keys),
-entries AS (SELECT *, count(*) OVER (PARTITION BY block) AS entries FROM name_keys),
-distinct_keys AS (SELECT block, key, min(row_id) AS lo, max(row_id) AS hi FROM entries ENTRIES_FILTER GROUP BY block, key),
+name_keys AS (SELECT row_id, block, {_company('k')} AS key, count(*) OVER (PARTITION BY block) AS entries FROM plain_keys),
+distinct_keys AS (SELECT block, key, min(row_id) AS lo, max(row_id) AS hi FROM name_keys {where} GROUP BY block, key),
 key_pairs AS (SELECT a.block, a.key AS key_a, b.key AS key_b, a.lo AS lo_a, a.hi AS hi_a, b.lo AS lo_b, b.hi AS hi_b
   FROM distinct_keys a JOIN distinct_keys b ON a.block = b.block AND a.key < b.key
   WHERE abs(length(a.key) - length(b.key)) / greatest(length(a.key), length(b.key)) <= 0.2
     AND levenshtein(a.key, b.key) <= 0.08 * (length(a.key) + length(b.key)) + 1e-9),
-texts AS (SELECT DISTINCT key_a AS x, key_b AS y FROM key_pairs WHERE lo_a < hi_b
-  UNION SELECT DISTINCT key_b, key_a FROM key_pairs WHERE lo_b < hi_a),
-runs0 AS (SELECT x, y, i, j, x[i] = y[j] AS same FROM texts,
-  LATERAL (SELECT unnest(range(1, length(x) + 1)) AS i), LATERAL (SELECT unnest(range(1, length(y) + 1)) AS j)),
-hits AS (SELECT x, y, i, j FROM runs0 WHERE same),
-spans AS (SELECT x, y, 1 AS alo, length(x) + 1 AS ahi, 1 AS blo, length(y) + 1 AS bhi, 0 AS size, 0 AS depth FROM texts
+texts AS (SELECT key_a AS x, key_b AS y FROM key_pairs WHERE lo_a < hi_b
+  UNION SELECT key_b, key_a FROM key_pairs WHERE lo_b < hi_a),
+spans AS (
+  SELECT x, y, 1 AS alo, length(x) + 1 AS ahi, 1 AS blo, length(y) + 1 AS bhi, 0 AS size FROM texts
   UNION ALL
-  SELECT x, y, unnest([alo, i + n]) AS alo, unnest([i, ahi]) AS ahi, unnest([blo, j + n]) AS blo, unnest([j, bhi]) AS bhi,
-    unnest([n, 0]) AS size, depth + 1 FROM (
-    SELECT x, y, alo, ahi, blo, bhi, depth, best.n AS n, best.i AS i, best.j AS j FROM (
-      SELECT x, y, alo, ahi, blo, bhi, depth, (
-        SELECT max(struct_pack(n := n, ni := -i, nj := -j)) FROM (
-          SELECT i, j, count(*) OVER (PARTITION BY i - j, grp ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS n FROM (
-            SELECT a.i AS i, b.j AS j, a.i - row_number() OVER (PARTITION BY a.i - b.j ORDER BY a.i) AS grp
-            FROM (SELECT unnest(range(alo, ahi)) AS i) a, (SELECT unnest(range(blo, bhi)) AS j) b
-            WHERE x[a.i] = y[b.j]))) AS top
-      FROM spans WHERE ahi > alo AND bhi > blo), LATERAL (SELECT top.n AS n, -top.ni AS i, -top.nj AS j) AS best
-    WHERE best.n IS NOT NULL)),
+  SELECT x, y, side.alo, side.ahi, side.blo, side.bhi, side.size FROM (
+    SELECT x, y, unnest([
+      {{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j, 'size': n}},
+      {{'alo': i + n, 'ahi': ahi, 'blo': j + n, 'bhi': bhi, 'size': 0}}]) AS side
+    FROM (SELECT x, y, alo, ahi, blo, bhi, best.n AS n, -best.i AS i, -best.j AS j FROM (
+      SELECT x, y, alo, ahi, blo, bhi, list_max(list_transform(range(alo, ahi), lambda i: list_max(
+        list_transform(range(blo, bhi), lambda j: {{'n': CASE WHEN x[i] = y[j] THEN
+          coalesce(list_position(list_transform(range(1, least(ahi - i, bhi - j)), lambda k: x[i + k] = y[j + k]), false), least(ahi - i, bhi - j)) ELSE 0 END,
+          'i': -i, 'j': -j}})))) AS best
+      FROM spans WHERE ahi > alo AND bhi > blo) WHERE best.n > 0))),
 ratios AS (SELECT x, y, 2.0 * sum(size) / (length(x) + length(y)) AS ratio FROM spans GROUP BY x, y),
-scored AS (SELECT block, key_a, key_b, lo_a, lo_b, greatest(
-    CASE WHEN lo_a < hi_b THEN (SELECT ratio FROM ratios WHERE x = key_a AND y = key_b) ELSE 0 END,
-    CASE WHEN lo_b < hi_a THEN (SELECT ratio FROM ratios WHERE x = key_b AND y = key_a) ELSE 0 END) AS score FROM key_pairs),
+scored AS (SELECT p.*, greatest(CASE WHEN lo_a < hi_b THEN f.ratio ELSE 0 END, CASE WHEN lo_b < hi_a THEN b.ratio ELSE 0 END)::DOUBLE AS score
+  FROM key_pairs p LEFT JOIN ratios f ON f.x = key_a AND f.y = key_b LEFT JOIN ratios b ON b.x = key_b AND b.y = key_a),
 pairs AS (SELECT * FROM scored WHERE score >= 0.92)"""
 
 
@@ -579,6 +578,35 @@ UNION ALL SELECT 'campo2', CASE WHEN r >= 0.8 THEN 'email' ELSE '' END, CASE WHE
 _COUNTS = "SELECT rule, count(*) AS count FROM found GROUP BY rule"
 _LABEL = _case("rule", fixed.RULE_LABELS, "rule")
 
+
+
+def _sections() -> str:
+    """The report as rows, written out section by section."""
+    columns = ", ".join(f"({i}, '{f}')" for i, f in enumerate(FIELDS.values()))
+
+    def euros(e):
+        return f"format('{{:,.2f}}', {e}) || ' EUR'"
+
+    source = (f"El coste por incidencia lo ha aportado el cliente. Origen: {COST.source}. "
+              "Esta cifra no se ha estimado ni validado.")
+    return f"""{_RUN}, counts AS (SELECT rule, count(*) AS n, min((seq, row_id)) AS first FROM found GROUP BY rule),
+ranked AS (SELECT *, row_number() OVER (ORDER BY n DESC, first) - 1 AS pos, count(*) OVER () AS kinds FROM counts),
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE level < 2) AS good FROM levels),
+e AS (SELECT count(*) FILTER (WHERE severity = 'error') AS errors FROM found)
+SELECT 0 AS position, 'Resumen' AS section, line, label, value, alert, {_q(QUARANTINE_NOTE)} AS note FROM (
+  SELECT 0 AS line, 'Filas analizadas' AS label, {_thousands('total')} AS value, false AS alert FROM t
+  UNION ALL SELECT 1, 'Filas sin incidencias', {_thousands('good')}, false FROM t
+  UNION ALL SELECT 2, 'Filas en cuarentena', {_thousands('total - good')}, total > good FROM t
+  UNION ALL SELECT 3, 'Grupos de duplicados', '0', false)
+UNION ALL SELECT 1, 'Incidencias por tipo', CAST(pos AS INT), {_LABEL}, {_thousands('n')}, false,
+  CASE WHEN kinds > 12 THEN 'Se muestran los 12 tipos más frecuentes de ' || kinds || '.' ELSE '' END FROM ranked WHERE pos < 12
+UNION ALL SELECT 2, 'Columnas reconocidas', i, f, f, false, '' FROM (VALUES {columns}) AS c(i, f)
+UNION ALL SELECT 3, 'Impacto económico', 0, 'Incidencias demostrables', {_thousands('errors')}, false, {_q(source)} FROM e
+UNION ALL SELECT 3, 'Impacto económico', 1, 'Coste por incidencia', {euros(f'{COST.euros_per_error}::DOUBLE')}, false, {_q(source)} FROM e
+UNION ALL SELECT 3, 'Impacto económico', 2, 'Total', {euros(f'errors * {COST.euros_per_error}::DOUBLE')}, errors > 0, {_q(source)} FROM e
+UNION ALL SELECT 4, 'Metodología', 0, NULL, NULL, NULL, {_q(METHOD_NOTE)}"""
+
+
 ORACLES = {
     "tax_id_findings": _verdicts(_TAX, "tax_v"),
     "iban_findings": _verdicts(_IBAN, "iban_v"),
@@ -635,6 +663,18 @@ ORACLES = {
     "block_sizes": (
         f"WITH {CRM}, {_NAME_KEY} SELECT block, count(*) AS entries, count(DISTINCT key) AS keys "
         "FROM name_keys WHERE key <> '' GROUP BY block"),
+    "candidate_pairs": (
+        f"WITH RECURSIVE {_similar('WHERE entries <= 2000')} "
+        "SELECT block, key_a, key_b, round(score, 6) AS score FROM pairs"),
+    "candidate_pairs_all_blocks": (
+        f"WITH RECURSIVE {_similar()} SELECT block, key_a, key_b, round(score, 6) AS score FROM pairs"),
+    "similar_name_groups": (
+        f"WITH RECURSIVE {_similar()}, links AS (SELECT lo AS i, row_id AS j FROM name_keys JOIN distinct_keys USING (block, key) WHERE row_id <> lo "
+        "UNION ALL SELECT lo_a, lo_b FROM pairs), "
+        "both_ways AS (SELECT i AS a, j AS b FROM links UNION SELECT j, i FROM links), "
+        "reach AS (SELECT a, a AS b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a), "
+        "labels AS (SELECT a AS row_id, min(b) AS group_id FROM reach GROUP BY a) "
+        "SELECT row_id, group_id, row_id = group_id AS is_survivor FROM labels"),
     "duplicate_groups_exact": f"{_EXACT_GROUPS} SELECT * EXCLUDE (group_id) FROM groups",
     "duplicate_members_exact": (
         f"{_EXACT_GROUPS} SELECT row_id, group_id, row_id = group_id AS is_survivor FROM labels"),
@@ -669,6 +709,7 @@ ORACLES = {
         f"'{';'.join(sorted(f'{c}={f}' for f, c in FIELDS.items()))}' AS columns_detected, '' AS unmapped_columns, "
         "(SELECT string_agg(rule || '=' || n, ';' ORDER BY rule || '=' || n) FROM (SELECT rule, count(*) AS n FROM everything GROUP BY rule)) AS counts_by_rule, "
         "(SELECT 'error=' || count(*) FILTER (WHERE severity = 'error') || ';info=' || count(*) FILTER (WHERE severity = 'info') || ';warning=' || count(*) FILTER (WHERE severity = 'warning') FROM everything) AS counts_by_severity"),
+    "report_sections": _sections(),
     "worklist": (
         f"{_RUN}, {_FULL_PARTS}, {_DUPLICATE_LINES} "
         + _lines("SELECT * FROM found UNION ALL SELECT * FROM repeats")),
