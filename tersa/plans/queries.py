@@ -11,7 +11,7 @@ from ..functions.sql import quote
 from ..operators import accounts, evaluate as ev, generator, numeric, report, resolve, schema
 from ..operators import worklist as wl
 from ..operators.protection import mask, pseudonymise
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources.io import with_row_id
 from ..streaming import streams
 from . import derived
@@ -33,7 +33,8 @@ def _sql(spark, sf_dir, query, *tables) -> DataFrame:
 
 
 def crm(spark, sf_dir) -> DataFrame:
-    return _sql(spark, sf_dir, derived.CRM, "customer")
+    people = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    return spark.sql(derived.CRM, customer=spread(people))
 
 
 def _timestamps(df: DataFrame, *names: str) -> DataFrame:
