@@ -435,7 +435,8 @@ _SPANISH = {
 
 def _matches(profile):
     def run(spark, sf_dir):
-        people = crm(spark, sf_dir)
+        # In file order: the sample is the head of the table.
+        people = _sql(spark, sf_dir, derived.CRM, "customer")
         headed = people.select(*[F.col(c).alias(h) for c, h in _SPANISH.items()])
         found, unmapped = schema.detect_schema(headed, profile=profile)
         rest = [schema.Match(c, "", 0.0, "unmapped") for c in unmapped]
