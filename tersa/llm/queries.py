@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts
+from . import bpe, language, license_scan, neighbours, packing, token_counts
 from .common import load
 
 
@@ -16,8 +16,22 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(load(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op7_packing)}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.license_scan(load(spark, sf_dir, "documents")))
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = neighbours.usable(load(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(vectors, vectors.where("id % 50 = 0"), k=5)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_bpe, op2_token_counts, op5_language_id, op7_packing, op9_license_scan, op10_neighbours)}
