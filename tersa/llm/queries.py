@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, license_scan, neighbours, packing, token_counts
+from . import bpe, language, license_scan, neighbours, packing, token_counts, toxicity
 from .common import load
 
 
@@ -20,6 +20,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(load(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(load(spark, sf_dir, "documents"))
 
@@ -34,4 +38,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_token_counts, op5_language_id, op7_packing, op9_license_scan, op10_neighbours)}
+    op1_bpe, op2_token_counts, op5_language_id, op6_toxicity, op7_packing, op9_license_scan, op10_neighbours)}
