@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, license_scan, neighbours, packing, token_counts, toxicity
+from . import bpe, language, license_scan, neighbours, packing, secret_scan, token_counts
+from . import toxicity
 from .common import load
 
 
@@ -16,6 +17,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(load(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(load(spark, sf_dir, "documents"))
 
@@ -38,4 +43,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_token_counts, op5_language_id, op6_toxicity, op7_packing, op9_license_scan, op10_neighbours)}
+    op1_bpe, op2_token_counts, op4_secret_scan, op5_language_id, op6_toxicity, op7_packing,
+    op9_license_scan, op10_neighbours)}
