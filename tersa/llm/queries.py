@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, language, license_scan, neighbours, packing, secret_scan, token_counts
-from . import toxicity
+from . import topk_search, toxicity
 from .common import load
 
 
@@ -33,6 +34,12 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(load(spark, sf_dir, "documents"))
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = topk_search.search(docs, docs.where("doc_id % 100 = 0"), k=10)
+    return found.withColumn("score", F.round("score", 6))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.license_scan(load(spark, sf_dir, "documents")))
 
@@ -44,4 +51,4 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_token_counts, op4_secret_scan, op5_language_id, op6_toxicity, op7_packing,
-    op9_license_scan, op10_neighbours)}
+    op8_topk_search, op9_license_scan, op10_neighbours)}
