@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, license_scan, neighbours, packing, secret_scan, token_counts
+from . import bpe, language, license_scan, neighbours, ngram_join, packing, secret_scan, token_counts
 from . import topk_search, toxicity
 from .common import load
 
@@ -18,6 +18,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(load(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(load(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_bpe, op2_token_counts, op4_secret_scan, op5_language_id, op6_toxicity, op7_packing,
+    op1_bpe, op2_token_counts, op3_ngram_join, op4_secret_scan, op5_language_id, op6_toxicity, op7_packing,
     op8_topk_search, op9_license_scan, op10_neighbours)}
