@@ -292,12 +292,19 @@ def one_of_each(df: DataFrame, threshold: float = THRESHOLD,
     worded = rows.where("node is not null").groupBy("k", "h").agg(F.count("*").alias("n"))
     flags = materialize(worded.join(stay.withColumn("stays", F.lit(True)), ["k", "h"], "left")
                         .where("stays is null or n > 1"), "flags")
-    gone = flags.select("k", "h")
-    keyed = df.withColumns({f"__{c}": e for c, e in zip("kh", row_key(), strict=True)})
-    on = (F.col("__k") == F.col("k")) & (F.col("__h") == F.col("h"))
+    names = [_unused(df, "k"), _unused(df, "h")]
+    keyed = df.withColumns(dict(zip(names, row_key(), strict=True)))
+    gone = flags.select("k", "h").toDF(*names)
     few = F.broadcast(gone) if flags.count() <= BROADCAST_KEYS else gone
-    kept = keyed.join(few, on, "left_anti")
-    again = flags.where("stays").select("k", "h")
+    kept = keyed.join(few, names, "left_anti")
+    again = flags.where("stays").select("k", "h").toDF(*names)
     if not again.isEmpty():
-        kept = kept.unionByName(keyed.join(again, on, "left_semi").dropDuplicates(["__k", "__h"]))
+        kept = kept.unionByName(keyed.join(again, names, "left_semi").dropDuplicates(names))
     return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
