@@ -120,11 +120,11 @@ def report_sections(
         f"IF(size(counts_by_rule) > {top}, concat('Se muestran los {top} tipos más frecuentes "
         "de ', size(counts_by_rule), '.'), '')")
     columns = (
-        "transform(slice(map_entries(columns_detected), 1, 15), e -> "
+        "transform(map_entries(columns_detected), e -> "
         "named_struct('label', e.key, 'value', e.value, 'alert', false))")
     left_over = (
         "IF(size(unmapped_columns) > 0, concat('Columnas no reconocidas y conservadas sin "
-        "modificar: ', array_join(slice(unmapped_columns, 1, 20), ', ')), '')")
+        "modificar: ', array_join(unmapped_columns, ', ')), '')")
     if cost is None:
         impact, note = nothing, _NO_COST_NOTE
     else:

@@ -4,7 +4,7 @@ Rows never meet all rows of their group. A repeated key becomes one record
 (size, first row) by partial aggregation and every other row links to that first
 row, so a key shared by a third of the table yields a star, not a quadratic mess.
 Names are compared once per distinct key of a block, and only when two keys share
-one of their rarest letter pairs; the filter is lossless for the chosen threshold.
+two of their rarest letter pairs; the filter is lossless for the chosen threshold.
 """
 
 from __future__ import annotations
@@ -94,16 +94,11 @@ def block_sizes(buckets: DataFrame) -> DataFrame:
         F.sum("n").alias("entries"), F.count("*").alias("keys"))
 
 
-def _within_blocks(buckets: DataFrame, max_block: int | None, floor: int) -> DataFrame:
-    """Name buckets of the blocks that get compared, with the block's key count.
-
-    A block above ``max_block`` entries says the postal code does not separate
-    anything and proposes no name links; ``max_block=None`` compares all blocks.
-    """
+def _within_blocks(buckets: DataFrame, floor: int) -> DataFrame:
+    """Name buckets with the number of different keys of their block, whatever its size."""
     names = buckets.where("key_type = 'name'")
     sizes = materialize(block_sizes(buckets), "blocks")
-    known = attach(names, sizes, ["block"], "keys", floor)
-    return known if max_block is None else known.where(F.col("entries") <= max_block)
+    return attach(names, sizes, ["block"], "keys", floor)
 
 
 def star_links(rows: DataFrame, buckets: DataFrame, floor: int = MIN_HEAVY_ROWS) -> DataFrame:
@@ -118,8 +113,8 @@ def star_links(rows: DataFrame, buckets: DataFrame, floor: int = MIN_HEAVY_ROWS)
 # ratio = 2M / (la + lb) where M characters of both strings are matched in order.
 # ratio >= t bounds what each side leaves unmatched, and with it how many of its
 # letter q-grams the other side can lack: at most 2q(1-t)/(2-t) * length. If both
-# sides list their distinct grams in one global order, the first common gram lies
-# within that many + 1 of the start on both sides. Sorting by rarity keeps the
+# sides list their distinct grams in one global order, the first two common grams
+# lie within that many + 2 of the start on both sides. Sorting by rarity keeps the
 # join groups small. Pairs sharing such a gram are then cut by lengths and by an
 # edit distance that never exceeds la + lb - 2M, all inside the join.
 
@@ -137,7 +132,13 @@ def _gram_codes(key: str, q: int) -> str:
 
 
 def _gram_prefixes(keys: DataFrame, threshold: float) -> DataFrame:
-    """Adds ``gram``: one row per rare gram that must be shared by a similar key."""
+    """Adds ``gram``: one row per signature that a similar key must share.
+
+    A signature is a pair of rare grams: two lists with at least two grams in
+    common share both of their first two common ones within one gram more than
+    the prefix for one. Keys too short to be sure of two common grams also give
+    the single grams of their prefix, for each other.
+    """
     q = _gram_size(threshold)
     coded = select(keys, {"codes": _gram_codes("key", q)})
     # At most _GRAM_CODES counters reach the driver, whatever the data.
@@ -146,34 +147,41 @@ def _gram_prefixes(keys: DataFrame, threshold: float) -> DataFrame:
     share = literal(2.0 * q * (1 - threshold) / (2 - threshold))
     ordered = (
         f"array_sort(transform(codes, c -> struct(element_at("
-        f"CAST(split('{table}', ',') AS ARRAY<BIGINT>), c + 1) AS f, c AS c)))")
-    keep = f"CAST(floor(length(key) * {share} + 1e-9D) AS INT) + 1"
-    return select(coded, {"gram": f"explode(slice({ordered}, 1, {keep}).c)"}, keep=keys.columns)
+        f"CAST(split('{table}', ',') AS ARRAY<BIGINT>), c + 1) AS f, c AS c))).c")
+    listed = select(coded, {
+        "listed": ordered, "miss": f"CAST(floor(length(key) * {share} + 1e-9D) AS INT)"})
+    first = select(listed, {"first": "slice(listed, 1, miss + 2)"})
+    pairs = (
+        "flatten(transform(sequence(1, greatest(size(first) - 1, 1)), i -> transform("
+        "slice(first, i + 1, size(first)), y -> "
+        f"(element_at(first, i) + 1L) * {_GRAM_CODES} + y)))")
+    alone = "IF(size(listed) < miss + 2, slice(listed, 1, miss + 1), array())"
+    return select(first.where("size(first) > 0"), {
+        "gram": f"explode(concat(transform({alone}, x -> CAST(x AS BIGINT)), {pairs}))"},
+        keep=keys.columns)
 
 
 def name_candidates(
-    keys: DataFrame, threshold: float, salt: bool = False, floor: int = MIN_HEAVY_ROWS
+    keys: DataFrame, threshold: float, floor: int = MIN_HEAVY_ROWS
 ) -> DataFrame:
     """Pairs of distinct keys of one block that may reach the threshold.
 
-    ``keys``: block, key, lo, hi (one record per distinct key of a block).
+    ``keys``: block, key, lo, hi (one record per distinct key of a block). A
+    signature that many keys of a block share becomes a grid of cells, one task
+    each.
     """
-    tokens = _gram_prefixes(keys.select("block", "key", "lo", "hi"), threshold)
+    tokens = materialize(
+        _gram_prefixes(keys.select("block", "key", "lo", "hi"), threshold), "tokens")
     on = ["block", "gram"]
-    left = right = tokens
-    if salt:
-        # Unlimited blocks: a crowded gram becomes a grid of cells, one task each.
-        tokens = materialize(tokens, "tokens")
-        crowd = materialize(
-            tokens.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "crowds")
-        sized = select(attach(tokens, crowd, on, "n", floor), {
-            "cells": f"CAST(ceil(n / {_CELL}) AS INT)"})
-        left = select(sized, {"cell": "CAST(pmod(xxhash64(key), cells) AS INT)"})
-        right = select(sized, {"cell": "explode(sequence(0, cells - 1))"})
-        on = [*on, "cell"]
+    crowd = materialize(
+        tokens.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "crowds")
+    sized = select(attach(tokens, crowd, on, "n", floor), {
+        "cells": f"CAST(ceil(n / {_CELL}) AS INT)"})
+    left = select(sized, {"cell": "CAST(pmod(xxhash64(key), cells) AS INT)"})
+    right = select(sized, {"cell": "explode(sequence(0, cells - 1))"})
     la, lb = "length(a.key)", "length(b.key)"
     condition = " AND ".join([
-        *[f"a.{c} = b.{c}" for c in on],
+        *[f"a.{c} = b.{c}" for c in (*on, "cell")],
         "a.key < b.key",
         f"abs({la} - {lb}) / greatest({la}, {lb}) <= 0.2D",
         f"2 * least({la}, {lb}) >= {literal(float(threshold))} * ({la} + {lb}) - 1e-9D",
@@ -265,14 +273,14 @@ def exact_duplicates(
 
 def name_pairs(
     df: DataFrame, fields: dict[str, str], row_id: str = "row_id",
-    threshold: float = fixed.NAME_MATCH_THRESHOLD, max_block: int | None = fixed.MAX_BLOCK,
+    threshold: float = fixed.NAME_MATCH_THRESHOLD,
     floor: int = MIN_HEAVY_ROWS,
 ) -> DataFrame:
     """Scored pairs of different names inside a block, without building groups."""
     names = {f: c for f, c in fields.items() if f in ("company", "name", "postal_code")}
     buckets = materialize(key_buckets(key_rows(df, names, row_id)), "buckets")
-    inside = _within_blocks(buckets, max_block, floor).where("keys > 1")
-    return score_names(name_candidates(inside, threshold, max_block is None, floor), threshold)
+    inside = _within_blocks(buckets, floor).where("keys > 1")
+    return score_names(name_candidates(inside, threshold, floor), threshold)
 
 
 def find_duplicates(
@@ -280,7 +288,6 @@ def find_duplicates(
     fields: dict[str, str],
     row_id: str = "row_id",
     threshold: float = fixed.NAME_MATCH_THRESHOLD,
-    max_block: int | None = fixed.MAX_BLOCK,
     floor: int = MIN_HEAVY_ROWS,
 ) -> Duplicates:
     """Groups by exact keys and by similar names within a postal block."""
@@ -288,13 +295,13 @@ def find_duplicates(
         raise ValueError("The name threshold must lie in (0, 1].")
     if "company" not in fields and "name" not in fields:
         return exact_duplicates(df, fields, row_id, floor)
-    rows = key_rows(df, fields, row_id)
+    rows = materialize(key_rows(df, fields, row_id), "rows")  # four consumers
     buckets = materialize(key_buckets(rows).where("n > 1 or key_type = 'name'"), "buckets")
-    inside = materialize(_within_blocks(buckets, max_block, floor), "names")
+    inside = materialize(_within_blocks(buckets, floor), "names")
     repeated = buckets.where("key_type <> 'name'").unionByName(
         inside.select(*buckets.columns)).where("n > 1")
     links = materialize(star_links(rows, repeated, floor), "links")
-    candidates = name_candidates(inside.where("keys > 1"), threshold, max_block is None, floor)
+    candidates = name_candidates(inside.where("keys > 1"), threshold, floor)
     pairs = materialize(score_names(candidates, threshold), "pairs")
     return build_groups(links, pairs, floor)
 
@@ -319,12 +326,11 @@ def nested_groups(
 ) -> DataFrame:
     """Groups with their duplicate rows as an array, strongest evidence first.
 
-    A group of up to ``part_rows`` rows is one record (``part`` 0). A larger one
-    is spread over parts by row number, so no array outgrows a task.
+    A record holds the rows of one stretch of ``part_rows`` row numbers (``part``),
+    for every group alike, so no array outgrows a task.
     """
     sized = attach(found.members, found.groups, ["group_id"], "size", floor)
-    part = F.when(F.col("size") <= part_rows, F.lit(0)).otherwise(
-        F.floor(F.col("row_id") / part_rows))
+    part = F.floor(F.col("row_id") / part_rows)
     others = F.collect_list(F.when(~F.col("is_survivor"), F.col("row_id")))
     return (
         sized.groupBy(

@@ -1,7 +1,6 @@
 """Column recognition: which column of a file is which customer field.
 
-The content evidence comes from one Spark job over at most fifty values per
-column; the decision over a few hundred headers then runs on the driver.
+The content evidence comes from one aggregate over every row; the decision over a few hundred headers then runs on the driver.
 """
 
 from __future__ import annotations
@@ -17,9 +16,6 @@ from ..functions import fixed
 from ..functions.sql import any_of, ident, quote
 from ..functions.text import SPACE, cell_text, strip
 
-SAMPLE_ROWS = 1_000
-SAMPLE_VALUES = 50
-
 
 @dataclass(frozen=True)
 class Match:
@@ -33,7 +29,7 @@ class Match:
 class Profile:
     """Content evidence of one column."""
 
-    present: int  # sampled values that hold text
+    present: int  # values that hold text
     numeric: float  # share of those that look like a number
     hits: dict[str, float]  # field → share of non-empty values matching its pattern
 
@@ -60,54 +56,8 @@ def header_key(header: str) -> str:
     return " ".join("".join(c if c.isalnum() or c == "_" else " " for c in plain).split())
 
 
-def _sample(df: DataFrame, row_id: str | None, rows: int) -> DataFrame:
-    """The first rows in file order, reading as little as possible.
-
-    Without a key the first partitions are enough. With one, a one-column job
-    finds the cut and the filter on it reaches the scan.
-    """
-    if row_id is None:
-        head = df.limit(rows).withColumn("__pos", F.monotonically_increasing_id())
-    else:
-        cut = df.select(row_id).orderBy(row_id).limit(rows).agg(F.max(row_id)).head()[0]
-        head = df.where(F.col(row_id) <= F.lit(cut)).withColumn("__pos", F.col(row_id))
-    return head
-
-
-def _values(sample: DataFrame, columns: list[str]) -> dict[str, list[str]]:
-    """First fifty non-null values of each column, as text."""
-    picks = []
-    for i, name in enumerate(columns):
-        cell = cell_text(ident(name), sample.schema[name].dataType)
-        kept = f"collect_list(IF({cell} IS NOT NULL, struct(__pos, {cell} AS v), NULL))"
-        picks.append(f"slice(array_sort({kept}), 1, {SAMPLE_VALUES}).v AS c{i}")
-    row = sample.selectExpr(*picks).head()
-    return {name: row[f"c{i}"] for i, name in enumerate(columns)}
-
-
-def profile_columns(
-    df: DataFrame, columns: list[str] | None = None, row_id: str | None = None
-) -> dict[str, Profile]:
-    """Evidence from the first fifty non-null values of each column.
-
-    One job over the head of the table serves almost every column; a column
-    with a long run of nulls at the start gets its own look further down.
-    """
-    columns = columns or list(df.columns)
-    values = _values(_sample(df, row_id, SAMPLE_ROWS), columns)
-    for name in columns:
-        if len(values[name]) < SAMPLE_VALUES:
-            found = df.where(F.col(f"`{name}`").isNotNull())
-            if df.schema[name].dataType.typeName() in ("double", "float"):
-                found = found.where(~F.isnan(f"`{name}`"))
-            kept = [f"`{name}`"] + ([row_id] if row_id and row_id != name else [])
-            further = _sample(found.select(*kept), row_id, SAMPLE_VALUES)
-            values[name] = _values(further, [name])[name]
-    return _evidence(df.sparkSession, values)
-
-
-def profile_all_rows(df: DataFrame, columns: list[str] | None = None) -> dict[str, Profile]:
-    """The same evidence from every row, in one aggregate with partial sums."""
+def profile_columns(df: DataFrame, columns: list[str] | None = None) -> dict[str, Profile]:
+    """Evidence from every row, in one aggregate with partial sums."""
     columns = columns or list(df.columns)
     aggs = []
     for i, name in enumerate(columns):
@@ -138,18 +88,6 @@ def _as_profile(row: dict, prefix: str) -> Profile:
     )
 
 
-def _evidence(spark: SparkSession, values: dict[str, list[str]]) -> dict[str, Profile]:
-    rows = [(name, v) for name, vs in values.items() for v in vs]
-    if not rows:
-        return {name: _NO_PROFILE for name in values}
-    measured = (
-        spark.createDataFrame(rows, "source string, cell string")
-        .groupBy("source").agg(*map(F.expr, _measures("cell", ""))).collect()
-    )
-    found = {r["source"]: _as_profile(r.asDict(), "") for r in measured}
-    return {name: found.get(name, _NO_PROFILE) for name in values}
-
-
 def _synonyms() -> dict[str, str]:
     return {header_key(s): field for field, words in fixed.SYNONYMS.items() for s in words}
 
@@ -209,14 +147,10 @@ def detect_schema(
     df: DataFrame,
     overrides: dict[str, str] | None = None,
     row_id: str | None = None,
-    profile: str = "head",
 ) -> tuple[list[Match], list[str]]:
     """Recognise the columns of ``df``; returns the matches and what stays unmapped."""
     columns = [c for c in df.columns if c != row_id]
-    if profile == "full":
-        evidence = profile_all_rows(df, columns)
-    else:
-        evidence = profile_columns(df, columns, row_id)
+    evidence = profile_columns(df, columns) if columns else {}
     return assign(columns, evidence, overrides)
 
 

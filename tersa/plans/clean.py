@@ -28,11 +28,9 @@ class CleanOptions:
     column_overrides: dict[str, str] = field(default_factory=dict)
     # Spark-side choices, none of which changes a result at its default.
     row_id: str | None = None  # unique key column; generated when absent
-    max_block: int | None = fixed.MAX_BLOCK  # None compares names in blocks of any size
-    profile: str = "head"  # "full" looks at every row to recognise columns
     protect_quarantine: bool = False
     exact_limit: int = numeric.EXACT_LIMIT
-    materialize: bool = False  # write the evaluated frame once for many consumers
+    materialize: bool = True  # write the evaluated frame once for its many consumers
 
 
 @dataclass
@@ -103,7 +101,7 @@ def clean(
         matches, unmapped = [], []
     else:
         matches, unmapped = schema.detect_schema(
-            source, options.column_overrides, options.row_id, options.profile)
+            source, options.column_overrides, options.row_id)
     fields = {m.canonical: m.source for m in matches}
     working = source if options.row_id else with_row_id(source, row_id)
 
@@ -118,7 +116,7 @@ def clean(
     found = ev.findings_table(evaluated, row_id)
     if options.detect_duplicates and fields:
         duplicates = resolve.find_duplicates(
-            working, fields, row_id, options.duplicate_threshold, options.max_block)
+            working, fields, row_id, options.duplicate_threshold)
         found = ev.union_findings(found, resolve.duplicate_findings(duplicates))
 
     table = ev.corrected(evaluated, fields, options.apply_normalizations)

@@ -354,7 +354,7 @@ name_keys AS (SELECT row_id, block, {_company('k')} AS key FROM plain_keys)"""
 # (checked by the similarity oracle below on a table where they do).
 _NAME_LINKS = """sized AS (SELECT *, count(*) OVER (PARTITION BY block) AS entries FROM name_keys WHERE key <> ''),
 name_links AS (SELECT a.row_id AS i, b.row_id AS j, 'name' AS key_type, a.key AS key_value, 0.9::DOUBLE AS confidence, 1 AS phase
-  FROM sized a JOIN sized b ON a.block = b.block AND a.key = b.key AND a.row_id < b.row_id WHERE a.entries <= 2000)"""
+  FROM sized a JOIN sized b ON a.block = b.block AND a.key = b.key AND a.row_id < b.row_id)"""
 _COMPONENTS = """both_ways AS (SELECT i AS a, j AS b FROM links UNION SELECT j, i FROM links),
 reach AS (SELECT a, a AS b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
 labels AS (SELECT a AS row_id, min(b) AS group_id FROM reach GROUP BY a),
@@ -503,59 +503,7 @@ SELECT event_id, key, allowed, CASE WHEN allowed THEN CAST(floor(tokens) AS INT)
   lim AS "limit" FROM fold"""
 
 
-# --- generator -------------------------------------------------------------
-
-def _hex(text: str, slot: int, width: int = 8) -> str:
-    return f"CAST('0x' || {text}[{slot * width + 1}:{slot * width + width}] AS BIGINT)"
-
-
-def _generator() -> str:
-    from ..operators import generator as g
-
-    def digest(row, salt):
-        return f"sha256('42|{salt}|' || {row})"
-
-    def pick(values, number):
-        return f"([{', '.join(_q(v) for v in values)}])[1 + {number} % {len(values)}]"
-
-    def digits(number, size):
-        return f"lpad(CAST({number} % {10 ** size} AS STRING), {size}, '0')"
-
-    n, m, d = ([_hex(c, i) for i in range(8)] for c in ("h1", "h2", "h4"))
-    bell = " + ".join(_hex("h3", i, 4) for i in range(12))
-    control = ("(10 - list_sum(list_transform(range(1, 8), lambda i: CASE WHEN i % 2 = 1 THEN "
-               "(CAST(figures[i] AS INT) * 2) // 10 + (CAST(figures[i] AS INT) * 2) % 10 "
-               "ELSE CAST(figures[i] AS INT) END)) % 10) % 10")
-    bad_email = ("CASE way WHEN 0 THEN regexp_replace(email, '[.](com|es)$', '.con') "
-                 "WHEN 1 THEN 'no_email.com' ELSE '' END")
-    return f"""WITH flips AS (SELECT c_custkey AS id, {_hex(digest('c_custkey', 'dup'), 0)} % 100 < 6 AS f,
-  {_hex(digest('(c_custkey - 1)', 'dup'), 0)} % 100 < 6 AS g FROM customer),
-base AS (SELECT id, id > 0 AND f AND NOT g AS dup, CASE WHEN id > 0 AND f AND NOT g THEN id - 1 ELSE id END AS b FROM flips),
-hashed AS (SELECT *, {digest('b', 'who')} AS h1, {digest('b', 'what')} AS h2, {digest('b', 'money')} AS h3, {digest('b', 'defects')} AS h4 FROM base),
-made AS (SELECT id, dup, b, {pick(g.TRADES, n[0])} || ' ' || {pick(g.SURNAMES, n[1])} AS stem, {pick(g.LEGAL, n[2])} AS legal,
-  {pick(g.FIRST_NAMES, n[3])} || ' ' || {pick(g.SURNAMES, n[4])} || ' ' || {pick(g.SURNAMES, n[5])} AS contact,
-  {pick('ABEH', n[6])} AS entity, {digits(n[7], 7)} AS figures,
-  {m[0]} * 10 % 10000000000 + {m[1]} % 10 AS acc_a, {m[2]} * 10 % 10000000000 + {m[3]} % 10 AS acc_b,
-  {pick('6789', m[4])} || {digits(m[5], 8)} AS phone,
-  lpad(CAST({m[6]} % 52 + 1 AS STRING), 2, '0') || {digits(m[7], 3)} AS cp, {pick(('es', 'com'), d[0])} AS tld,
-  round(180000.0::DOUBLE + 90000.0::DOUBLE * (({bell}) / 65536.0::DOUBLE - 6.0::DOUBLE), 2) AS income,
-  CASE WHEN {d[1]} % 100 < 18 THEN {d[2]} % 7 ELSE -1 END AS defect, {d[3]} % 3 AS way, {d[4]} % 4 AS way4, {d[5]} % 99 + 1 AS tail FROM hashed),
-full_rows AS (SELECT *, entity || figures || CAST(CAST({control} AS INT) AS STRING) AS cif,
-  'ES' || lpad(CAST(98 - CAST((CAST(acc_a AS HUGEINT) * 10000000000 + acc_b) * 1000000 % 97 + 142800 % 97 AS BIGINT) % 97 AS STRING), 2, '0')
-    || lpad(CAST(acc_a AS STRING), 10, '0') || lpad(CAST(acc_b AS STRING), 10, '0') AS iban,
-  'info@' || replace(strip_accents(lower(stem)), ' ', '') || b || '.' || tld AS email FROM made)
-SELECT CASE WHEN dup THEN b + (SELECT count(*) FROM customer) + 1 ELSE id + 1 END AS number,
-  CASE WHEN dup THEN upper(stem) || ' SOCIEDAD LIMITADA' ELSE stem || ' ' || legal END AS company,
-  CASE WHEN defect = 6 THEN CASE way4 WHEN 0 THEN contact || tail WHEN 1 THEN 'TEST' WHEN 2 THEN 'aaaa' ELSE '' END ELSE contact END AS contact,
-  CASE WHEN defect = 0 THEN cif[1:8] || (CAST(cif[9] AS INT) + 1) % 10 ELSE cif END AS cif,
-  CASE WHEN dup THEN upper(CASE WHEN defect = 2 THEN {bad_email} ELSE email END) ELSE CASE WHEN defect = 2 THEN {bad_email} ELSE email END END AS email,
-  CASE WHEN defect = 3 THEN CASE way WHEN 0 THEN '111111111' WHEN 1 THEN '12345' ELSE '' END ELSE phone END AS phone,
-  CASE WHEN defect = 1 THEN iban[1:10] || iban[12] || iban[11] || iban[13:] ELSE iban END AS iban,
-  CASE WHEN defect = 4 THEN CASE WHEN cp[1] = '0' THEN CAST(CAST(cp AS INT) AS STRING) ELSE '99999' END ELSE cp END AS cp,
-  CASE WHEN defect = 5 THEN CASE way WHEN 0 THEN -5000.0 WHEN 1 THEN 25000000.0 END ELSE income END::DOUBLE AS income FROM full_rows"""
-
-
-def _matches(postal_ratio: bool) -> str:
+def _matches() -> str:
     rows = [
         ("Razón Social", "company", 0.95, "name"), ("Tlf", "phone", 0.95, "name"),
         ("Cuenta bancaria", "iban", 0.95, "name"), ("CP", "postal_code", 0.95, "name"),
@@ -564,11 +512,10 @@ def _matches(postal_ratio: bool) -> str:
     ]
     values = ", ".join(f"('{s}', '{c}', {p}::DOUBLE, '{m}')" for s, c, p, m in rows)
     # Two columns have meaningless headers and are recognised by what they hold.
-    limit = "" if postal_ratio else " ORDER BY row_id LIMIT 50"
     email = (f"SELECT avg(CASE WHEN regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[A-Za-z]{{2,}}$') THEN 1.0 ELSE 0.0 END) AS r "
-             f"FROM (SELECT email FROM crm{limit}) WHERE email <> ''")
+             f"FROM (SELECT email FROM crm) WHERE email <> ''")
     tax = (f"SELECT avg(CASE WHEN regexp_matches(tax_id, '^[0-9]{{7,8}}[A-Z]$') THEN 1.0 ELSE 0.0 END) AS r "
-           f"FROM (SELECT tax_id FROM crm{limit}) WHERE tax_id <> ''")
+           f"FROM (SELECT tax_id FROM crm) WHERE tax_id <> ''")
     return f"""WITH {CRM} SELECT * FROM (VALUES {values}) AS v(source, canonical, confidence, method)
 UNION ALL SELECT 'campo1', 'tax_id', round(0.6 + 0.3 * r, 4), 'content' FROM ({tax})
 UNION ALL SELECT 'campo2', CASE WHEN r >= 0.8 THEN 'email' ELSE '' END, CASE WHEN r >= 0.8 THEN round(0.6 + 0.3 * r, 4) ELSE 0.0 END,
@@ -664,7 +611,7 @@ ORACLES = {
         f"WITH {CRM}, {_NAME_KEY} SELECT block, count(*) AS entries, count(DISTINCT key) AS keys "
         "FROM name_keys WHERE key <> '' GROUP BY block"),
     "candidate_pairs": (
-        f"WITH RECURSIVE {_similar('WHERE entries <= 2000')} "
+        f"WITH RECURSIVE {_similar()} "
         "SELECT block, key_a, key_b, round(score, 6) AS score FROM pairs"),
     "candidate_pairs_all_blocks": (
         f"WITH RECURSIVE {_similar()} SELECT block, key_a, key_b, round(score, 6) AS score FROM pairs"),
@@ -724,8 +671,8 @@ ORACLES = {
         f"CAST({_plan('o.plan', 3)} AS BIGINT) AS rows_included, greatest(0, {_plan('o.plan', 3)} - coalesce(u.rows_processed, 0)) AS rows_remaining "
         f"FROM orgs o LEFT JOIN usage u ON u.org_id = o.org_id AND u.period = DATE '{PERIOD}'"),
     "quota_decisions": (
-        f"WITH {_RUNS}, {_USAGE}, asked AS (SELECT run_id, plan, rows_processed AS rows_used, rows_in * 7 AS rows_requested, "
-        f"{_plan('plan', 3)} AS lim, {_plan('plan', 1)} AS label FROM runs JOIN usage ON usage.org_id = runs.org_id AND period = DATE '{PERIOD}') "
+        f"WITH {_RUNS}, {_USAGE}, asked AS (SELECT run_id, plan, coalesce(rows_processed, 0) AS rows_used, rows_in * 7 AS rows_requested, "
+        f"{_plan('plan', 3)} AS lim, {_plan('plan', 1)} AS label FROM runs LEFT JOIN usage ON usage.org_id = runs.org_id AND period = DATE '{PERIOD}') "
         "SELECT run_id, plan, rows_used, rows_requested, rows_requested <= lim - rows_used AS allowed, "
         "CASE WHEN rows_requested <= lim - rows_used THEN '' "
         f"WHEN lim - rows_used <= 0 THEN 'Has consumido las ' || {_thousands('lim', ',')} || ' filas de tu plan ' || label || ' este mes. El contador se reinicia el día 1.' "
@@ -751,9 +698,11 @@ ORACLES = {
         f"WITH {_RUNS} SELECT * FROM runs WHERE created_at >= TIMESTAMP '{AS_OF}' - to_days(CAST({_plan('plan', 5)} AS INT))"),
     "tenant_runs": f"WITH {_RUNS} SELECT * FROM runs WHERE org_id = 'org_7'",
     "over_limit_events": _BUCKETS,
+    "row_identity_filtered": (
+        "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey FROM customer "
+        "WHERE c_custkey % 10 = 9"),
     "row_identity": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey, c_name FROM customer",
-    "schema_matches": _matches(False),
-    "schema_matches_all_rows": _matches(True),
-    "dirty_customers": _generator(),
+    "schema_matches": _matches(),
+    "schema_matches_all_rows": _matches(),
     "stream_findings": f"{_RUN} SELECT row_id, \"column\", rule, severity, proposed FROM found",
 }

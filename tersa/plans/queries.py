@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import checks, fixed, text
 from ..functions.privacy import Pseudonymizer, mask_email
 from ..functions.sql import quote
-from ..operators import accounts, evaluate as ev, generator, numeric, report, resolve, schema
+from ..operators import accounts, evaluate as ev, numeric, report, resolve, schema
 from ..operators import worklist as wl
 from ..operators.protection import mask, pseudonymise
-from ..session import shared_folder, spread
+from ..session import shared_folder
 from ..sources.io import with_row_id
 from ..streaming import streams
 from . import derived
@@ -34,7 +34,7 @@ def _sql(spark, sf_dir, query, *tables) -> DataFrame:
 
 def crm(spark, sf_dir) -> DataFrame:
     people = load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    return spark.sql(derived.CRM, customer=spread(people))
+    return spark.sql(derived.CRM, customer=people)
 
 
 def _timestamps(df: DataFrame, *names: str) -> DataFrame:
@@ -217,13 +217,11 @@ def name_keys(spark, sf_dir):
         "row_id", "__block AS block", "__key AS key")
 
 
-def _pairs(max_block):
-    def run(spark, sf_dir):
-        names = _sql(spark, sf_dir, derived.NAMES, "part")
-        fields = {"company": "company", "postal_code": "postal_code"}
-        return resolve.name_pairs(names, fields, max_block=max_block).select(
-            "block", "key_a", "key_b", F.round("score", 6).alias("score"))
-    return run
+def candidate_pairs(spark, sf_dir):
+    names = _sql(spark, sf_dir, derived.NAMES, "part")
+    fields = {"company": "company", "postal_code": "postal_code"}
+    return resolve.name_pairs(names, fields).select(
+        "block", "key_a", "key_b", F.round("score", 6).alias("score"))
 
 
 def _exact(spark, sf_dir):
@@ -258,7 +256,7 @@ def duplicate_findings(spark, sf_dir):
 def similar_name_groups(spark, sf_dir):
     names = _sql(spark, sf_dir, derived.NAMES, "part")
     return resolve.find_duplicates(
-        names, {"company": "company", "postal_code": "postal_code"}, max_block=None).members
+        names, {"company": "company", "postal_code": "postal_code"}).members
 
 
 # --- H: protection ---------------------------------------------------------
@@ -353,8 +351,8 @@ def quota_decisions(spark, sf_dir):
     log = runs(spark, sf_dir)
     used = accounts.monthly_usage(log).where(F.col("period") == F.lit(PERIOD).cast("date")).select(
         "org_id", F.col("rows_processed").alias("rows_used"))
-    asked = log.join(F.broadcast(used), "org_id").select(
-        "run_id", "plan", "rows_used", (F.col("rows_in") * 7).alias("rows_requested"))
+    asked = log.join(used, "org_id", "left").select(
+        "run_id", "plan", F.coalesce("rows_used", F.lit(0)).alias("rows_used"), (F.col("rows_in") * 7).alias("rows_requested"))
     return accounts.quota_decisions(asked)
 
 
@@ -420,12 +418,19 @@ def over_limit_events(spark, sf_dir):
         "event_id", "key", "allowed", "remaining", "retry_after", "limit")
 
 
-# --- A, B: identity, mapping, generator ------------------------------------
+# --- A, B: identity, mapping ------------------------------------
 
 def row_identity(spark, sf_dir):
     return with_row_id(load(spark, sf_dir, "customer")).select("row_id", "c_custkey", "c_name")
 
 
+def row_identity_filtered(spark, sf_dir):
+    """Rows of a filtered table that sits in any partition but the first."""
+    base = load(spark, sf_dir, "customer").where("c_custkey % 10 = 9")
+    empty = base.where("c_custkey < 0").coalesce(1)
+    return with_row_id(empty.unionByName(base)).select("row_id", "c_custkey")
+
+
 _SPANISH = {
     "row_id": "Nº Cliente", "company": "Razón Social", "name": "Persona de contacto",
     "tax_id": "campo1", "email": "campo2", "phone": "Tlf", "iban": "Cuenta bancaria",
@@ -433,23 +438,12 @@ _SPANISH = {
 }
 
 
-def _matches(profile):
-    def run(spark, sf_dir):
-        # In file order: the sample is the head of the table.
-        people = _sql(spark, sf_dir, derived.CRM, "customer")
-        headed = people.select(*[F.col(c).alias(h) for c, h in _SPANISH.items()])
-        found, unmapped = schema.detect_schema(headed, profile=profile)
-        rest = [schema.Match(c, "", 0.0, "unmapped") for c in unmapped]
-        return schema.matches_table(spark, found + rest).withColumn(
-            "confidence", F.round("confidence", 4))
-    return run
-
-
-def dirty_customers(spark, sf_dir):
-    base = load(spark, sf_dir, "customer")
-    made = generator.dirty_customers(base, base.count(), 42, "c_custkey")
-    names = ("number", "company", "contact", "cif", "email", "phone", "iban", "cp", "income")
-    return made.toDF(*names)
+def schema_matches(spark, sf_dir):
+    headed = crm(spark, sf_dir).select(*[F.col(c).alias(h) for c, h in _SPANISH.items()])
+    found, unmapped = schema.detect_schema(headed)
+    rest = [schema.Match(c, "", 0.0, "unmapped") for c in unmapped]
+    return schema.matches_table(spark, found + rest).withColumn(
+        "confidence", F.round("confidence", 4))
 
 
 # --- L: streams ------------------------------------------------------------
@@ -460,18 +454,17 @@ def _stream(spark, sf_dir, name):
     return spark.readStream.schema(load(spark, sf_dir, name).schema).parquet(path)
 
 
-def _drain(stream, mode):
+def _drain(stream):
     """Run a stream over all it can read now and return what it wrote."""
     import uuid
 
     spark = stream.sparkSession
-    name = f"t_{uuid.uuid4().hex}"
-    place = f"{shared_folder(spark)}/stream-{name}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", place).trigger(availableNow=True).start())
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{place}/out")
+        .option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
 def stream_verdicts(spark, sf_dir):
@@ -480,7 +473,7 @@ def stream_verdicts(spark, sf_dir):
     people = spark.sql(derived.CRM, customer=source)
     cleaner = streams.StreamCleaner(FIELDS, _models(crm(spark, sf_dir)))
     found = cleaner.findings(people).select("row_id", "column", "rule", "severity", "proposed")
-    return _drain(found, "append")
+    return _drain(found)
 
 
 QUERIES = {
@@ -513,8 +506,8 @@ QUERIES = {
     "exact_key_links": exact_key_links,
     "name_keys": name_keys,
     "block_sizes": block_sizes,
-    "candidate_pairs": _pairs(fixed.MAX_BLOCK),
-    "candidate_pairs_all_blocks": _pairs(None),
+    "candidate_pairs": candidate_pairs,
+    "candidate_pairs_all_blocks": candidate_pairs,
     "duplicate_groups_exact": duplicate_groups_exact,
     "duplicate_members_exact": duplicate_members_exact,
     "duplicate_groups_full": duplicate_groups_full,
@@ -545,8 +538,8 @@ QUERIES = {
     "tenant_runs": tenant_runs,
     "over_limit_events": over_limit_events,
     "row_identity": row_identity,
-    "schema_matches": _matches("head"),
-    "schema_matches_all_rows": _matches("full"),
-    "dirty_customers": dirty_customers,
+    "row_identity_filtered": row_identity_filtered,
+    "schema_matches": schema_matches,
+    "schema_matches_all_rows": schema_matches,
     "stream_findings": stream_verdicts,
 }

@@ -26,16 +26,6 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores on a file scan that has fewer splits than cores.
-
-    The checks are worth more than moving a small input once; a scan with enough
-    splits is returned as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and return a frame that reads it back."""
     spark = df.sparkSession

@@ -38,7 +38,7 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     for partition, rows in sizes:
         offsets.append((partition, total))
         total += rows
-    if len(offsets) <= 1:
+    if all(partition == 0 for partition, _ in offsets):  # all in the first partition, or no rows
         return df.select(mark.alias(name), "*")
     table = df.sparkSession.createDataFrame(offsets, "__part int, __offset bigint")
     marked = df.select("*", mark.alias("__mark")).withColumn(

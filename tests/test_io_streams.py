@@ -4,7 +4,6 @@ import pytest
 
 from tersa import CleanOptions, clean
 from tersa.operators import evaluate as ev
-from tersa.operators import generator
 from tersa.plans import derived, queries
 from tersa.session import shared_folder
 from tersa.sources import io
@@ -44,6 +43,12 @@ def test_row_ids_follow_the_file(spark, tmp_path):
     assert "Window" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_row_ids_skip_empty_partitions(spark):
+    for low in (0, 10, 30, 40):
+        rows = io.with_row_id(spark.range(0, 40, 1, 4).where(f"id >= {low}")).collect()
+        assert [(r.row_id, r.id) for r in rows] == [(i, low + i) for i in range(40 - low)]
+
+
 def test_nan_is_null(spark):
     df = spark.createDataFrame([(float("nan"), "a"), (1.0, None)], "x double, y string")
     assert [tuple(r) for r in io.nan_to_null(df).collect()] == [(None, "a"), (1.0, None)]
@@ -53,20 +58,6 @@ def test_shared_folder_is_the_named_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_generator(spark):
-    for rows in (1, 10, 499):
-        assert generator.generate(spark, rows).count() == rows
-    with pytest.raises(ValueError):
-        generator.generate(spark, 0)
-    made = generator.generate(spark, 1500, seed=9).coalesce(1)
-    assert made.exceptAll(generator.generate(spark, 1500, seed=9)).isEmpty()
-    out = clean(made)
-    row = out.report().head()
-    assert row.rows_in == 1500 and row.rows_valid > 0.75 * 1500
-    assert row.counts_by_rule["tax_id.cif.checksum"] > 0 and row.counts_by_rule["iban.checksum"] > 0
-    assert row.duplicate_groups > 0
-
-
 @pytest.fixture(scope="module")
 def feed(spark, sf_dir, tmp_path_factory):
     place = str(tmp_path_factory.mktemp("feed") / "in")

@@ -39,7 +39,7 @@ def union_find(edges):
     return {x: find(x) for x in parent}
 
 
-def brute(records, threshold=0.92, max_block=2000):
+def brute(records, threshold=0.92):
     """All pairs, in row order; the definition rather than the method."""
     weight = {"tax_id": 1.0, "iban": 0.98, "email": 0.97, "phone": 0.90}
     evidence, edges = {}, []
@@ -65,8 +65,6 @@ def brute(records, threshold=0.92, max_block=2000):
         blocks.setdefault((r.get("postal_code") or "")[:5] or "_", []).append((i, r["key"]))
     for rows in blocks.values():
         rows = [x for x in rows if x[1]]
-        if max_block is not None and len(rows) > max_block:
-            continue
         for p, (i, a) in enumerate(rows):
             for j, b in rows[p + 1:]:
                 if abs(len(a) - len(b)) / max(len(a), len(b), 1) > 0.2:
@@ -85,7 +83,7 @@ def brute(records, threshold=0.92, max_block=2000):
 
 def test_small_sets(spark):
     a, g = groups(spark, [
-        {"tax_id": "12345678Z", "name": "Joel Rodriguez"}, {"tax_id": "12345678Z", "name": "J. Rodriguez"},
+        {"tax_id": "12345678Z", "name": "Iker Zabala"}, {"tax_id": "12345678Z", "name": "I. Zabala"},
         {"tax_id": "00000000T"}])
     row = g.groups.head()
     assert a == [[0, 1]] and (row.confidence, row.survivor_row) == (1.0, 0)
@@ -129,16 +127,15 @@ def random_records(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed,threshold,max_block,floor", [
-    (1, 0.92, 2000, 1_000_000), (2, 0.88, None, 5), (3, 0.75, None, 1_000_000), (4, 0.92, 60, 5)])
-def test_against_all_pairs(spark, seed, threshold, max_block, floor):
+@pytest.mark.parametrize("seed,threshold,floor", [
+    (1, 0.92, 1_000_000), (2, 0.88, 5), (3, 0.75, 1_000_000), (4, 0.92, 5)])
+def test_against_all_pairs(spark, seed, threshold, floor):
     records = random_records(seed, 160)
     df = table(spark, records)
     for r in resolve.with_name_key(df, FIELDS).selectExpr("row_id", "__key").collect():
         records[r.row_id]["key"] = r["__key"]
-    found = resolve.find_duplicates(
-        df, FIELDS, threshold=threshold, max_block=max_block, floor=floor)
-    label, best = brute(records, threshold, max_block)
+    found = resolve.find_duplicates(df, FIELDS, threshold=threshold, floor=floor)
+    label, best = brute(records, threshold)
     got = {r.row_id: r.group_id for r in found.members.collect()}
     assert got == label
     evidence = {r.group_id: (r.key_type, r.key_value, r.confidence) for r in found.groups.collect()}
