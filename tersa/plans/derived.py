@@ -39,6 +39,67 @@ SELECT k AS row_id,
 FROM m
 """
 
+def _digit(number: str, place: int) -> str:
+    return f"CAST(floor({number} / {10 ** place}) AS BIGINT) % 10"
+
+
+def _cif_control(number: str) -> str:
+    """Control digit of a seven-digit company number."""
+    odd = [f"(CASE WHEN {d} < 5 THEN 2 * ({d}) ELSE 2 * ({d}) - 9 END)"
+           for d in (_digit(number, p) for p in (6, 4, 2, 0))]
+    even = [f"({_digit(number, p)})" for p in (5, 3, 1)]
+    return f"CAST((10 - ({' + '.join(odd + even)}) % 10) % 10 AS BIGINT)"
+
+
+def _nif_letter(number: str) -> str:
+    return f"substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(({number}) % 23 + 1 AS INT), 1)"
+
+
+_SEVEN = "lpad(CAST(n AS STRING), 7, '0')"
+
+# Every outcome of every check: letters of foreigners and companies, prefixes and
+# separators, unknown countries, fillers, missing and misplaced numbers.
+EDGES = f"""
+WITH b AS (SELECT c_custkey AS k, (c_custkey * 7919 + 1234567) % 10000000 AS n FROM {{customer}}),
+c AS (SELECT *, {_cif_control("n")} AS cd FROM b)
+SELECT k AS row_id,
+  CASE k % 18 WHEN 0 THEN '' WHEN 1 THEN concat({_SEVEN}, 'Z') WHEN 2 THEN 'ÑÑÑÑÑÑÑÑÑ'
+    WHEN 3 THEN concat('X', {_SEVEN}, {_nif_letter("n")})
+    WHEN 4 THEN concat('Y', {_SEVEN}, {_nif_letter("n + 10000000")})
+    WHEN 5 THEN concat('Z', {_SEVEN}, {_nif_letter("n + 20000001")})
+    WHEN 6 THEN concat('B', {_SEVEN}, CAST(cd AS STRING))
+    WHEN 7 THEN concat('A', {_SEVEN}, CAST((cd + 1) % 10 AS STRING))
+    WHEN 8 THEN concat('Q', {_SEVEN}, substr('JABCDEFGHI', CAST(cd + 1 AS INT), 1))
+    WHEN 9 THEN concat('Q', {_SEVEN}, CAST(cd AS STRING))
+    WHEN 10 THEN concat('C', {_SEVEN}, CAST(cd AS STRING))
+    WHEN 11 THEN concat('D', {_SEVEN}, substr('JABCDEFGHI', CAST(cd + 1 AS INT), 1))
+    WHEN 12 THEN concat('es0', {_SEVEN}, {_nif_letter("n")})
+    WHEN 13 THEN concat('0.', {_SEVEN}, '-', {_nif_letter("n")}, ' ')
+    WHEN 14 THEN ' n/a ' WHEN 15 THEN concat({_SEVEN}, '12345')
+    WHEN 16 THEN concat('0', {_SEVEN}, {_nif_letter("n + 1")})
+    ELSE concat('0', {_SEVEN}, {_nif_letter("n")}) END AS tax_id,
+  split_part('|1234|ESXX2100041845|ES91210004184502000513|ES91 2100 0418 4502 0005 1332|AE070331234567890123456|DE89370400440532013000|GB29NWBK60161331926819|FR1420041010050500013M02606|es9121000418450200051332|ES9121000418450200051333|ES91-2100-0418-4502-0005-1332|AE070331234567890123457', '|', CAST(k % 13 + 1 AS INT)) AS iban,
+  split_part('|test@test.com|sin@arroba|dos@@arrobas.com|x@gmail.con|y@mailinator.com|  UP@EMPRESA.ES  |n/a|no_email.com|a.b+c@sub.dominio.com', '|', CAST(k % 10 + 1 AS INT)) AS email,
+  split_part('|abc|---|111111111|12345|0034600123456|+34 912 34 56 78|600123456.0|60012345678901|nan|600-123-456', '|', CAST(k % 11 + 1 AS INT)) AS phone,
+  split_part('|1001|28001.0|99999|123456|53001| 28001 |08001|null|abc', '|', CAST(k % 10 + 1 AS INT)) AS postal_code,
+  split_part('TEST|aaaa||JUAN DE LA TORRE|Ana Paz|pedro3|maria  del mar', '|', CAST(k % 7 + 1 AS INT)) AS name,
+  split_part('TEST|  Talleres   Paz  |Paz SL||Obras 2000 SA', '|', CAST(k % 5 + 1 AS INT)) AS company,
+  CASE WHEN k % 50 = 0 THEN NULL WHEN k % 49 = 0 THEN -1 WHEN k % 47 = 0 THEN 119 ELSE CAST(40 + k % 7 AS INT) END AS age,
+  CASE WHEN k % 50 = 1 THEN NULL WHEN k % 49 = 1 THEN -5.0 WHEN k % 47 = 1 THEN 9000000.0 ELSE 30000.0 + k % 900 END AS income
+FROM c
+"""
+
+# Identifiers that reached the table as numbers, and columns that leave the usual
+# spread undefined.
+TYPED = """
+SELECT c_custkey AS row_id, CAST(600000000 + (c_custkey * 7919) % 99999999 AS DOUBLE) AS phone,
+  CAST(c_custkey * 37 % 60000 AS INT) AS postal_code, CAST(42 AS DOUBLE) AS fixed_value,
+  CASE WHEN c_custkey % 20 = 0 THEN CAST(c_custkey % 7 AS DOUBLE) ELSE CAST(10 AS DOUBLE) END AS tied,
+  CAST(NULL AS DOUBLE) AS nothing,
+  CASE WHEN c_custkey % 9 = 0 THEN 'n/a' ELSE CAST(c_custkey AS STRING) END AS worded
+FROM {customer}
+"""
+
 # Names one or two letters apart inside blocks of a few dozen rows, one block
 # holding a third of all suppliers' parts, for the similarity operators.
 NAMES = """

@@ -706,3 +706,20 @@ ORACLES = {
     "schema_matches_all_rows": _matches(),
     "stream_findings": f"{_RUN} SELECT row_id, \"column\", rule, severity, proposed FROM found",
 }
+
+_EDGES = f"crm AS ({_bind(derived.EDGES)})"
+_TYPED = (f"typed AS ({_bind(derived.TYPED)}), crm AS (SELECT row_id, "
+          "CAST(CAST(phone AS BIGINT) AS STRING) AS phone, CAST(postal_code AS STRING) AS postal_code "
+          "FROM typed)")
+ORACLES.update({
+    **{f"{kind}_edge_findings": _verdicts(block, view).replace(CRM, _EDGES) for kind, block, view in (
+        ("tax_id", _TAX, "tax_v"), ("iban", _IBAN, "iban_v"), ("email", _email("crm"), "email_v"),
+        ("phone", _PHONE, "phone_v"), ("postal_code", _POSTAL, "postal_v"))},
+    "edge_findings": ORACLES["findings"].replace(CRM, _EDGES),
+    "typed_phone_findings": _verdicts(_PHONE, "phone_v").replace(CRM, _TYPED),
+    "typed_postal_findings": _verdicts(_POSTAL, "postal_v").replace(CRM, _TYPED),
+    "outlier_fallbacks": _OUTLIER_MODEL.replace(CRM, _TYPED).replace(_MODELS, " UNION ALL ".join([
+        _model("fixed_value", "typed", "fixed_value"), _model("tied", "typed", "tied"),
+        _model("worded", "(SELECT TRY_CAST(worded AS DOUBLE) AS worded FROM typed)", "worded")]))
+    + " UNION ALL SELECT 'nothing', 0, 'empty', 0.0, 0.0, 0.0, 0.0, 0.0",
+})

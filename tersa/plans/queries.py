@@ -37,6 +37,15 @@ def crm(spark, sf_dir) -> DataFrame:
     return spark.sql(derived.CRM, customer=people)
 
 
+def edges(spark, sf_dir) -> DataFrame:
+    return _sql(spark, sf_dir, derived.EDGES, "customer").withColumn(
+        "income", F.col("income").cast("double"))
+
+
+def typed(spark, sf_dir) -> DataFrame:
+    return _sql(spark, sf_dir, derived.TYPED, "customer")
+
+
 def _timestamps(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("timestamp") for n in names})
 
@@ -63,9 +72,9 @@ def _evaluated(spark, sf_dir):
 
 # --- D: one check over a whole column --------------------------------------
 
-def _verdicts(kind):
+def _verdicts(kind, source=crm):
     def run(spark, sf_dir):
-        out = checks.validate_column(crm(spark, sf_dir), kind, kind)
+        out = checks.validate_column(source(spark, sf_dir), kind, kind)
         return out.select("row_id", "verdict.*")
     return run
 
@@ -130,6 +139,12 @@ def findings(spark, sf_dir):
         "confidence", F.round("confidence", 6))
 
 
+def edge_findings(spark, sf_dir):
+    df = edges(spark, sf_dir)
+    return ev.findings_table(ev.evaluate(df, FIELDS, _models(df))).withColumn(
+        "confidence", F.round("confidence", 6))
+
+
 def quarantine_split(spark, sf_dir):
     """Both sides of the split, at each of the three thresholds."""
     table = ev.corrected(_evaluated(spark, sf_dir), FIELDS)
@@ -184,6 +199,15 @@ def outlier_models(spark, sf_dir):
         *[F.round(c, 6).alias(c) for c in ("median", "mad", "scale", "low", "high")])
 
 
+def outlier_fallbacks(spark, sf_dir):
+    """Models of constant, tied, empty and worded columns."""
+    names = ("fixed_value", "tied", "nothing", "worded")
+    models = numeric.fit_models(typed(spark, sf_dir), {n: n for n in names})
+    return numeric.models_table(spark, models).select(
+        "field", "n_fitted", "fallback",
+        *[F.round(c, 6).alias(c) for c in ("median", "mad", "scale", "low", "high")])
+
+
 def _flags(table, key, column):
     def run(spark, sf_dir):
         out = numeric.mad_outliers(load(spark, sf_dir, table), column)
@@ -482,6 +506,12 @@ QUERIES = {
     "email_findings": _verdicts("email"),
     "phone_findings": _verdicts("phone"),
     "postal_findings": _verdicts("postal_code"),
+    **{f"{kind}_edge_findings": _verdicts(kind, edges)
+       for kind in ("tax_id", "iban", "email", "phone", "postal_code")},
+    "typed_phone_findings": _verdicts("phone", typed),
+    "typed_postal_findings": _verdicts("postal_code", typed),
+    "edge_findings": edge_findings,
+    "outlier_fallbacks": outlier_fallbacks,
     "document_emails": document_emails,
     "text_keys": _text(
         key=text.normalize_key, plain=text.strip_accents, spaced=text.collapse_spaces),
