@@ -375,11 +375,11 @@ _DUPLICATE_LINES = """repeats AS (SELECT 9 AS seq, labels.row_id, '__row__' AS "
 # Similarity by definition: all pairs of keys of a block, and for each pair the
 # longest common block (earliest in the first text, then in the second), then
 # both sides of it, until nothing is shared.
-def _similar(where: str = "") -> str:
+def _similar(name: str = "") -> str:
     return f"""names AS ({_bind(derived.NAMES)}),
 plain_keys AS (SELECT row_id, postal_code AS block, {_key('company')} AS k FROM names),
-name_keys AS (SELECT row_id, block, {_company('k')} AS key, count(*) OVER (PARTITION BY block) AS entries FROM plain_keys),
-distinct_keys AS (SELECT block, key, min(row_id) AS lo, max(row_id) AS hi FROM name_keys {where} GROUP BY block, key),
+name_keys AS (SELECT row_id, block, {name or _company('k')} AS key FROM plain_keys),
+distinct_keys AS (SELECT block, key, min(row_id) AS lo, max(row_id) AS hi FROM name_keys GROUP BY block, key),
 key_pairs AS (SELECT a.block, a.key AS key_a, b.key AS key_b, a.lo AS lo_a, a.hi AS hi_a, b.lo AS lo_b, b.hi AS hi_b
   FROM distinct_keys a JOIN distinct_keys b ON a.block = b.block AND a.key < b.key
   WHERE abs(length(a.key) - length(b.key)) / greatest(length(a.key), length(b.key)) <= 0.2
@@ -723,3 +723,22 @@ ORACLES.update({
         _model("worded", "(SELECT TRY_CAST(worded AS DOUBLE) AS worded FROM typed)", "worded")]))
     + " UNION ALL SELECT 'nothing', 0, 'empty', 0.0, 0.0, 0.0, 0.0, 0.0",
 })
+
+_NEAR_LINKS = """links AS (SELECT lo AS i, row_id AS j, 'name' AS key_type, key AS key_value, 0.9::DOUBLE AS confidence, 1 AS phase
+  FROM name_keys JOIN distinct_keys USING (block, key) WHERE row_id <> lo
+  UNION ALL SELECT least(lo_a, lo_b), greatest(lo_a, lo_b), 'name', CASE WHEN lo_a < lo_b THEN key_a ELSE key_b END, score * 0.9, 1 FROM pairs)"""
+ORACLES.update({
+    query: (f"WITH RECURSIVE {_similar(name)}, {_NEAR_LINKS}, {_COMPONENTS} SELECT key_type, key_value, "
+            "round(confidence, 6) AS confidence, survivor_row, size FROM groups")
+    for query, name in (("similar_company_evidence", ""), ("similar_person_evidence", "k"))})
+ORACLES.update({
+    "csv_round_trip": (
+        "SELECT CAST(c_custkey AS STRING) AS id, lpad(CAST(c_custkey AS STRING), 8, '0') AS code, "
+        "c_name || ', \"' || c_mktsegment || '\"' AS note, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS some FROM customer"),
+    "records_round_trip": (
+        "SELECT c_custkey AS id, c_name AS note, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey::DOUBLE / 8 END AS share FROM customer"),
+    "run_log_append": (
+        f"WITH {_RUNS}, twice AS (SELECT * FROM runs UNION ALL SELECT * FROM runs WHERE run_id % 2 = 0) "
+        "SELECT org_id, count(*) AS entries, CAST(sum(rows_in) AS BIGINT) AS rows_in FROM twice GROUP BY org_id"),
+    "stream_events": ORACLES["relevant_billing_events"],
+})

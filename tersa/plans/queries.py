@@ -12,7 +12,8 @@ from ..operators import accounts, evaluate as ev, numeric, report, resolve, sche
 from ..operators import worklist as wl
 from ..operators.protection import mask, pseudonymise
 from ..session import shared_folder
-from ..sources.io import with_row_id
+from ..sources.io import (
+    append_rows, read_records, read_table, with_row_id, write_records, write_table)
 from ..streaming import streams
 from . import derived
 from .clean import CleanOptions, clean
@@ -283,6 +284,14 @@ def similar_name_groups(spark, sf_dir):
         names, {"company": "company", "postal_code": "postal_code"}).members
 
 
+def _similar_groups(field):
+    def run(spark, sf_dir):
+        names = _sql(spark, sf_dir, derived.NAMES, "part")
+        found = resolve.find_duplicates(names, {field: "company", "postal_code": "postal_code"})
+        return found.groups.drop("group_id").withColumn("confidence", F.round("confidence", 6))
+    return run
+
+
 # --- H: protection ---------------------------------------------------------
 
 def pseudonymised(spark, sf_dir):
@@ -448,6 +457,41 @@ def row_identity(spark, sf_dir):
     return with_row_id(load(spark, sf_dir, "customer")).select("row_id", "c_custkey", "c_name")
 
 
+def _place(spark, name):
+    import uuid
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(spark, sf_dir):
+    """All values come back as the text they were, quotes, commas and leading zeros included."""
+    rows = load(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "lpad(CAST(c_custkey AS STRING), 8, '0') AS code",
+        "concat(c_name, ', \"', c_mktsegment, '\"') AS note", "IF(c_custkey % 3 = 0, NULL, c_name) AS some")
+    place = _place(spark, "csv")
+    write_table(rows, place)
+    return read_table(spark, place)
+
+
+def records_round_trip(spark, sf_dir):
+    """JSON rows; NaN comes back as absent."""
+    rows = load(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", "c_name AS note",
+        "IF(c_custkey % 4 = 0, double('NaN'), CAST(c_custkey AS DOUBLE) / 8) AS share")
+    place = _place(spark, "records")
+    write_records(rows, place)
+    return read_records(spark, place, rows.schema)
+
+
+def run_log_append(spark, sf_dir):
+    """Two appends to a log laid out by organisation."""
+    log, place = runs(spark, sf_dir).select("org_id", "run_id", "rows_in"), _place(spark, "log")
+    append_rows(log, place, "org_id")
+    append_rows(log.where("run_id % 2 = 0"), place, "org_id")
+    return spark.read.parquet(place).groupBy("org_id").agg(
+        F.count("*").alias("entries"), F.sum("rows_in").alias("rows_in"))
+
+
 def row_identity_filtered(spark, sf_dir):
     """Rows of a filtered table that sits in any partition but the first."""
     base = load(spark, sf_dir, "customer").where("c_custkey % 10 = 9")
@@ -500,6 +544,14 @@ def stream_verdicts(spark, sf_dir):
     return _drain(found)
 
 
+def stream_events(spark, sf_dir):
+    """Billing events of a stream, each delivery twice, kept once."""
+    log = _timestamps(spark.sql(derived.BILLING, events=_stream(spark, sf_dir, "events")),
+                      "ts", "period_end")
+    twice = log.unionByName(log)
+    return _drain(streams.relevant_events_stream(twice).select("event_id", "type", "status"))
+
+
 QUERIES = {
     "tax_id_findings": _verdicts("tax_id"),
     "iban_findings": _verdicts("iban"),
@@ -544,6 +596,8 @@ QUERIES = {
     "duplicate_rows_nested": duplicate_rows_nested,
     "duplicate_findings": duplicate_findings,
     "similar_name_groups": similar_name_groups,
+    "similar_company_evidence": _similar_groups("company"),
+    "similar_person_evidence": _similar_groups("name"),
     "pseudonymised": pseudonymised,
     "masked": masked,
     "counts_by_rule": counts_by_rule,
@@ -569,7 +623,11 @@ QUERIES = {
     "over_limit_events": over_limit_events,
     "row_identity": row_identity,
     "row_identity_filtered": row_identity_filtered,
+    "csv_round_trip": csv_round_trip,
+    "records_round_trip": records_round_trip,
+    "run_log_append": run_log_append,
     "schema_matches": schema_matches,
     "schema_matches_all_rows": schema_matches,
     "stream_findings": stream_verdicts,
+    "stream_events": stream_events,
 }
