@@ -1,17 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 6).
 
 Two bigram models, of toxic and of ordinary text, share their last backoff: the
-continuation counts of words over the whole corpus. A text's score compares its
+continuation counts over the whole corpus. A text's score compares its
 two log-likelihoods, each divided by the length, on a logistic scale.
 
-The continuation counts are gathered from every document (distinct pairs of
-neighbouring words, counted by second word). The class counts come from a
+The continuation counts are gathered from every document: distinct pairs of
+neighbouring words, counted by second word. The class counts come from a
 bounded sample of labelled rows, ``PER_CLASS`` toxic texts at most and up to
 ``ORDINARY`` ordinary ones for each, so what the workers get is bounded by the
-sample: its pairs that outlive the discount, and the shared backoff of its words. A word or pair that
-neither class has seen takes its probability from the shared counts in both
-models, where it cancels; the corpus-wide value is only needed for the sample's
-words.
+sample: its pairs and words that outlive the discount, and their shared backoff.
+A word that neither class knows takes its probability from the shared counts in
+both models, where it cancels, so the corpus-wide value is only needed for the
+words that one of them knows.
 
 A null or wordless text has likelihoods of 0 and gets the score of that
 difference. With fewer than four texts of a class every score is half the share
@@ -61,24 +61,70 @@ def neighbours(starts: np.ndarray, count: int) -> np.ndarray:
     return np.flatnonzero(inner)
 
 
-def continuation_counts(df: DataFrame, words: DataFrame) -> tuple[DataFrame, int]:
-    """How many different words stand before each of ``words(w)``, and all distinct pairs.
+def continuation_counts(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many different words stand before each of the ``known`` words, over all texts.
 
-    Pairs are thinned to distinct ones in every slice, then by a shuffle; the
+    Also all words that have one before them: what the counts are divided by.
+
+    A pair is one number, place of the word and hash of the word before it;
+    pairs are thinned to distinct ones in every slice, then by a shuffle. The
     counts per word are partial sums, so a frequent word is no hot key.
     """
+    shared = df.sparkSession.sparkContext.broadcast(known)
+
+    def step(batch, texts):
+        starts, codes, values = words_of(texts)
+        keys, known = word_keys(values), shared.value
+        place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[place] == keys
+        every = neighbours(starts, len(codes))
+        at = every[hit[codes[every]]]
+        before = mix64(keys) & np.uint64((1 << 40) - 1)
+        pair = place[codes[at]].astype(np.uint64) << np.uint64(40) | before[codes[at - 1]]
+        pair = np.append(np.unique(pair), np.uint64(len(known) << 40)).astype(np.int64)
+        words = np.zeros(len(pair), np.int64)
+        words[-1] = len(every)
+        return [pair, words]
+
+    found = per_text(df.select("text"), step, "pair long, words long").groupBy("pair").agg(
+        F.sum("words").alias("words")).groupBy(F.shiftright("pair", 40).alias("place")).agg(
+        F.count("*").alias("n"), F.sum("words").alias("words")).toArrow()
+    counts = np.zeros(len(known) + 1)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    return counts[:-1], int(found["words"].to_numpy().sum())
+
+
+def class_counts(train: DataFrame, discount: float) -> list:
+    """Counts of both classes of ``train(toxic, text)``, aggregated by Spark.
+
+    Only what outlives the discount reaches the driver.
+    """
     def step(batch, texts):
         starts, codes, values = words_of(texts)
         keys = word_keys(values)[codes]
-        at = neighbours(starts, len(codes))
-        pair, first = np.unique(pair_keys(keys[at - 1], keys[at]), return_index=True)
-        return [pair.view(np.int64), keys[at][first].view(np.int64)]
-
-    pairs = per_text(df.select("text"), step, "pair long, w long").dropDuplicates(["pair"])
-    counts = pairs.groupBy("w").agg(F.count("*").alias("before"))
-    counts = materialize(counts, "continuations")
-    total = counts.agg(F.sum("before")).head()[0] or 0
-    return counts.join(F.broadcast(words), "w"), int(total)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+        at = neighbours(starts, len(keys))
+        second = np.zeros(len(keys) + 1, bool)
+        second[starts[:-1] + 1] = True  # the second word of a text has one word before it
+        ahead = np.where(second[at], np.uint64(0), keys[at - 2])
+        return [batch.column("toxic").take(pa.array(row[at])), *[
+            x.view(np.int64) for x in (ahead, keys[at - 1], keys[at])]]
+
+    kept = F.greatest(F.col("n") - discount, F.lit(0.0))
+    pairs = materialize(
+        per_text(train, step, "toxic boolean, ahead long, before long, after long")
+        .distinct().groupBy("toxic", "before", "after").agg(F.count("*").alias("n")), "pairs")
+    tables = {
+        "pair": pairs.where(kept > 0).select("toxic", "before", "after", kept.alias("kept")),
+        "history": pairs.groupBy("toxic", "before").agg(
+            F.sum("n").alias("n"), F.sum(kept).alias("kept")).where("kept > 0"),
+        "word": pairs.groupBy("toxic", "after").agg(F.count("*").alias("n")).where(kept > 0)
+        .select("toxic", "after", kept.alias("kept")),
+    }
+    tables = {k: t.toArrow().to_pandas() for k, t in tables.items()}
+    kinds = {r.toxic: r["count"] for r in pairs.groupBy("toxic").count().collect()}
+    return [Counts({k: t[t.toxic == c] for k, t in tables.items()}, kinds.get(c, 1))
+            for c in (True, False)]
 
 
 class Counts:
@@ -90,25 +136,22 @@ class Counts:
     expression after up to ``DISCOUNT`` words leaves all its mass to the backoff.
     """
 
-    def __init__(self, keys: np.ndarray, starts: np.ndarray, discount: float = DISCOUNT):
-        at = neighbours(starts, len(keys))
-        pairs = pair_keys(keys[at - 1], keys[at])
-        second = np.zeros(len(keys) + 1, bool)
-        second[starts[:-1] + 1] = True  # the second word of a text has one word before it
-        ahead = np.where(second[at], np.uint64(0), keys[at - 2])
-        _, once = np.unique(pair_keys(ahead, pairs), return_index=True)
-        before, after, pairs = keys[at - 1][once], keys[at][once], pairs[once]
-        self.pair, first, n = np.unique(pairs, return_index=True, return_counts=True)
-        self.kept = np.maximum(n - discount, 0.0)
-        self.history, where = np.unique(before[first], return_inverse=True)
-        self.history_n = np.bincount(where, n).astype(float)
-        self.history_kept = np.bincount(where, self.kept)
-        self.word, kinds = np.unique(after[first], return_counts=True)
-        self.kinds = float(len(self.pair))
-        self.word_kept = np.maximum(kinds - discount, 0.0)
+    def __init__(self, tables: dict, kinds: int):
+        def hashes(table, name):
+            return table[name].to_numpy().view(np.uint64)
+
+        def ordered(keys, *values):
+            by = np.argsort(keys)
+            return keys[by], *[v.to_numpy().astype(float)[by] for v in values]
+
+        pair, history, word = tables["pair"], tables["history"], tables["word"]
+        self.pair, self.kept = ordered(
+            pair_keys(hashes(pair, "before"), hashes(pair, "after")), pair.kept)
+        self.history, self.history_n, self.history_kept = ordered(
+            hashes(history, "before"), history.n, history.kept)
+        self.word, self.word_kept = ordered(hashes(word, "after"), word.kept)
+        self.kinds = float(kinds)
         self.share = 1 - self.word_kept.sum() / self.kinds
-        used = self.kept > 0  # what is discounted whole need not be kept
-        self.pair, self.kept = self.pair[used], self.kept[used]
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -188,28 +231,28 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model |
     # At most 2 * (1 + ORDINARY) * per_class short rows; half of them may have long texts.
     rows = df.select("doc_id", "text").where(
         F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
-    sample = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn(
-        "n", F.row_number().over(order)).where(F.col("n") <= most).orderBy("n").collect()
-    classes = [[r.text for r in sample if (r.toxic == 1) == c] for c in (True, False)]
-    if min(map(len, classes)) < 4:
-        return len(classes[0]) / max(1, len(sample))
-    classes[1] = classes[1][:ORDINARY * len(classes[0])]
-    counts, learnt = [], [3 * len(c) // 4 for c in classes]
-    for texts, n in zip(classes, learnt, strict=True):
-        starts, codes, values = words_of(pa.array(texts[:n], pa.string()))
-        counts.append(Counts(word_keys(values)[codes], starts))
-    words = np.unique(np.concatenate([c.word for c in counts] + [c.history for c in counts]))
-    spark = df.sparkSession
-    table = spark.createDataFrame(pa.table({"w": words.view(np.int64)}))
-    found, total = continuation_counts(df, table)
-    found = found.toArrow()
-    key = found["w"].to_numpy().view(np.uint64)
-    by = np.argsort(key)
-    model = Model(*counts, key[by], found["before"].to_numpy()[by] / max(total, 1),
-                  0.5 / max(total, 1))
-    values = [model.log_ratio(pa.array(c[n:], pa.string()))
-              for c, n in zip(classes, learnt, strict=True)]
-    _scale(model, np.concatenate(values), np.repeat([True, False], [len(v) for v in values]))
+    sample = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select(
+        (F.col("toxic") == 1).alias("toxic"), "text", F.row_number().over(order).alias("n")),
+        "sample").where(F.col("n") <= F.when(F.col("toxic"), per_class).otherwise(
+            ORDINARY * per_class))
+    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    if min(size.get(True, 0), size.get(False, 0)) < 4:
+        return size.get(True, 0) / max(1, sum(size.values()))
+    size[False] = min(size[False], ORDINARY * size[True])
+    most, learnt = (F.when(F.col("toxic"), n[True]).otherwise(n[False]) for n in (
+        size, {c: 3 * n // 4 for c, n in size.items()}))
+    counts = class_counts(sample.where(F.col("n") <= learnt).select("toxic", "text"), DISCOUNT)
+    known = np.unique(np.concatenate([c.word for c in counts]))
+    if not len(known):
+        return size[True] / sum(size.values())
+    shared, total = continuation_counts(df, known)
+    model = Model(*counts, known, shared / total, 0.5 / total)
+    held = sample.where((F.col("n") > learnt) & (F.col("n") <= most)).select("toxic", "text")
+    way = df.sparkSession.sparkContext.broadcast(model)
+    rows = per_text(held, lambda batch, texts: [batch.column("toxic"),
+                                                way.value.log_ratio(texts)],
+                    "toxic boolean, value double").orderBy("toxic", "value").collect()
+    _scale(model, np.array([r.value for r in rows]), np.array([r.toxic for r in rows]))
     return model
 
 
