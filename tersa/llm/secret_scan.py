@@ -42,7 +42,6 @@ MAYBE = "(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{16}|[0-9a-f]{24}
 SAMPLE, SAMPLE_CHARS, AROUND, WINDOW = 300, 20_000, 12, 25
 BEGIN, INSIDE, OUTSIDE = range(3)
 
-_GAP = r"[\t\n\f\r ]+"
 _TOKEN = re.compile(r"[^\t\n\f\r ]+")
 _IS_HEX = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
 _HEX_RUN = b"1" * LEAST["hex"]
@@ -72,6 +71,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 _KEY = re.compile(r"(pass|pwd|secret|token|api_?key|auth|bearer|credential|private|access)", re.I)
 _PAIR = re.compile(r"^[\"'({\[]*[A-Za-z_.-]+[\"']?[:=]+")
 _EDGE = "\"'`,;()[]{}<>"
+_EDGE_END = _EDGE + "."
 
 
 def value_of(token: str) -> tuple[int, int]:
@@ -80,7 +80,7 @@ def value_of(token: str) -> tuple[int, int]:
     start, end = (m.end() if m and m.end() < len(token) else 0), len(token)
     while start < end and token[start] in _EDGE:
         start += 1
-    while end > start and token[end - 1] in _EDGE + ".":
+    while end > start and token[end - 1] in _EDGE_END:
         end -= 1
     return start, end
 
@@ -132,6 +132,8 @@ class Field:
 
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray, first: np.ndarray):
         self.weights, self.moves, self.first = weights, moves, first
+        self.heads = {n[len("own:head="):] for n in weights if n.startswith("own:head=")}
+        self.plain: dict = {}
 
     def _sum(self, place: str, features) -> np.ndarray:
         out = np.zeros(3)
@@ -142,7 +144,24 @@ class Field:
         return out
 
     def table(self, token: str) -> np.ndarray:
-        """What a token adds to its own tag, to the next token's and to the last one's."""
+        """What a token adds to its own tag, to the next token's and to the last one's.
+
+        The features of a plain word are told by its case, its length and, if the
+        field knows it, its head, so words alike in these share one sum.
+        """
+        word = token.lstrip(_EDGE).rstrip(_EDGE_END)
+        if word.isalpha() and not _KEY.search(token):
+            size, head = len(word), word[:4]
+            kind = (word.islower(), word.isupper(), word[1:].islower(),
+                    size if size < 8 else 8 + min(size, 40) // 6,
+                    head if size >= 8 and head in self.heads else None)
+            found = self.plain.get(kind)
+            if found is None:
+                found = self.plain[kind] = self._table(token)
+            return found
+        return self._table(token)
+
+    def _table(self, token: str) -> np.ndarray:
         own, near = token_features(token)
         return np.concatenate([self._sum("own:", own), self._sum("left:", near),
                                self._sum("right:", near)])
@@ -178,7 +197,10 @@ class Field:
 
     def tag_slice(self, texts, memo) -> tuple[np.ndarray, np.ndarray]:
         """Tags of the tokens of each text, and where each text's tokens begin."""
-        parts = pc.split_pattern_regex(texts, _GAP)
+        rows = texts.to_pylist()
+        for gap in "\t\n\f\r":
+            texts = pc.replace_substring(texts, gap, " ")
+        parts = pc.split_pattern(texts, " ")
         starts = parts.offsets.to_numpy().astype(np.int64) - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
@@ -190,7 +212,7 @@ class Field:
             kept = np.concatenate(([0], np.cumsum(keep)))
             starts, codes = kept[starts], codes[keep]
         table = np.array([memo[v] for v in values]).reshape(-1, 9)
-        of_file = np.array([self.file(t) for t in texts.to_pylist()]).reshape(-1, 3)
+        of_file = np.array([self.file(t) for t in rows]).reshape(-1, 3)
         emission = table[codes, :3] + np.repeat(of_file, np.diff(starts), axis=0)
         inner = np.ones(len(codes) + 1, bool)
         inner[starts] = False
