@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.sql import any_of, case, literal, lookup, quote, select
 from ..functions.text import thousands
+from ..session import materialize
 
 _PLAN_FIELDS = ("plan", "plan_name", "price_cents", "monthly_rows", "api_access", "retention_days")
 _PAID = tuple(p[0] for p in fixed.PLANS if p[2] > 0)
@@ -156,23 +157,19 @@ def with_organisation(events: DataFrame, bucket: str = "hour") -> DataFrame:
     organisation has not been given another customer. The e-mail never counts.
     """
     given = events.columns
+    alone = "concat('\\u0000', event_id)"  # a key of its own for what cannot be looked up
     told = select(events, {
-        "__named": "coalesce(nullif(org_id, ''), nullif(client_reference_id, ''))"})
-    told = select(told, {"__owner": f"IF({_WRITES_STATE}, __named, NULL)"})
-    # Events without a customer cannot be looked up and take no part in windows.
-    known, unknown = told.where("customer IS NOT NULL"), told.where("customer IS NULL")
-    found = last_before(known, "customer", "__owner", "__candidate", bucket=bucket)
+        "__named": "coalesce(nullif(org_id, ''), nullif(client_reference_id, ''))",
+        "__buyer": f"coalesce(customer, {alone})"})
+    told = materialize(select(told, {"__owner": f"IF({_WRITES_STATE}, __named, NULL)"}), "told")
+    found = last_before(told, "__buyer", "__owner", "__candidate", bucket=bucket)
     # Is the customer still the one the candidate organisation holds?
-    held = select(found, {
-        "__who": "coalesce(__named, __candidate)",
-        "__holds": "IF(__owner IS NOT NULL, customer, NULL)"})
-    checked = last_before(
-        held.where("__who IS NOT NULL"), "__who", "__holds", "__current", bucket=bucket)
-    resolved = select(checked, {
+    held = materialize(select(found, {
+        "__who": f"coalesce(__named, __candidate, {alone})",
+        "__holds": "IF(__owner IS NOT NULL, customer, NULL)"}), "held")
+    checked = last_before(held, "__who", "__holds", "__current", bucket=bucket)
+    return select(checked, {
         "org": "coalesce(__named, IF(__current = customer, __candidate, NULL))"}, keep=given)
-    return resolved.unionByName(
-        select(held.where("__who IS NULL"), {"org": "CAST(NULL AS STRING)"}, keep=given)
-    ).unionByName(select(unknown, {"org": "__named"}, keep=given))
 
 
 def _changes(resolved: DataFrame) -> DataFrame:
@@ -226,7 +223,7 @@ def billing_audit(events: DataFrame, bucket: str = "hour") -> DataFrame:
 
     Columns: org_id, actor_id, action, target, metadata, created_at.
     """
-    resolved = with_organisation(relevant_events(events), bucket)
+    resolved = materialize(with_organisation(relevant_events(events), bucket), "resolved")
     nothing = "CAST(NULL AS STRING)"
 
     def lines(df, org, action, target, metadata):
@@ -245,7 +242,7 @@ def billing_audit(events: DataFrame, bucket: str = "hour") -> DataFrame:
         "'billing.payment_failed'", nothing,
         "map('invoice', object_id, 'attempt', CAST(attempt_count AS STRING))")
     seen = lines(
-        relevant_events(events), nothing, "'billing.event'", "CAST(event_id AS STRING)",
+        resolved, nothing, "'billing.event'", "CAST(event_id AS STRING)",
         "CAST(map() AS MAP<STRING,STRING>)")
     return changed.unionByName(failed).unionByName(seen)
 
@@ -283,22 +280,61 @@ def requests_per_minute(plan: str) -> str:
 
 
 def with_bursts(log: DataFrame) -> DataFrame:
-    """Adds ``burst``: start of the run of requests without a long pause.
-
-    A pause fills the bucket whatever happened before, so bursts are independent.
-    They are found on one record per key and minute, not on the requests.
+    """Adds ``burst``: how often the bucket of the key was surely full up to a request.
+
+    ``log``: key, ts, event_id, limit, at (seconds). A bucket is surely full
+    before a request if it would be had every earlier request been accepted. With
+    ``y = rate * at - requests before``, that holds where y is as high as never
+    before for its key; a pause that fills any bucket is such a point too. What
+    lies between full points is independent of the rest, so a key that is never
+    idle is cut too, as long as it keeps its limit on the whole; only stretches
+    over the limit without a break stay sequential. Keys whose limit changes
+    are cut at pauses alone.
+
+    Found in two levels, key and minute, then within the minute, so a hot key is
+    not one window.
+    """
+    rows = materialize(select(log, {"minute": "date_trunc('minute', ts)"}), "requests")
+    order = "PARTITION BY key, minute ORDER BY ts, event_id"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    placed = select(rows, {
+        "place": f"row_number() OVER ({order}) - 1", "last_at": f"lag(at) OVER ({order})"})
+    placed = materialize(select(placed, {"y": "limit / 60.0D * at - place"}), "placed")
+    minutes = placed.groupBy("key", "minute").agg(
+        F.count("*").alias("n"), F.max("y").alias("high"), F.max("at").alias("end"),
+        F.min("limit").alias("low_limit"), F.max("limit").alias("high_limit"))
+    across = f"OVER (PARTITION BY key ORDER BY minute {before})"
+    carried = minutes.selectExpr(
+        "key", "minute", f"coalesce(sum(n) {across}, 0) AS base", "high",
+        f"max(end) {across} AS end_before",
+        "min(low_limit) OVER (PARTITION BY key) = max(high_limit) OVER (PARTITION BY key) AS even")
+    carried = carried.selectExpr(
+        "key", "minute", "base", "even", "end_before", f"max(high - base) {across} AS high_before")
+    known = select(placed.join(carried, ["key", "minute"]), {
+        "pause": "at - coalesce(last_at, end_before)",
+        "top": f"greatest(high_before, max(y - base) OVER ({order} {before}))"})
+    # The margin keeps rounding from calling a bucket full that is not.
+    full = (f"pause IS NULL OR pause >= {BREAK_SECONDS} "
+            "OR (even AND y - base >= coalesce(top, double('-inf')) + 1e-6D)")
+    marked = materialize(select(known, {"full": f"IF({full}, 1, 0)"}, keep=log.columns + ["minute"]),
+                         "marked")
+    counted = marked.groupBy("key", "minute").agg(F.sum("full").alias("n")).selectExpr(
+        "key", "minute", f"coalesce(sum(n) {across}, 0) AS earlier")
+    return select(marked.join(counted, ["key", "minute"]), {
+        "burst": f"earlier + sum(full) OVER ({order} ROWS UNBOUNDED PRECEDING)"}, keep=log.columns)
+
+
+def take_token(tokens: float | None, seen: float, at: float, limit: int):
+    """One request against a bucket: its new tokens, and what the caller is told.
+
+    ``tokens`` is None for a bucket that is full. Returns tokens, allowed,
+    remaining, retry after.
     """
-    marked = select(log, {"minute": "date_trunc('minute', ts)"})
-    per_minute = marked.groupBy("key", "minute").agg(
-        F.expr("min(ts) AS first"), F.expr("max(ts) AS last"))
-    gaps = select(per_minute, {
-        "gap": "(unix_micros(first) - unix_micros(lag(last) OVER "
-               "(PARTITION BY key ORDER BY minute))) / 1e6"})
-    starts = f"IF(gap IS NULL OR gap >= {BREAK_SECONDS}, minute, NULL)"
-    known = gaps.selectExpr(
-        "key", "minute",
-        f"last({starts}, true) OVER (PARTITION BY key ORDER BY minute) AS burst")
-    return marked.join(known, ["key", "minute"]).drop("minute")
+    capacity, rate = max(1.0, float(limit)), limit / 60.0
+    tokens = capacity if tokens is None else min(capacity, tokens + max(0.0, at - seen) * rate)
+    if tokens >= 1.0:
+        return tokens - 1.0, True, int(tokens - 1.0), 0
+    return tokens, False, 0, max(1, int((1.0 - tokens) / rate) + 1)
 
 
 def over_limit_events(log: DataFrame) -> DataFrame:
@@ -311,30 +347,26 @@ def over_limit_events(log: DataFrame) -> DataFrame:
     """
     import pandas as pd
 
-    ready = with_bursts(log).selectExpr(
-        "event_id", "key", "ts", "burst", f"{requests_per_minute('plan')} AS limit",
+    ready = log.selectExpr(
+        "event_id", "key", "ts", f"{requests_per_minute('plan')} AS limit",
         "unix_micros(ts) / 1e6D AS at")
-    ordered = ready.repartition("key", "burst").sortWithinPartitions(
+    ordered = with_bursts(ready).repartition("key", "burst").sortWithinPartitions(
         "key", "burst", "ts", "event_id")
 
     def replay(batches):
-        who, tokens, seen = None, 0.0, 0.0
+        who, tokens, seen = None, None, 0.0
         for batch in batches:
-            allowed, remaining, retry = [], [], []
+            told = []
             for key, burst, at, limit in zip(batch.key, batch.burst, batch["at"], batch.limit):
-                capacity, rate = max(1.0, float(limit)), limit / 60.0
                 if (key, burst) != who:
-                    who, tokens, seen = (key, burst), capacity, at
-                tokens = min(capacity, tokens + max(0.0, at - seen) * rate)
+                    who, tokens = (key, burst), None
+                tokens, *answer = take_token(tokens, seen, at, limit)
                 seen = at
-                ok = tokens >= 1.0
-                tokens = tokens - 1.0 if ok else tokens
-                allowed.append(ok)
-                remaining.append(int(tokens) if ok else 0)
-                retry.append(0 if ok else max(1, int((1.0 - tokens) / rate) + 1))
+                told.append(answer)
+            allowed, remaining, retry = zip(*told, strict=True) if told else ((), (), ())
             yield pd.DataFrame({
                 "event_id": batch.event_id, "key": batch.key, "ts": batch.ts,
-                "allowed": allowed, "remaining": remaining, "retry_after": retry,
+                "allowed": list(allowed), "remaining": list(remaining), "retry_after": list(retry),
                 "limit": batch.limit})
 
     types = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}

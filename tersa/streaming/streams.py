@@ -85,30 +85,35 @@ def relevant_events_stream(events: DataFrame, lateness: str = "3 days") -> DataF
     )
 
 
-def request_limits_stream(log: DataFrame) -> DataFrame:
-    """Token buckets of a live request log, one small state per key."""
+def request_limits_stream(log: DataFrame, lateness: str | None = None) -> DataFrame:
+    """Token buckets of a live request log, one small state per key.
+
+    With ``lateness`` (a watermark on ``ts``) the state of a key goes once it has
+    been idle so long that its bucket is full.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    ready = log.selectExpr(
+    timeout = GroupStateTimeout.EventTimeTimeout if lateness else GroupStateTimeout.NoTimeout
+    ready = (log.withWatermark("ts", lateness) if lateness else log).selectExpr(
         "event_id", "key", "ts", f"{accounts.requests_per_minute('plan')} AS limit",
         "unix_micros(ts) / 1e6D AS at")
 
     def replay(key, batches, state: GroupState):
+        if state.hasTimedOut:  # the bucket is full again, as it was before its first request
+            state.remove()
+            return
         tokens, seen = state.get if state.exists else (None, 0.0)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for event_id, ts, limit, at in zip(rows.event_id, rows.ts, rows.limit, rows["at"]):
-            capacity, rate = max(1.0, float(limit)), limit / 60.0
-            if tokens is None:
-                tokens, seen = capacity, at
-            tokens = min(capacity, tokens + max(0.0, at - seen) * rate)
+            tokens, *answer = accounts.take_token(tokens, seen, at, limit)
             seen = at
-            ok = tokens >= 1.0
-            tokens = tokens - 1.0 if ok else tokens
-            retry = 0 if ok else max(1, int((1.0 - tokens) / rate) + 1)
-            out.append((event_id, key[0], ts, ok, int(tokens) if ok else 0, retry, limit))
+            out.append((event_id, key[0], ts, *answer, limit))
         state.update((tokens, seen))
+        if timeout == GroupStateTimeout.EventTimeTimeout:
+            idle = int((seen + accounts.BREAK_SECONDS) * 1000)
+            state.setTimeoutTimestamp(max(idle, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[
             "event_id", "key", "ts", "allowed", "remaining", "retry_after", "limit"])
 
@@ -117,7 +122,7 @@ def request_limits_stream(log: DataFrame) -> DataFrame:
         replay,
         f"event_id {types['event_id']}, key {types['key']}, ts timestamp, allowed boolean, "
         "remaining int, retry_after int, limit int",
-        "tokens double, seen double", "append", GroupStateTimeout.NoTimeout)
+        "tokens double, seen double", "append", timeout)
 
 
 def register_keys(stream: DataFrame, fields: dict[str, str], path: str, checkpoint: str,

@@ -136,6 +136,24 @@ def test_request_limits(spark):
     assert 0 < sum(not v[0] for v in got.values()) < 3000
 
 
+def test_a_key_that_is_never_idle_is_cut(spark):
+    rng, now, rows = random.Random(3), 0.0, []
+    pace = 60 / accounts.fixed.REQUESTS_PER_MINUTE["public"]
+    for i in range(3000):  # below the limit on the whole, with rushes, never idle for a minute
+        now += pace * rng.choice([0.1, 0.9, 1.0, 1.4, 2.0, 2.5])
+        rows.append((i, "hot", "public", round(now, 3)))
+    rows += [(10_000 + i, "mixed", ("signup", "public")[i % 2], float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "event_id long, key string, plan string, at double").select(
+        "event_id", "key", "plan", F.expr("timestamp_micros(CAST(round(at * 1e6) AS BIGINT)) AS ts"))
+    ready = df.selectExpr("event_id", "key", "ts", f"{accounts.requests_per_minute('plan')} AS limit",
+                          "unix_micros(ts) / 1e6D AS at")
+    cuts = {r.key: r.n for r in accounts.with_bursts(ready).groupBy("key").agg(
+        F.countDistinct("burst").alias("n")).collect()}
+    assert cuts["mixed"] == 1 and cuts["hot"] > 100
+    assert {r.event_id: (r.allowed, r.remaining, r.retry_after) for r in accounts.over_limit_events(
+        df.where("key = 'hot'")).collect()} == replay(rows[:3000])
+
+
 def test_runs(spark):
     runs = spark.createDataFrame(
         [(i, "o1" if i % 2 else "o2", T0 + dt.timedelta(days=i), 10, "free") for i in range(60)],
