@@ -112,13 +112,24 @@ class Shard:
         self._add(score, order[begun:pivot])
         score[mine] = 0.0
         found = np.flatnonzero((score > 0) & (score + rest[pivot] >= threshold - SLACK))
+        threshold = max(threshold, self._kth(score[found], k))  # what is added so far is a floor
+        found = found[score[found] + rest[pivot] >= threshold - SLACK]
         behind = order[pivot:]
-        if len(found) and len(behind):
+        if len(found) > k and len(behind):
             at = self._spread(self.b_start, behind)
             room = np.bincount(self.b_block[at], self.b_max[at], self.docs // BLOCK_DOCS + 1)
             found = found[score[found] + room[found // BLOCK_DOCS] >= threshold - SLACK]
+        unread = postings[-1] - (postings[pivot - 1] if pivot else 0)
+        if len(found) > k and unread < 4 * (self.d_start[found + 1] - self.d_start[found]).sum():
+            # Many are left: reading the other terms once is cheaper than each document.
+            self._add(score, behind)
+            found = found[score[found] >= max(threshold, self._kth(score[found], k)) - SLACK]
         return found, self.full_scores(found, query)
 
+    @staticmethod
+    def _kth(values, k: int) -> float:
+        return float(np.partition(values, -k)[-k]) if len(values) >= k else 0.0
+
 
 def _best(ids, scores, k: int):
     order = np.lexsort((ids, -scores))[:k]
