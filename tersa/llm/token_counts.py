@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import encoding
-from .common import per_text
+from .common import materialize, per_text
 
 BLOCK = 1024
 
@@ -81,4 +81,5 @@ def length_quantile(sums: DataFrame, share: float) -> int | None:
 
 
 def token_counts(df: DataFrame, path: str | None = None) -> DataFrame:
-    return suffix_sums(histogram(token_lengths(df, path)))
+    """Sums for every length that occurs; the histogram is stored, as it has two consumers."""
+    return suffix_sums(materialize(histogram(token_lengths(df, path)), "lengths"))
