@@ -2,21 +2,42 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..session import materialize
 
-__all__ = ["load", "materialize", "slices", "per_text", "words_of", "mix64", "Memo", "sums",
-           "text_key"]
+__all__ = ["load", "materialize", "slices", "small_batches", "per_text", "words_of", "mix64",
+           "Memo", "sums", "settle"]
 
 #: Bytes of text that one step of a task works on at once; a longer text is one slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+
+
+def settle() -> None:
+    """Give freed memory back to the system: Spark keeps a worker for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which needs no such call
+        pass
+
+
+#: Rows and bytes that go to a Python worker at once, where the session keeps Spark's defaults.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"),
+           "spark.sql.execution.arrow.maxBytesPerBatch": (str(2**31 - 1), str(16 << 20))}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: hand over fewer at once. What the user has set stays."""
+    for name, (usual, small) in BATCHES.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, small)
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +45,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice holds about ``limit`` bytes of ``column``."""
+    """Cut Arrow batches so that a slice holds about ``limit`` bytes of ``column``.
+
+    Memory goes back to the system when the batches are through.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -36,11 +60,13 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    settle()
 
 
 def per_text(df: DataFrame, step: Callable, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``step(slice, texts)`` over ``df``; it gets whole texts (null: empty), and returns arrays."""
     names = [f.split()[0] for f in schema.split(",")]
+    small_batches(df.sparkSession)
 
     def run(batches):
         for batch in slices(batches, limit=limit):
@@ -106,8 +132,3 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
-
-
-def text_key() -> list:
-    """Columns that tell rows of ``documents`` apart; rows alike in both are the same."""
-    return [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]

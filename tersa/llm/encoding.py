@@ -30,8 +30,8 @@ PATTERN = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\
 _GAP = r"[\t-\r\x{85}\p{Z}]"
 _UNSAFE = rf"{_GAP}{_GAP}|^{_GAP}|{_GAP}$|<\|endoftext\|>"
 
-#: Entries that a worker remembers, twice at most.
-_MEMO = 250_000
+#: Entries that a worker remembers, twice at most: merged pieces, and chunks merged natively.
+_MEMO, _NATIVE_MEMO = 200_000, 60_000
 
 
 @lru_cache(maxsize=1)
@@ -156,7 +156,7 @@ class Ranked:
 
     def entries(self, values: list[str]) -> list[bytes]:
         """Packed ids of each chunk. What is new is encoded together, a line each."""
-        if len(self.memo) > _MEMO:
+        if len(self.memo) > _NATIVE_MEMO:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
         lines = []

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, per_text, slices
+from .common import Memo, per_text, slices, small_batches
 from .sampling import bounded
 
 # The base patterns and their least lengths.
@@ -356,6 +356,7 @@ def fit(df: DataFrame, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) ->
 
 def _scanner(df: DataFrame, field: Field | None):
     """A function that gives the spans of each text of a slice."""
+    small_batches(df.sparkSession)
     shared, memos = df.sparkSession.sparkContext.broadcast(field), {}
 
     def spans(texts) -> list[list[tuple[int, int, str]]]:

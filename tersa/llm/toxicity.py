@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, per_text, slices, sums, words_of
+from .common import materialize, mix64, per_text, slices, small_batches, sums, words_of
 
 #: Toxic texts that the class counts are taken from, and ordinary ones for each of them.
 PER_CLASS, ORDINARY = 1_500, 4
@@ -257,6 +257,7 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model |
 
 
 def _scorer(df: DataFrame, model: Model | float):
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(texts) -> np.ndarray:

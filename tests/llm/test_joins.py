@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from tersa.llm import neighbours, ngram_join, topk_search
-from tersa.llm.common import text_key
 
 
 def words(text):
@@ -107,7 +106,6 @@ def test_join_of_nothing(spark):
     assert ngram_join.one_of_each(blank).count() == 3
     again = docs(spark, ["a b c d e f"] * 3, [None] * 3)
     assert ngram_join.one_of_each(again).count() == 1
-    assert len(text_key()) == 2
 
 
 def test_pruning_bounds():
