@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import materialize
 
 __all__ = ["load", "materialize", "slices", "small_batches", "per_text", "words_of", "mix64",
-           "Memo", "sums", "settle"]
+           "unmix64", "Memo", "sums", "settle"]
 
 #: Bytes of text that one step of a task works on at once; a longer text is one slice.
 SLICE_BYTES = 4 << 20
@@ -109,6 +109,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BACK1, _BACK2 = (np.uint64(pow(int(m), -1, 1 << 64)) for m in (_MUL1, _MUL2))
+
+
+def unmix64(x: np.ndarray) -> np.ndarray:
+    """What ``mix64`` has made ``x`` of."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * _BACK2
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * _BACK1
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between consecutive ``starts``; empty stretches give 0."""
     total = np.concatenate((np.zeros((1, *values.shape[1:]), values.dtype),

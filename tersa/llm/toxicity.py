@@ -5,7 +5,7 @@ continuation counts over the whole corpus. A text's score compares its
 two log-likelihoods, each divided by the length, on a logistic scale.
 
 The continuation counts are gathered from every document: distinct pairs of
-neighbouring words, counted by second word. The class counts come from a
+neighbouring words, counted by second word, divided by all of them. The class counts come from a
 bounded sample of labelled rows, ``PER_CLASS`` toxic texts at most and up to
 ``ORDINARY`` ordinary ones for each, so what the workers get is bounded by the
 sample: its pairs and words that outlive the discount, and their shared backoff.
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, per_text, slices, small_batches, sums, words_of
+from .common import materialize, mix64, per_text, slices, small_batches, sums, unmix64, words_of
 
 #: Toxic texts that the class counts are taken from, and ordinary ones for each of them.
 PER_CLASS, ORDINARY = 1_500, 4
@@ -42,6 +42,8 @@ TIE = 2.25
 PRIOR_WORDS = 20
 #: Difference of likelihoods a word from which on the scale is logarithmic.
 UNIT = 0.01
+#: Bytes of text whose word pairs are told apart in one group.
+GROUP_BYTES = 8 << 20
 #: A text without evidence for either class stays on the ordinary side of the scale.
 LEAST_MIDDLE = 0.4
 
@@ -61,37 +63,81 @@ def neighbours(starts: np.ndarray, count: int) -> np.ndarray:
     return np.flatnonzero(inner)
 
 
-def continuation_counts(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+def packed(codes: np.ndarray, bits: int):
+    """Sorted codes as differences of as few bytes as needed, by their first ``bits`` bits.
+
+    Bytes of one place come together: those of the highest are nearly all 0.
+    """
+    codes = np.unique(codes)
+    group = (codes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(codes), int)
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    step = np.diff(codes, prepend=np.uint64(0))
+    step[first] = codes[first]
+    for start, end in zip(first, np.append(first[1:], len(codes)), strict=True):
+        width = max(1, -(-int(step[start + 1:end].max(initial=0)).bit_length() // 8))
+        rest = step[start + 1:end].view(np.uint8).reshape(-1, 8)[:, :width].T
+        yield int(group[start]), codes[start].tobytes() + bytes([width]) + rest.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    step = np.zeros((1 + (len(data) - 9) // data[8], 8), np.uint8)
+    step[0] = np.frombuffer(data, np.uint8, 8)
+    step[1:, :data[8]] = np.frombuffer(data, np.uint8, offset=9).reshape(data[8], -1).T
+    return step.view(np.uint64).ravel().cumsum(dtype=np.uint64)
+
+
+def continuations(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int, int]:
     """How many different words stand before each of the ``known`` words, over all texts.
 
-    Also all words that have one before them: what the counts are divided by.
+    Also the distinct pairs of all words, known or not, which is what the counts
+    are divided by, and all words that have one before them.
 
-    A pair is one number, place of the word and hash of the word before it;
-    pairs are thinned to distinct ones in every slice, then by a shuffle. The
-    counts per word are partial sums, so a frequent word is no hot key.
+    A pair is one number: place of a known word and hash of the word before it, or
+    else a hash of both. Pairs are thinned to distinct ones in every slice, then in
+    groups of their mixed bits, so a frequent word is no hot key. The groups grow in
+    number with the text, and the counts per word are partial sums.
     """
+    size = df.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = max(0, (size // GROUP_BYTES).bit_length())
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def step(batch, texts):
         starts, codes, values = words_of(texts)
         keys, known = word_keys(values), shared.value
+        at = neighbours(starts, len(codes))
+        if not len(at):
+            return None
         place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
         hit = known[place] == keys
-        every = neighbours(starts, len(codes))
-        at = every[hit[codes[every]]]
-        before = mix64(keys) & np.uint64((1 << 40) - 1)
-        pair = place[codes[at]].astype(np.uint64) << np.uint64(40) | before[codes[at - 1]]
-        pair = np.append(np.unique(pair), np.uint64(len(known) << 40)).astype(np.int64)
-        words = np.zeros(len(pair), np.int64)
-        words[-1] = len(every)
-        return [pair, words]
-
-    found = per_text(df.select("text"), step, "pair long, words long").groupBy("pair").agg(
-        F.sum("words").alias("words")).groupBy(F.shiftright("pair", 40).alias("place")).agg(
-        F.count("*").alias("n"), F.sum("words").alias("words")).toArrow()
-    counts = np.zeros(len(known) + 1)
+        before, after = codes[at - 1], codes[at]
+        low = mix64(keys) & np.uint64((1 << 40) - 1)
+        pair = np.where(hit[after], place[after].astype(np.uint64) << np.uint64(40) | low[before],
+                        pair_keys(keys[before], keys[after]) | np.uint64(1 << 63))
+        group, data = zip(*packed(mix64(pair), bits), strict=True)
+        words = np.zeros(len(group), np.int64)
+        words[0] = len(at)
+        return [np.array(group, np.int64), pa.array(data, pa.binary()), words]
+
+    def count(table: pa.Table) -> pa.Table:
+        known = shared.value
+        pair = unmix64(np.unique(np.concatenate([unpacked(x.as_py()) for x in table["data"]])))
+        place = (pair[pair < np.uint64(1 << 63)] >> np.uint64(40)).astype(np.int64)
+        place, n = np.unique(place, return_counts=True)
+        return pa.table({"place": np.append(place, [len(known), len(known) + 1]),
+                         "n": np.append(n, [len(pair), pc.sum(table["words"]).as_py()])})
+
+    found = per_text(df.select("text"), step, "g long, data binary, words long").groupBy(
+        "g").applyInArrow(count, "place long, n long").groupBy("place").agg(
+        F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(len(known) + 2)
     counts[found["place"].to_numpy()] = found["n"].to_numpy()
-    return counts[:-1], int(found["words"].to_numpy().sum())
+    return counts[:-2], int(counts[-2]), int(counts[-1])
+
+
+def continuation_counts(df: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """Counts of the ``known`` words as in ``continuations``, and all words with one before them."""
+    counts, _, words = continuations(df, known)
+    return counts, words
 
 
 def class_counts(train: DataFrame, discount: float) -> list:
@@ -245,8 +291,8 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model |
     known = np.unique(np.concatenate([c.word for c in counts]))
     if not len(known):
         return size[True] / sum(size.values())
-    shared, total = continuation_counts(df, known)
-    model = Model(*counts, known, shared / total, 0.5 / total)
+    shared, total, _ = continuations(df, known)
+    model = Model(*counts, known, shared / max(total, 1), 0.5 / max(total, 1))
     held = sample.where((F.col("n") > learnt) & (F.col("n") <= most)).select("toxic", "text")
     way = df.sparkSession.sparkContext.broadcast(model)
     rows = per_text(held, lambda batch, texts: [batch.column("toxic"),

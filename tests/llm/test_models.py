@@ -90,6 +90,24 @@ def test_continuations_count_different_words(spark):
     assert words == 5
 
 
+def test_shared_backoff_is_divided_by_all_distinct_pairs(spark):
+    texts = ["a b c b", "x b", "a b", None, "", "b", "q r s", "q r s"]
+    known = np.sort(toxicity.word_keys(["b", "c", "zz"]))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    once, many = (toxicity.continuations(d.repartition(3), known) for d in (
+        df, df.union(df).union(df)))
+    assert once[1:] == (6, 9) and many[1:] == (6, 27)
+    assert once[0].tolist() == many[0].tolist() and sorted(once[0]) == [0, 1, 3]
+
+
+def test_packed_pairs_come_back():
+    codes = toxicity.mix64(np.arange(5_000, dtype=np.uint64))
+    assert (toxicity.unmix64(codes) == np.arange(5_000, dtype=np.uint64)).all()
+    for bits in (0, 3, 12):
+        back = [toxicity.unpacked(d) for _, d in toxicity.packed(np.append(codes, codes), bits)]
+        assert (np.concatenate(back) == np.sort(codes)).all()
+
+
 # --- pipeline -------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tables):
