@@ -9,9 +9,9 @@ neighbouring words, counted by second word, divided by all of them. The class co
 bounded sample of labelled rows, ``PER_CLASS`` toxic texts at most and up to
 ``ORDINARY`` ordinary ones for each, so what the workers get is bounded by the
 sample: its pairs and words that outlive the discount, and their shared backoff.
-A word that neither class knows takes its probability from the shared counts in
-both models, where it cancels, so the corpus-wide value is only needed for the
-words that one of them knows.
+A word that neither class knows, alone or as the second of a pair, takes its
+probability from the shared counts in both models, where it cancels, so the
+corpus-wide value is only needed for the words that one of them knows.
 
 A null or wordless text has likelihoods of 0 and gets the score of that
 difference. With fewer than four texts of a class every score is half the share
@@ -193,6 +193,8 @@ class Counts:
         pair, history, word = tables["pair"], tables["history"], tables["word"]
         self.pair, self.kept = ordered(
             pair_keys(hashes(pair, "before"), hashes(pair, "after")), pair.kept)
+        #: Words whose shared value does not cancel: known alone, or in a pair that is kept.
+        self.known = np.union1d(hashes(word, "after"), hashes(pair, "after"))
         self.history, self.history_n, self.history_kept = ordered(
             hashes(history, "before"), history.n, history.kept)
         self.word, self.word_kept = ordered(hashes(word, "after"), word.kept)
@@ -288,7 +290,7 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model |
     most, learnt = (F.when(F.col("toxic"), n[True]).otherwise(n[False]) for n in (
         size, {c: 3 * n // 4 for c, n in size.items()}))
     counts = class_counts(sample.where(F.col("n") <= learnt).select("toxic", "text"), DISCOUNT)
-    known = np.unique(np.concatenate([c.word for c in counts]))
+    known = np.union1d(*[c.known for c in counts])
     if not len(known):
         return size[True] / sum(size.values())
     shared, total, _ = continuations(df, known)

@@ -100,6 +100,19 @@ def test_shared_backoff_is_divided_by_all_distinct_pairs(spark):
     assert once[0].tolist() == many[0].tolist() and sorted(once[0]) == [0, 1, 3]
 
 
+def test_second_words_of_kept_pairs_have_their_shared_value(spark):
+    # "bar" comes after "foo" alone in the toxic texts, so only the pair outlives the discount.
+    texts = [f"w{i} foo bar" for i in range(8)] + [f"v{i} is good" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts + [f"u{i} bar" for i in range(30)])),
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(48)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    bar = toxicity.word_keys(["bar"])
+    assert bar not in model.classes[0].word and len(model.classes[0].pair)
+    pairs = (8 + 1) + (40 + 1) + 30
+    assert toxicity.Counts._find(model.words, bar, model.shared) == pytest.approx(31 / pairs)
+
+
 def test_packed_pairs_come_back():
     codes = toxicity.mix64(np.arange(5_000, dtype=np.uint64))
     assert (toxicity.unmix64(codes) == np.arange(5_000, dtype=np.uint64)).all()
