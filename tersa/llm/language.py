@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_text, slices, words_of
+from .common import per_text, slices, sums, words_of
 
 # Families of languages by code. A code not listed is a family of its own.
 FAMILIES = {
@@ -37,6 +37,12 @@ UNKNOWN = "und"
 NOT_LETTERS = r"\P{L}+"
 PER_LANGUAGE = 250
 DIMENSIONS = 1 << 12
+#: Numbers that letter 3-grams are hashed to, to tell which ones a language has.
+KINDS_OF_GRAMS = 1 << 18
+#: Learned rows held back to set what is rejected: one in so many, and the share of them that goes.
+HELD_BACK, TAIL = 4, 0.002
+#: Known 3-grams that every text is thought to have besides its own.
+PRIOR_GRAMS = 20
 
 
 def family_of(lang: str, families=None) -> str:
@@ -57,6 +63,28 @@ def grams(values: list[str]):
     return gram, np.concatenate([word[:len(h)][keep] for h, keep in inside])
 
 
+def trigrams(values: list[str]):
+    """Letter 3-grams of words under wider hashes: ``(gram, word)`` arrays."""
+    raw = np.frombuffer(b" " + " ".join(values).encode() + b" ", np.uint8).astype(np.uint32)
+    word = np.cumsum(raw == 32) - 1
+    gram = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
+    keep = raw[1:-1] != 32
+    return (gram * np.uint32(2654435761) >> np.uint32(14))[keep], word[1:-1][keep]
+
+
+def _doc_trigrams(texts):
+    """Distinct 3-grams of each text and how often it has them."""
+    starts, codes, values = words_of(texts, NOT_LETTERS)
+    gram, word = trigrams(values)
+    begin = np.searchsorted(word, np.arange(len(values) + 1))
+    for i in range(len(starts) - 1):
+        own, n = np.unique(codes[starts[i]:starts[i + 1]], return_counts=True)
+        size = begin[own + 1] - begin[own]
+        at = np.repeat(begin[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        kinds, where = np.unique(gram[at], return_inverse=True)
+        yield kinds.astype(np.int32), np.bincount(where, np.repeat(n, size), len(kinds))
+
+
 def _doc_features(texts):
     """Gram counts per text, as dense rows one after the other."""
     starts, codes, values = words_of(texts, NOT_LETTERS)
@@ -139,6 +167,11 @@ class Model:
         margins = np.column_stack([
             total(np.bincount(word, w[gram], len(values))) / size for w in self.weights.T]
             or [np.zeros((len(empty), 0))]) + self.bias
+        return self.decide(margins, empty)
+
+    def decide(self, margins: np.ndarray, empty: np.ndarray):
+        """Language and score of rows by their margins."""
+        lang, score = np.full(len(empty), UNKNOWN, object), np.zeros(len(empty))
         families = self.groups[0][0]
         family, sure = self._vote(margins, self.groups[0])
         for f, name in enumerate(families):
@@ -150,24 +183,95 @@ class Model:
         return lang, score
 
 
-def fit(df: DataFrame, per_language: int = PER_LANGUAGE, families=None) -> Model:
-    """Fit on ``per_language`` rows of each ``lang``, those with the smallest hashes of text."""
+class Limits:
+    """What a text must reach to have a language, from learned rows that were held back.
+
+    A score, and a share of 3-grams that the predicted language does not have;
+    ``TAIL`` of the held-back rows that are predicted right lie beyond each.
+    """
+
+    def __init__(self, least: float):
+        self.score, self.strange, self.seen = least, 1.0, {}
+
+    def learn(self, model: Model, learnt: list, held: list) -> None:
+        for r in learnt:
+            self.seen.setdefault(r.lang, np.zeros(KINDS_OF_GRAMS, bool))[
+                np.frombuffer(r.kinds, np.int32)] = True
+        counts = np.array([np.frombuffer(r.counts, np.float32) for r in held], float)
+        share = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+        lang, score = model.decide(share @ model.weights + model.bias, np.zeros(len(held), bool))
+        right = [i for i, r in enumerate(held) if r.lang == lang[i]]
+        if not right:
+            return
+        strange = []
+        for i in right:
+            kinds, n = np.frombuffer(held[i].kinds, np.int32), np.frombuffer(held[i].n, np.float64)
+            strange.append(n[~self.seen[lang[i]][kinds]].sum() / (n.sum() + PRIOR_GRAMS))
+        self.score = max(self.score, float(np.quantile(score[right], TAIL)))
+        self.strange = float(np.quantile(strange, 1 - TAIL))
+
+    def passes(self, texts, lang: np.ndarray, score: np.ndarray) -> np.ndarray:
+        kept = (lang != UNKNOWN) & (score >= self.score)
+        if not self.seen or not kept.any():
+            return kept
+        starts, codes, values = words_of(texts, NOT_LETTERS)
+        gram, word = trigrams(values)
+        size = sums(np.bincount(word, minlength=len(values)).astype(float)[codes], starts)
+        for name, seen in self.seen.items():
+            mine = kept & (lang == name)
+            if mine.any():
+                new = np.bincount(word, ~seen[gram], len(values))
+                share = sums(new[codes], starts) / (size + PRIOR_GRAMS)
+                kept[mine] = share[mine] <= self.strange + 1e-12
+        return kept
+
+
+def _sample(df: DataFrame, per_language: int) -> DataFrame:
+    """``lang, text`` of ``per_language`` rows of each language: the smallest hashes of text."""
     rows = df.where("lang is not null and text rlike '\\\\p{L}'").select(
         "lang", F.xxhash64("text").alias("h"), "text")
     order = Window.partitionBy("lang").orderBy("h")
     picked = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(
         F.col("n") <= per_language).select("lang", "h")
     # At most per_language short rows for each language.
-    sample = rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    return rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
+
+
+def _fitted(rows: list, families=None) -> Model:
+    counts = np.array([np.frombuffer(r.counts, np.float32) for r in rows], float)
+    return Model(counts.reshape(-1, DIMENSIONS), [r.lang for r in rows], families)
 
+
+def fit(df: DataFrame, per_language: int = PER_LANGUAGE, families=None) -> Model:
+    """Fit on ``per_language`` rows of each ``lang``, those with the smallest hashes of text."""
     def step(batch, texts):
         data = [v.astype(np.float32).tobytes() for v in _doc_features(texts)]
         return [batch.column("lang"), pa.array(data, pa.binary())]
 
-    found = per_text(sample.select("lang", "text"), step, "lang string, counts binary").collect()
+    found = per_text(_sample(df, per_language).select("lang", "text"), step,
+                     "lang string, counts binary").collect()
     found.sort(key=lambda r: (r.lang, bytes(r.counts)))
-    counts = np.array([np.frombuffer(r.counts, np.float32) for r in found], float)
-    return Model(counts.reshape(-1, DIMENSIONS), [r.lang for r in found], families)
+    return _fitted(found, families)
+
+
+def fit_limits(df: DataFrame, least: float, per_language: int = PER_LANGUAGE):
+    """A model of ``per_language`` rows of each language, and limits from further ones."""
+    def step(batch, texts):
+        data = [v.astype(np.float32).tobytes() for v in _doc_features(texts)]
+        kinds, n = zip(*_doc_trigrams(texts), strict=True)
+        return [batch.column("lang"), batch.column("h"), pa.array(data, pa.binary()), *[
+            pa.array([v.tobytes() for v in x], pa.binary()) for x in (kinds, n)]]
+
+    sample = _sample(df, per_language * HELD_BACK // (HELD_BACK - 1))
+    found = per_text(sample, step, "lang string, h long, counts binary, kinds binary, n binary"
+                     ).collect()
+    found.sort(key=lambda r: (r.lang, r.h))
+    held = found[HELD_BACK - 1::HELD_BACK]
+    learnt = [r for i, r in enumerate(found) if i % HELD_BACK < HELD_BACK - 1]
+    model, limits = _fitted(learnt), Limits(least)
+    if held:
+        limits.learn(model, learnt, held)
+    return model, limits
 
 
 def identify(df: DataFrame, model: Model) -> DataFrame:
@@ -194,15 +298,17 @@ def language_id(df: DataFrame, per_language: int = PER_LANGUAGE, families=None)
 def keep_identified(df: DataFrame, least: float = 0.25) -> DataFrame:
     """Rows of ``df`` whose text has a language; columns stay as they are.
 
-    A document is rejected if it is ``und``, or if its score is below what a coin
-    toss at both levels gives.
+    A document is rejected if it is ``und``, if its score is below ``least`` or below
+    that of nearly all learned rows, or if more of its 3-grams are strange to the
+    language than in nearly all of them.
     """
-    model = fit(df.where(f"doc_id is not null and not {HELD_OUT}"))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    learnable = df.where(f"doc_id is not null and not {HELD_OUT}")
+    shared = df.sparkSession.sparkContext.broadcast(fit_limits(learnable, least))
 
     def run(batches):
         for batch in slices(batches):
-            lang, score = shared.value.predict(pc.fill_null(batch.column("text"), ""))
-            yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least)))
+            texts = pc.fill_null(batch.column("text"), "")
+            model, limits = shared.value
+            yield batch.filter(pa.array(limits.passes(texts, *model.predict(texts))))
 
     return df.mapInArrow(run, df.schema)

@@ -57,6 +57,20 @@ def test_hierarchy():
     assert got.tolist() == [*sorted(texts), "und", "und"] and (score[:5] > 0.5).all()
 
 
+def test_unlearned_languages_and_gibberish_are_rejected(spark, tables):
+    docs = tables["documents"].select("doc_id", "text", "lang")
+    strange = [(-1, "Sää on tänään kylmä, ja lapset eivät halua lähteä kouluun ennen kuin "
+                "aurinko nousee metsän ylle ja lämmittää pihan."),
+               (-2, "Сегодня холодно, и дети не хотят идти в школу."),
+               (-3, "qxzvkj wqpfgh zzkrtx vbnmqw xkcdqj jqwzpt hgfvbx"), (-4, "1 2 3 ж"),
+               (-5, "今日は寒いので子供たちは学校に行きたくない")]
+    odd_docs = spark.createDataFrame([(i, t, None) for i, t in strange], docs.schema)
+    kept = {r.doc_id for r in language.keep_identified(docs.union(odd_docs)).collect()}
+    assert not kept & {i for i, _ in strange}
+    truth = language.language_id(docs).where("lang_pred <> 'und'").count()
+    assert len(kept) >= 0.98 * truth
+
+
 # --- toxicity -------------------------------------------------------------------
 
 def test_toxicity_is_right_on_held_out_rows(spark):
