@@ -4,8 +4,8 @@
 and returns what the next one gets. All but the last keep the columns of
 ``documents``:
 
-1. language: documents without a language go (a text that is null, has no letter
-   or scores below a coin toss).
+1. language: documents without a language go (a text that is null, has no letter,
+   or lies beyond the limits that nearly all held-back learned rows keep).
 2. toxicity: documents that score one half or more go.
 3. near_duplicates: one document of each class of near copies stays.
 4. secrets: secrets are masked in the text; every document stays.
