@@ -150,8 +150,8 @@ def class_counts(train: DataFrame, discount: float) -> list:
         keys = word_keys(values)[codes]
         row = np.repeat(np.arange(batch.num_rows), np.diff(starts))
         at = neighbours(starts, len(keys))
-        second = np.zeros(len(keys) + 1, bool)
-        second[starts[:-1] + 1] = True  # the second word of a text has one word before it
+        second = np.zeros(len(keys), bool)  # the second word of a text has one word before it
+        second[starts[:-1][np.diff(starts) > 1] + 1] = True
         ahead = np.where(second[at], np.uint64(0), keys[at - 2])
         return [batch.column("toxic").take(pa.array(row[at])), *[
             x.view(np.int64) for x in (ahead, keys[at - 1], keys[at])]]
@@ -273,7 +273,13 @@ def fit(df: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model |
         F.max("toxic").alias("toxic"))
     most = F.when(F.col("toxic") == 1, per_class).otherwise(ORDINARY * per_class)
     order = Window.partitionBy(F.col("toxic") == 1).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("n", F.row_number().over(order)).where(
+    passing = F.lit(False)
+    for r in marks.groupBy((F.col("toxic") == 1).alias("t")).count().collect():
+        # A share of the hashes passes first, so that no task ranks all labels of a class.
+        share = min(1.0, 8 * (1 if r.t else ORDINARY) * per_class / r["count"])
+        passing |= ((F.col("toxic") == 1) == r.t) & (
+            F.xxhash64("doc_id") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    chosen = marks.where(passing).withColumn("n", F.row_number().over(order)).where(
         (F.col("n") <= 2 * ORDINARY * per_class) & (F.col("n") <= 2 * most)).select(
         "doc_id", "toxic")
     # At most 2 * (1 + ORDINARY) * per_class short rows; half of them may have long texts.

@@ -94,6 +94,28 @@ def test_toxicity_odd_rows(spark, tables):
     assert toxicity.toxicity(df.where("doc_id < 0"), tables["labels"]).count() == 0
 
 
+def test_class_counts_pass_over_wordless_texts(spark):
+    texts = ["a b c", "d b c"]
+    for gaps in ([""], ["", "!!"], ["one", ""]):
+        counted = []
+        for rows in (texts, gaps + texts, texts[:1] + gaps + texts[1:], texts + gaps):
+            df = spark.createDataFrame([(c, t) for t in rows for c in (True, False)],
+                                       "toxic boolean, text string").coalesce(1)
+            toxic, other = toxicity.class_counts(df, 0.5)
+            counted.append([c.tolist() for x in (toxic, other) for c in (x.pair, x.kept, x.word_kept)])
+        assert all(c == counted[0] for c in counted)
+
+
+def test_toxicity_with_wordless_labelled_texts(spark):
+    texts = ["" if i % 3 == 0 else f"foul w{i} bad" if i % 3 == 1 else f"fine w{i} good"
+             for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 1)) for i in range(90)],
+                                   "doc_id long, toxic int")
+    rows = toxicity.toxicity(docs.coalesce(1), labels).collect()
+    assert len(rows) == 90 and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_continuations_count_different_words(spark):
     texts = ["a b c b", "x b", "a b", None, "", "b"]
     known = np.sort(toxicity.word_keys(["b", "c", "zz"]))
