@@ -28,4 +28,49 @@ ranked AS (
 SELECT query_id, rank::INTEGER AS rank, doc_id, round(s, 6) AS score FROM ranked WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op8_topk_search": SEARCH}
+AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM texts),
+told AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+smallest AS (SELECT t, min(doc_id) AS least FROM texts GROUP BY t),
+failures AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS f
+  FROM words JOIN smallest USING (t) LEFT JOIN told USING (doc_id)),
+masks AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM failures GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INTEGER AS step FROM orders),
+parts AS (SELECT DISTINCT part FROM texts),
+plain AS (
+  SELECT p.part, filter_order, step, filter_order[step] AS x,
+    sum(CASE WHEN length(translate(f, filter_order[1:step], '')) = length(f) THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(f, filter_order[step]) AND length(translate(f, filter_order[1:step - 1], ''))
+      = length(f) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(f, filter_order[step]) AND length(translate(f, filter_order[1:step - 1], ''))
+      < length(f) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN f = filter_order[step] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(f, filter_order[step]) AND length(translate(f, filter_order[1:step - 1], ''))
+      = length(f) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(f, filter_order[step]) AND length(translate(f, filter_order[1:step - 1], ''))
+      = length(f) THEN toxic ELSE 0 END) AS toxic_lost
+  FROM parts p JOIN masks m ON m.part = p.part, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+  redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley
+FROM plain
+"""
+
+ORACLES: dict[str, str] = {"op8_topk_search": SEARCH, "op12_filter_audit": AUDIT}
