@@ -73,4 +73,42 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 FROM plain
 """
 
-ORACLES: dict[str, str] = {"op8_topk_search": SEARCH, "op12_filter_audit": AUDIT}
+CODES = """
+WITH fit AS (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(
+    [x for x in embedding if x IS NULL OR NOT isfinite(x) OR abs(x) > 1e14]) = 0),
+usual AS (
+  SELECT len(embedding) AS n FROM fit GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding,
+    (n + 7) // 8 AS width
+  FROM fit JOIN usual ON len(embedding) = n),
+cells AS MATERIALIZED (
+  SELECT r, p, i, coalesce(floor(4096 * embedding[p * width + i + 1]::DOUBLE), 0)::BIGINT AS x
+  FROM (SELECT r, embedding, width, p, unnest(range(width)) AS i
+    FROM (SELECT *, unnest(range(8)) AS p FROM kept))),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS e, i, x FROM cells WHERE r <= 16),
+""" + "".join(f"""
+near{k} AS MATERIALIZED (
+  SELECT r, p, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d
+  FROM (SELECT c.r, c.p, b.e, sum((c.x - b.x) * (c.x - b.x))::BIGINT AS d
+    FROM cells c JOIN book{k} b ON c.p = b.p AND c.i = b.i GROUP BY ALL) GROUP BY ALL),
+""" + (f"""
+book{k + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.i, coalesce(m.x, b.x) AS x
+  FROM book{k} b LEFT JOIN (
+    SELECT n.p, n.e, c.i, floor(sum(c.x)::DOUBLE / count(*))::BIGINT AS x
+    FROM near{k} n JOIN cells c ON c.r = n.r AND c.p = n.p GROUP BY ALL) m
+  ON m.p = b.p AND m.e = b.e AND m.i = b.i),
+""" if k < 6 else "") for k in range(7)) + """
+coded AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error
+  FROM near6 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, i)) FROM book6) AS codebooks_sha256
+FROM coded JOIN kept USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op8_topk_search": SEARCH, "op11_vector_codes": CODES,
+                           "op12_filter_audit": AUDIT}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, filter_audit, language, license_scan, neighbours, ngram_join, packing, secret_scan, token_counts
-from . import topk_search, toxicity
+from . import topk_search, toxicity, vector_codes
 from .common import load
 
 
@@ -53,6 +53,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(load(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -60,4 +64,4 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_token_counts, op3_ngram_join, op4_secret_scan, op5_language_id, op6_toxicity, op7_packing,
     op8_topk_search, op9_license_scan, op10_neighbours,
-    op12_filter_audit)}
+    op11_vector_codes, op12_filter_audit)}
