@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, filter_audit, language, license_scan, neighbours, ngram_join, packing, secret_scan, token_counts
-from . import topk_search, toxicity, vector_codes
+from . import bpe, filter_audit, language, license_scan, neighbours, ngram_join, packing, personal_data
+from . import secret_scan, token_counts, topk_search, toxicity, vector_codes
 from .common import load
 
 
@@ -61,7 +61,11 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bpe, op2_token_counts, op3_ngram_join, op4_secret_scan, op5_language_id, op6_toxicity, op7_packing,
     op8_topk_search, op9_license_scan, op10_neighbours,
-    op11_vector_codes, op12_filter_audit)}
+    op11_vector_codes, op12_filter_audit, op13_personal_data)}
