@@ -154,8 +154,11 @@ def scan_text(text: str, accepted=ACCEPTED) -> dict:
     words = text.encode().translate(_FOLD).split()
     line = f" {b' '.join(words).decode()} "
     places, base, labels, tags, weights = [], set(), {}, [], WEIGHTS
-    for end, (size, entries) in _automaton().iter(line):
-        word = line.count(" ", 0, end - size + 1)
+    spaces = seen = 0  # ends ascend, so that spaces are counted on from the last one
+    for end, (_, entries) in _automaton().iter(line):
+        spaces += line.count(" ", seen, end + 1)
+        seen = end + 1
+        word = spaces - entries[0][2] - 1
         for kind, label, length in entries:
             if kind == "tag":
                 tags.append(word + length)

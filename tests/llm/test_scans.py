@@ -183,3 +183,17 @@ def test_expressions():
         "mit gpl-2.0-only classpath-exception-2.0 with or apache-2.0 and=true"]
     assert license_scan.scan_text(LICENSE_TEXTS[12])["expressions"] == ["mit=true"]
     assert license_scan.scan_text(LICENSE_TEXTS[13])["expressions"] == []
+
+
+def test_long_licence_texts_take_linear_time():
+    import time
+
+    for phrase in ("cc by ", "general public license cc by all rights reserved "):
+        start = time.perf_counter()
+        found = license_scan.scan_text(phrase * (3_000_000 // len(phrase)))
+        assert time.perf_counter() - start < 30
+        words = phrase.split()
+        starts = [i for i in range(len(words)) if words[i] in ("cc", "general", "all")]
+        assert found["places"][:2 * len(starts)] == [
+            r * len(words) + i for r in range(2) for i in starts]
+        assert len(found["places"]) == len(starts) * (3_000_000 // len(phrase))
