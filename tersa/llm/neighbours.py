@@ -12,9 +12,10 @@ best of each pair of shard and block are merged. The rotations and the radius
 come from a bounded sample of ``SAMPLE`` rows; every row is indexed.
 
 Rows take no part if the id or the vector is null, the vector is zero, holds null
-or non-finite components or has another dimension than the first of the sample.
-Rows with the same id are one vector (the smallest, by components). Equal scores
-go to the smaller id. An empty table gives an empty result.
+or non-finite components or has another dimension than most rows (ties: the smaller).
+Every row is a query or candidate of its own, whatever its id: rows alike in id and
+vector travel as one with their number, and a query leaves out one such row, its own.
+Equal scores go to the smaller id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,23 +128,31 @@ class MultiIndex:
         return found[np.bitwise_count(self.codes[found] ^ query).sum(axis=1) <= radius]
 
 
-def _search(ids, vectors, query_ids, queries, model, k):
-    """Best ``k`` of a shard for each query: ``(query_id, vec_id, score)`` rows."""
+def _search(base, queries, model, k):
+    """Best ``k`` rows of a shard for each query: ``(query's place, vec_id, score)``.
+
+    Both sides are ``(ids, vectors, how many rows)``.
+    """
+    (ids, vectors, rows), (query_ids, asked, _) = base, queries
     centre, project, radius = model
     index, bits = MultiIndex(encode(unit(vectors), centre, project)), project.shape[1]
-    wanted = encode(unit(queries), centre, project)
+    wanted = encode(unit(asked), centre, project)
     out = []
-    for query_id, q, code in zip(query_ids, queries, wanted, strict=True):
+    for place, (query_id, q, code) in enumerate(zip(query_ids, asked, wanted, strict=True)):
+        own = np.flatnonzero(ids == query_id)
+        own = own[(vectors[own] == q).all(axis=1)]
         reach = radius
         while True:  # a shard without enough codes in reach is probed further out
             found = index.within(code, reach)
-            found = found[ids[found] != query_id]
-            if len(found) >= k or reach >= bits:
+            left = rows[found] - np.isin(found, own)
+            if left.sum() >= k or reach >= bits:
                 break
             reach = min(bits, reach + 8)
+        found, left = found[left > 0], left[left > 0]
         score = cosines(vectors[found], q) if len(found) else np.empty(0)
         best = np.lexsort((ids[found], -score))[:k]
-        out += [(query_id, i, s) for i, s in zip(ids[found][best], score[best], strict=True)]
+        best = np.repeat(best, np.minimum(left[best], k))[:k]
+        out += [(place, i, s) for i, s in zip(ids[found][best], score[best], strict=True)]
     return out
 
 
@@ -163,37 +172,38 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, sample: int = SAMPLE)
     rows, asked = df.count(), queries.count()
     if not rows or not asked:
         return spark.createDataFrame([], schema)
-    picked = [r.v for r in bounded(df, ["id"], sample, rows).collect()]
-    dimension = len(picked[0])
-    model = learn(np.array([v for v in picked if len(v) == dimension], np.float64), k)
+    row = df.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
+    dimension = row.n
+    picked = bounded(df.where(F.size("v") == dimension), ["id", "v"], sample, row["count"])
+    model = learn(np.array([r.v for r in picked.collect()], np.float64), k)
     shards, blocks = -(-rows // SHARD_ROWS), max(1, -(-asked // BLOCK_QUERIES))
-    base = df.withColumn("shard", F.expr(f"pmod(xxhash64(id), {shards}L)")).withColumn(
+    base, probes = (d.groupBy("id", "v").agg(F.count("*").alias("n")) for d in (df, queries))
+    base = base.withColumn("shard", F.expr(f"pmod(xxhash64(id, v), {shards}L)")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("q", F.lit(False))
-    probes = queries.withColumn(
-        "block", F.expr(f"cast(pmod(xxhash64(id, 1), {blocks}L) as int)")).withColumn(
+    probes = probes.withColumn(
+        "block", F.expr(f"cast(pmod(xxhash64(id, v, 1), {blocks}L) as int)")).withColumn(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     ).withColumn("q", F.lit(True)).select(base.columns)
 
     def cell(table: pa.Table) -> pa.Table:
         sides = []
         for q in (False, True):
-            part = table.filter(pc.equal(table["q"], q)).sort_by("id").combine_chunks()
+            part = table.filter(pc.equal(table["q"], q)).combine_chunks()
             v, right = _matrix(part["v"].combine_chunks() if part.num_rows else
                                pa.array([], pa.list_(pa.float64())), dimension)
-            ids = part["id"].to_numpy()[right]
-            order = np.lexsort((*v.T[::-1], ids))
-            ids, v = ids[order], v[order]
-            first = np.ones(len(ids), bool)
-            first[1:] = ids[1:] != ids[:-1]
-            sides += [ids[first], v[first]]
-        found = _search(*sides, model, k) if len(sides[0]) and len(sides[2]) else []
-        columns = list(zip(*found, strict=True)) if found else [[], [], []]
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()),
-                         "vec_id": pa.array(columns[1], pa.int64()),
-                         "score": pa.array(columns[2], pa.float64())})
+            sides.append((part["id"].to_numpy()[right], v, part["n"].to_numpy()[right]))
+        found = _search(*sides, model, k) if all(len(ids) for ids, _, _ in sides) else []
+        place, ids, scores = zip(*found, strict=True) if found else ([], [], [])
+        asked = sides[1]
+        return pa.table({"query_id": pa.array(asked[0][list(place)], pa.int64()),
+                         "copies": pa.array(asked[2][list(place)], pa.int64()),
+                         "q": pa.array([asked[1][i].tobytes() for i in place], pa.binary()),
+                         "vec_id": pa.array(ids, pa.int64()),
+                         "score": pa.array(scores, pa.float64())})
 
     best = base.unionByName(probes).groupBy("shard", "block").applyInArrow(
-        cell, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        cell, "query_id long, copies long, q binary, vec_id long, score double")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    top = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(
         "query_id", "rank", "vec_id", "score")

@@ -184,8 +184,7 @@ def test_neighbours(spark, monkeypatch):
     x[10:60] = x[10]
     rows = [(i, v.tolist(), "s") for i, v in enumerate(x)]
     odd = [(2000, None, "s"), (2050, [0.0] * 16, "s"), (2100, [float("nan")] * 16, "s"),
-           (None, x[0].tolist(), "s"), (2150, [1.0] * 4, "s"), (2200, [float("inf")] * 16, "s"),
-           (0, x[0].tolist(), "s")]
+           (None, x[0].tolist(), "s"), (2150, [1.0] * 4, "s"), (2200, [float("inf")] * 16, "s")]
     usable = neighbours.usable(vectors(spark, rows + odd))
     got = {}
     for r in neighbours.nearest(usable, usable.where("id % 50 = 0"), k=5).collect():
@@ -207,3 +206,30 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest(small.where("id < 0"), small.where("id < 0")).count() == 0
     one = small.where("id = 0")
     assert neighbours.nearest(one, one).count() == 0
+
+
+def exact_nearest(rows, k):
+    """``(query_id, rank, vec_id, score)`` over every other row."""
+    out = []
+    for n, (i, v) in enumerate(rows):
+        if i % 50 == 0:
+            q = np.array(v)
+            near = sorted((-round(float(q @ w / np.linalg.norm(q) / np.linalg.norm(w)), 9), j)
+                          for m, (j, w) in enumerate(rows) if m != n for w in [np.array(w)])
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+def test_every_row_is_a_candidate(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8)).astype(np.float32).tolist()
+    rows = [(i, x[i]) for i in range(60)]
+    rows += [(7, x[0]), (7, x[0]), (0, x[0]), (0, x[3]), (50, x[9])] + [(9, x[20])] * 8
+    want = exact_nearest(rows, 5)
+    odd = [(-50, [1.0, 2.0]), (-100, [3.0])]  # of another dimension, first by id
+    usable = neighbours.usable(vectors(spark, [(*r, "s") for r in odd + rows]))
+    got = neighbours.nearest(usable, usable.where("id % 50 = 0"), k=5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == want
+    one = neighbours.usable(vectors(spark, [(0, x[0], "s")] * 3))
+    assert neighbours.nearest(one, one).count() == 6
