@@ -337,6 +337,15 @@ def _flags(table: str, keys: str, column: str) -> str:
             f"(SELECT median({column}) AS med, mad({column}) AS mad FROM {table})")
 
 
+def _grouped_flags(table: str, keys: str, column: str, by: str) -> str:
+    return f"""WITH c AS (SELECT {by}, median({column}) AS med FROM {table} GROUP BY {by}),
+d AS (SELECT {keys}, {by}, {column} - med AS dev FROM {table} JOIN c USING ({by})),
+m AS (SELECT {by}, median(abs(dev)) AS mad, avg(abs(dev)) * 1.253314 AS instead FROM d GROUP BY {by}),
+s AS (SELECT *, CASE WHEN mad > 0 THEN mad ELSE instead END AS scale FROM d JOIN m USING ({by})),
+t AS (SELECT *, CASE WHEN dev IS NULL THEN NULL WHEN scale = 0 THEN 0.0 ELSE 0.6745 * dev / scale END AS z FROM s)
+SELECT {keys}, round(z, 6) AS score, abs(z) > 3.5 AS is_outlier FROM t"""
+
+
 # --- duplicates ------------------------------------------------------------
 
 _USABLE = "lower(trim(coalesce(v, ''))) NOT IN " + _in(fixed.NULL_TOKENS)
@@ -598,6 +607,10 @@ ORACLES = {
     "quality_gate": f"{_RUN} SELECT CAST(max(CASE WHEN level = 2 THEN 1 ELSE 0 END) AS INT) AS exit_code FROM levels",
     "outlier_model": _OUTLIER_MODEL,
     "outlier_flags": _flags("events", "event_id", "value"),
+    "outlier_flags_grouped": _grouped_flags("events", "event_id", "value", "event_type"),
+    "outlier_flags_by_user": _grouped_flags("events", "event_id", "value", "user_id"),
+    "outlier_flags_by_digits": _grouped_flags(
+        "lineitem", "l_orderkey, l_linenumber", "l_extendedprice", "l_returnflag, l_linestatus"),
     "outlier_flags_lineitem": _flags(
         "lineitem", "l_orderkey, l_linenumber, l_partkey, l_suppkey", "l_extendedprice"),
     "domain_flags": (

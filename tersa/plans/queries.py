@@ -9,6 +9,7 @@ from ..functions import checks, fixed, text
 from ..functions.privacy import Pseudonymizer, mask_email
 from ..functions.sql import quote
 from ..operators import accounts, evaluate as ev, numeric, report, resolve, schema
+from ..operators.grouped_outliers import grouped_outliers
 from ..operators import worklist as wl
 from ..operators.protection import mask, pseudonymise
 from ..session import shared_folder
@@ -552,6 +553,13 @@ def stream_events(spark, sf_dir):
     return _drain(streams.relevant_events_stream(twice).select("event_id", "type", "status"))
 
 
+def _grouped_flags(table, key, column, by, **how):
+    def run(spark, sf_dir):
+        out = grouped_outliers(load(spark, sf_dir, table), column, by, **how)
+        return out.select(*key, F.round("score", 6).alias("score"), "is_outlier")
+    return run
+
+
 QUERIES = {
     "tax_id_findings": _verdicts("tax_id"),
     "iban_findings": _verdicts("iban"),
@@ -582,6 +590,12 @@ QUERIES = {
     "quality_gate": quality_gate,
     "outlier_model": outlier_models,
     "outlier_flags": _flags("events", ["event_id"], "value"),
+    "outlier_flags_grouped": _grouped_flags("events", ["event_id"], "value", ["event_type"]),
+    "outlier_flags_by_user": _grouped_flags("events", ["event_id"], "value", ["user_id"]),
+    # Groups with more than 10 000 different values: ranks are found digit by digit.
+    "outlier_flags_by_digits": _grouped_flags(
+        "lineitem", ["l_orderkey", "l_linenumber"], "l_extendedprice",
+        ["l_returnflag", "l_linestatus"], limit=10_000),
     "outlier_flags_lineitem": _flags(
         "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "l_extendedprice"),
     "domain_flags": domain_flags,
