@@ -279,9 +279,13 @@ def requests_per_minute(plan: str) -> str:
     return lookup(plan, fixed.REQUESTS_PER_MINUTE, literal(fixed.REQUESTS_PER_MINUTE["public"]))
 
 
-def with_bursts(log: DataFrame) -> DataFrame:
+def with_bursts(log: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """Adds ``burst``: how often the bucket of the key was surely full up to a request.
 
+    ``start`` (key, tokens, seen): buckets that are not full at first. What is missing
+    in one counts like requests before; burst 0 goes on from it. Its tokens and time
+    come along as ``start_tokens`` and ``start_seen``.
+
     ``log``: key, ts, event_id, limit, at (seconds). A bucket is surely full
     before a request if it would be had every earlier request been accepted. With
     ``y = rate * at - requests before``, that holds where y is as high as never
@@ -306,22 +310,31 @@ def with_bursts(log: DataFrame) -> DataFrame:
     across = f"OVER (PARTITION BY key ORDER BY minute {before})"
     carried = minutes.selectExpr(
         "key", "minute", f"coalesce(sum(n) {across}, 0) AS base", "high",
-        f"max(end) {across} AS end_before",
+        f"max(end) {across} AS end_before", "low_limit",
         "min(low_limit) OVER (PARTITION BY key) = max(high_limit) OVER (PARTITION BY key) AS even")
+    state = ["start_tokens", "start_seen"]
+    if start is None:
+        carried = select(carried, dict.fromkeys(state, "CAST(NULL AS DOUBLE)"))
+    else:
+        carried = carried.join(start.selectExpr(
+            "key", "tokens AS start_tokens", "seen AS start_seen"), "key", "left")
+    level = "low_limit / 60.0D * start_seen + greatest(1.0D, low_limit) - start_tokens"
     carried = carried.selectExpr(
-        "key", "minute", "base", "even", "end_before", f"max(high - base) {across} AS high_before")
+        "key", "minute", "base", "even", *state, "coalesce(end_before, start_seen) AS end_before",
+        f"greatest(max(high - base) {across}, {level}) AS high_before")
     known = select(placed.join(carried, ["key", "minute"]), {
         "pause": "at - coalesce(last_at, end_before)",
         "top": f"greatest(high_before, max(y - base) OVER ({order} {before}))"})
     # The margin keeps rounding from calling a bucket full that is not.
     full = (f"pause IS NULL OR pause >= {BREAK_SECONDS} "
             "OR (even AND y - base >= coalesce(top, double('-inf')) + 1e-6D)")
-    marked = materialize(select(known, {"full": f"IF({full}, 1, 0)"}, keep=log.columns + ["minute"]),
+    kept = [*log.columns, *state]
+    marked = materialize(select(known, {"full": f"IF({full}, 1, 0)"}, keep=[*kept, "minute"]),
                          "marked")
     counted = marked.groupBy("key", "minute").agg(F.sum("full").alias("n")).selectExpr(
         "key", "minute", f"coalesce(sum(n) {across}, 0) AS earlier")
     return select(marked.join(counted, ["key", "minute"]), {
-        "burst": f"earlier + sum(full) OVER ({order} ROWS UNBOUNDED PRECEDING)"}, keep=log.columns)
+        "burst": f"earlier + sum(full) OVER ({order} ROWS UNBOUNDED PRECEDING)"}, keep=kept)
 
 
 def take_token(tokens: float | None, seen: float, at: float, limit: int):
@@ -337,40 +350,65 @@ def take_token(tokens: float | None, seen: float, at: float, limit: int):
     return tokens, False, 0, max(1, int((1.0 - tokens) / rate) + 1)
 
 
-def over_limit_events(log: DataFrame) -> DataFrame:
-    """Replay a request log against per-key token buckets.
+def replayed_requests(log: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Every request with its answer, its time ``at`` and the ``tokens`` it leaves.
 
-    ``log``: event_id, key, plan, ts. A bucket holds one minute's worth of
-    requests, starts full and refills steadily. Adds allowed, remaining,
-    retry_after and limit. Every burst is replayed on its own; rows stream
-    through sorted, so no burst is held in memory.
+    ``start``: buckets that earlier requests have left, see ``with_bursts``. Every
+    burst is replayed on its own; rows stream through sorted, so no burst is held in
+    memory.
     """
     import pandas as pd
 
     ready = log.selectExpr(
         "event_id", "key", "ts", f"{requests_per_minute('plan')} AS limit",
         "unix_micros(ts) / 1e6D AS at")
-    ordered = with_bursts(ready).repartition("key", "burst").sortWithinPartitions(
+    ordered = with_bursts(ready, start).repartition("key", "burst").sortWithinPartitions(
         "key", "burst", "ts", "event_id")
 
     def replay(batches):
         who, tokens, seen = None, None, 0.0
         for batch in batches:
             told = []
-            for key, burst, at, limit in zip(batch.key, batch.burst, batch["at"], batch.limit):
+            for key, burst, at, limit, left, last in zip(
+                    batch.key, batch.burst, batch["at"], batch.limit, batch.start_tokens,
+                    batch.start_seen):
                 if (key, burst) != who:
-                    who, tokens = (key, burst), None
+                    who, tokens, seen = (key, burst), *((left, last) if burst == 0 else (None, 0.0))
                 tokens, *answer = take_token(tokens, seen, at, limit)
                 seen = at
-                told.append(answer)
-            allowed, remaining, retry = zip(*told, strict=True) if told else ((), (), ())
+                told.append((*answer, tokens))
+            allowed, remaining, retry, after = zip(*told, strict=True) if told else ((),) * 4
             yield pd.DataFrame({
                 "event_id": batch.event_id, "key": batch.key, "ts": batch.ts,
                 "allowed": list(allowed), "remaining": list(remaining), "retry_after": list(retry),
-                "limit": batch.limit})
+                "limit": batch.limit, "at": batch["at"], "tokens": list(after)})
 
     types = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
     return ordered.mapInPandas(
         replay,
         f"event_id {types['event_id']}, key {types['key']}, ts timestamp, allowed boolean, "
-        "remaining int, retry_after int, limit int")
+        "remaining int, retry_after int, limit int, at double, tokens double")
+
+
+def over_limit_events(log: DataFrame) -> DataFrame:
+    """Replay a request log against per-key token buckets.
+
+    ``log``: event_id, key, plan, ts. A bucket holds one minute's worth of
+    requests, starts full and refills steadily. Adds allowed, remaining,
+    retry_after and limit.
+    """
+    return replayed_requests(log).drop("at", "tokens")
+
+
+def buckets_left(told: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``key, tokens, seen`` of the buckets that requests of ``replayed_requests`` leave.
+
+    Buckets of ``before`` without a request come along, except those that must be full
+    again by the time of the last request.
+    """
+    left = told.groupBy("key").agg(F.expr("max_by(struct(tokens, at), struct(ts, event_id)) AS s"))
+    left = left.selectExpr("key", "s.tokens AS tokens", "s.at AS seen")
+    if before is not None:
+        left = left.unionByName(before.join(left, "key", "left_anti"))
+    now = told.agg(F.max("at")).head()[0]
+    return left if now is None else left.where(F.col("seen") + BREAK_SECONDS >= now)

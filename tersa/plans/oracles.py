@@ -712,8 +712,7 @@ ORACLES = {
     "tenant_runs": f"WITH {_RUNS} SELECT * FROM runs WHERE org_id = 'org_7'",
     "over_limit_events": _BUCKETS,
     "row_identity_filtered": (
-        "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey FROM customer "
-        "WHERE c_custkey % 10 = 9"),
+        "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey FROM customer"),
     "row_identity": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_id, c_custkey, c_name FROM customer",
     "schema_matches": _matches(),
     "schema_matches_all_rows": _matches(),
@@ -755,3 +754,48 @@ ORACLES.update({
         "SELECT org_id, count(*) AS entries, CAST(sum(rows_in) AS BIGINT) AS rows_in FROM twice GROUP BY org_id"),
     "stream_events": ORACLES["relevant_billing_events"],
 })
+
+
+_CLEAN = _cleaned(True).replace(f"{_RUN} ", f"{_RUN}, clean AS (", 1) + ")"
+
+
+def _masked_if_valid(column: str, masked: str) -> str:
+    return f"CASE WHEN level < 2 THEN {masked} ELSE {column} END AS {column}"
+
+
+_TYPED_FIX = ", ".join(
+    f"coalesce(max(proposed) FILTER (WHERE \"column\" = '{c}' AND (severity = 'info' OR (severity = 'warning' "
+    f"AND confidence >= 0.85 AND proposed IS NOT NULL))), any_value(crm.{c})) AS {c}"
+    for c in ("phone", "postal_code"))
+ORACLES.update({
+    "typed_values": (
+        f"WITH {_TYPED}, {_PHONE}, {_POSTAL}, found AS ({_identifier_findings(1, 'phone', 'phone_v')} "
+        f"UNION ALL {_identifier_findings(4, 'postal_code', 'postal_v')}) "
+        f"SELECT crm.row_id, {_TYPED_FIX} FROM crm LEFT JOIN found USING (row_id) GROUP BY crm.row_id"),
+    "worklist_csv": (
+        f"{_RUN}, lines AS (SELECT l.*, f.seq, CASE f.severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS prio "
+        f"FROM ({_lines('SELECT * FROM found')}) l JOIN found f ON f.row_id + 2 = l.line AND f.\"column\" = l.field AND f.rule = l.rule) "
+        "SELECT row_number() OVER (ORDER BY prio, line, field, seq) - 1 AS place, * EXCLUDE (prio, seq) FROM lines"),
+    "report_json": (
+        f"{_RUN} SELECT '{fixed.ENGINE_VERSION}' AS engine_version, (SELECT count(*) FROM levels) AS rows_in, "
+        "(SELECT count(*) FROM levels WHERE level < 2) AS rows_valid, (SELECT count(*) FROM levels WHERE level >= 2) AS rows_quarantined, "
+        "0 AS duplicate_groups, 0 AS duplicate_rows, "
+        f"'{';'.join(sorted(f'{c}={f}' for f, c in FIELDS.items()))}' AS columns_detected, '' AS unmapped_columns, "
+        "(SELECT string_agg(rule || '=' || n, ';' ORDER BY rule || '=' || n) FROM (SELECT rule, count(*) AS n FROM found GROUP BY rule)) AS counts_by_rule, "
+        "(SELECT 'error=' || count(*) FILTER (WHERE severity = 'error') || ';info=' || count(*) FILTER (WHERE severity = 'info') || ';warning=' || count(*) FILTER (WHERE severity = 'warning') FROM found) AS counts_by_severity"),
+    "run_log_retried": (
+        f"WITH {_RUNS} SELECT org_id, 2 * count(*) AS entries, CAST(2 * sum(rows_in) AS BIGINT) AS rows_in FROM runs GROUP BY org_id"),
+    "stream_split": (
+        f"{_CLEAN} SELECT row_id, company, name, iban_out AS iban, * EXCLUDE (row_id, company, name, iban_out, level), "
+        "CASE WHEN level < 2 THEN 'valid' ELSE 'quarantine' END AS side FROM ("
+        f"SELECT row_id, company, name, postal_code, age, income, level, {_masked_if_valid('email', _mask_email('email'))}, "
+        + _masked_if_valid("phone", _stars("regexp_replace(phone, '[^0-9]', '', 'g')", 3)) + ", "
+        + _masked_if_valid("tax_id", _stars("upper(trim(tax_id))", 4)) + ", "
+        + _masked_if_valid("iban", _stars("upper(trim(iban))", 4)).replace("AS iban", "AS iban_out")
+        + " FROM clean JOIN levels USING (row_id))"),
+    "stream_windows": (
+        f"{_RUN} SELECT (1704067200 + row_id * 120) // 3600 * 3600 AS window_start, rule, count(*) AS count FROM found GROUP BY ALL"),
+    "stream_usage": ORACLES["monthly_usage"],
+    "stream_key_links": ORACLES["exact_key_links"],
+    "stream_limits": ORACLES["over_limit_events"],
+})

@@ -12,9 +12,10 @@ from ..operators import accounts, evaluate as ev, numeric, report, resolve, sche
 from ..operators.grouped_outliers import grouped_outliers
 from ..operators import worklist as wl
 from ..operators.protection import mask, pseudonymise
-from ..session import shared_folder
+from ..session import materialize, shared_folder
 from ..sources.io import (
-    append_rows, read_records, read_table, with_row_id, write_records, write_table)
+    append_batch, append_rows, read_ordered, read_records, read_table, with_row_id, write_records,
+    write_table)
 from ..streaming import streams
 from . import derived
 from .clean import CleanOptions, clean
@@ -176,6 +177,12 @@ def _values(apply):
     return run
 
 
+def typed_values(spark, sf_dir):
+    """Corrected output of identifiers that arrive as numbers: text, with what Excel ate."""
+    df, fields = typed(spark, sf_dir), {"phone": "phone", "postal_code": "postal_code"}
+    return ev.corrected(ev.evaluate(df, fields), fields).select("row_id", *fields)
+
+
 def quality_gate(spark, sf_dir):
     return ev.any_quarantined(_evaluated(spark, sf_dir))
 
@@ -328,8 +335,10 @@ def cost_total(spark, sf_dir):
 
 def audit_report(spark, sf_dir):
     """The report of a whole run, duplicates included (maps as sorted text)."""
-    row = _crm_run(spark, sf_dir).report()
+    return _flat_report(_crm_run(spark, sf_dir).report())
 
+
+def _flat_report(row):
     def flat(name):
         return F.array_join(F.array_sort(F.transform(F.map_entries(name), lambda e: F.concat(
             e["key"], F.lit("="), e["value"].cast("string")))), ";").alias(name)
@@ -341,6 +350,13 @@ def audit_report(spark, sf_dir):
         flat("counts_by_rule"), flat("counts_by_severity"))
 
 
+def report_json(spark, sf_dir):
+    """The report of a run without duplicates, written as JSON and read back."""
+    row, place = _crm_run(spark, sf_dir, detect_duplicates=False).report(), _place(spark, "report")
+    write_records(row, place)
+    return _flat_report(read_records(spark, place, row.schema))
+
+
 def report_sections(spark, sf_dir):
     row = _crm_run(spark, sf_dir, detect_duplicates=False).report()
     return report.report_sections(row, COST).where("label <> 'Tiempo de proceso' or label is null")
@@ -357,12 +373,21 @@ _WORKLIST_ALIASES = (
 )
 
 
-def _worklist_names(df):
-    return df.select(*[
+def _worklist_names(df, *more):
+    return df.select(*more, *[
         F.col(f"`{c}`").alias(a)
         for c, a in zip(fixed.WORKLIST_COLUMNS, _WORKLIST_ALIASES, strict=True)])
 
 
+def worklist_csv(spark, sf_dir):
+    """The list as CSV files; read by name they keep its order."""
+    lines = wl.build_worklist(_evaluated(spark, sf_dir), FIELDS, include_info=True)
+    place = _place(spark, "worklist")
+    write_table(lines, place)
+    return _worklist_names(read_ordered(spark, place), "place").na.fill("").withColumns({
+        "line": F.col("line").cast("long"), "confidence": F.col("confidence").cast("double")})
+
+
 def worklist_summary(spark, sf_dir):
     lines = wl.build_worklist(_evaluated(spark, sf_dir), FIELDS, ordered=False)
     return wl.worklist_summary(lines)
@@ -434,7 +459,11 @@ def retained_runs(spark, sf_dir):
 
 
 def tenant_runs(spark, sf_dir):
-    return _plain(accounts.for_organisation(runs(spark, sf_dir), "org_7"), "created_at")
+    """One organisation of a table laid out by organisation: its folders alone are read."""
+    log, place = runs(spark, sf_dir), _place(spark, "runs")
+    append_rows(log, place, "org_id")
+    stored = spark.read.schema(log.schema).parquet(place)
+    return _plain(accounts.for_organisation(stored, "org_7"), "created_at").select(log.columns)
 
 
 def _request_log(spark, sf_dir):
@@ -493,9 +522,18 @@ def run_log_append(spark, sf_dir):
         F.count("*").alias("entries"), F.sum("rows_in").alias("rows_in"))
 
 
+def run_log_retried(spark, sf_dir):
+    """Two batches, the first of them twice, as a job that was tried again: it counts once."""
+    log, place = runs(spark, sf_dir).select("org_id", "run_id", "rows_in"), _place(spark, "log")
+    for batch in ("first", "second", "first"):
+        append_batch(log, place, batch, "org_id")
+    return spark.read.parquet(place).groupBy("org_id").agg(
+        F.count("*").alias("entries"), F.sum("rows_in").alias("rows_in"))
+
+
 def row_identity_filtered(spark, sf_dir):
-    """Rows of a filtered table that sits in any partition but the first."""
-    base = load(spark, sf_dir, "customer").where("c_custkey % 10 = 9")
+    """Rows of a table that sits in any partition but the first."""
+    base = load(spark, sf_dir, "customer")
     empty = base.where("c_custkey < 0").coalesce(1)
     return with_row_id(empty.unionByName(base)).select("row_id", "c_custkey")
 
@@ -553,6 +591,75 @@ def stream_events(spark, sf_dir):
     return _drain(streams.relevant_events_stream(twice).select("event_id", "type", "status"))
 
 
+def _feed(spark, df, by, files=5):
+    """``df`` as a stream of ``files`` micro-batches: of all rows with the same ``by``, in turn."""
+    place, rows = _place(spark, "feed"), materialize(df.withColumn("__turn", by), "turns")
+    for turn in range(files):  # one after the other, since a file source goes by age
+        rows.where(F.col("__turn") == turn).drop("__turn").coalesce(1).write.mode(
+            "append").parquet(place)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
+def _shuffled(*keys, files=5):
+    return F.pmod(F.xxhash64(*keys), F.lit(files)).cast("int")
+
+
+def _run_sink(writer):
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def stream_split(spark, sf_dir):
+    """Both sides of a stream, valid rows masked, each micro-batch evaluated once."""
+    people, place = crm(spark, sf_dir), _place(spark, "split")
+    cleaner = streams.StreamCleaner(FIELDS, _models(people), mask_output=True)
+    _run_sink(streams.write_split(_feed(spark, people, _shuffled("row_id")), cleaner, f"{place}/out",
+                                  f"{place}/log"))
+    return spark.read.parquet(f"{place}/out").drop("batch").withColumn(
+        "income", F.round("income", 4))
+
+
+def stream_windows(spark, sf_dir):
+    """Findings by rule and hour; rows come out of order, some after their window has closed."""
+    people, place = crm(spark, sf_dir).selectExpr(
+        "*", "timestamp_seconds(1704067200 + row_id * 120) AS ts"), _place(spark, "windows")
+    cleaner = streams.StreamCleaner(FIELDS, _models(people))
+    found = cleaner.findings(_feed(spark, people, _shuffled("row_id")), "ts")
+    _run_sink(streams.write_windows(found, f"{place}/out", f"{place}/log"))
+    streams.close_windows(spark, f"{place}/out")
+    both = streams.read_windows(spark, f"{place}/out").unionByName(
+        streams.read_windows(spark, f"{place}/out", "late"))
+    return both.groupBy(F.unix_seconds("window_start").alias("window_start"), "rule").agg(
+        F.sum("count").alias("count"))
+
+
+def stream_usage(spark, sf_dir):
+    """Monthly usage kept up to date by a stream of runs in no order."""
+    log, place = runs(spark, sf_dir), _place(spark, "usage")
+    _run_sink(streams.write_usage(_feed(spark, log, _shuffled("run_id")), f"{place}/out",
+                                  f"{place}/log", lateness="3650 days"))
+    return spark.read.schema("org_id string, rows_processed bigint, jobs_run bigint, period date"
+                             ).parquet(f"{place}/out")
+
+
+def stream_key_links(spark, sf_dir):
+    """Exact-key links of a stream against a registry; rows come in no order."""
+    people, place = crm(spark, sf_dir), _place(spark, "registry")
+    _run_sink(streams.register_keys(
+        _feed(spark, people, _shuffled("row_id")), {f: f for f in fixed.KEY_CONFIDENCE},
+        f"{place}/out", f"{place}/log"))
+    return streams.key_links(spark, f"{place}/out")
+
+
+def stream_limits(spark, sf_dir):
+    """Request limits of a live log, in the order of time from batch to batch."""
+    log, place = _request_log(spark, sf_dir), _place(spark, "limits")
+    low, high = log.selectExpr("min(unix_micros(ts))", "max(unix_micros(ts)) + 1").head()
+    turn = F.expr(f"CAST((unix_micros(ts) - {low}) * 5 DIV {high - low} AS INT)")
+    _run_sink(streams.write_limits(_feed(spark, log, turn), f"{place}/out", f"{place}/log"))
+    return spark.read.parquet(f"{place}/out/answers").select(
+        "event_id", "key", "allowed", "remaining", "retry_after", "limit")
+
+
 def _grouped_flags(table, key, column, by, **how):
     def run(spark, sf_dir):
         out = grouped_outliers(load(spark, sf_dir, table), column, by, **how)
@@ -640,8 +747,17 @@ QUERIES = {
     "csv_round_trip": csv_round_trip,
     "records_round_trip": records_round_trip,
     "run_log_append": run_log_append,
+    "run_log_retried": run_log_retried,
+    "typed_values": typed_values,
+    "worklist_csv": worklist_csv,
+    "report_json": report_json,
     "schema_matches": schema_matches,
     "schema_matches_all_rows": schema_matches,
     "stream_findings": stream_verdicts,
     "stream_events": stream_events,
+    "stream_split": stream_split,
+    "stream_windows": stream_windows,
+    "stream_usage": stream_usage,
+    "stream_key_links": stream_key_links,
+    "stream_limits": stream_limits,
 }

@@ -73,3 +73,40 @@ def append_rows(df: DataFrame, path: str, partition_by: str | None = None) -> No
     """Append to a Parquet log (runs, audit), laid out by organisation if asked."""
     writer = df.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+
+
+def append_batch(df: DataFrame, path: str, batch: str | int, partition_by: str | None = None) -> None:
+    """Append under a batch id: a retried job replaces what its first attempt wrote.
+
+    Each batch owns ``path/batch=<id>``, within it laid out by organisation if asked,
+    so readers of one organisation still open its folders alone.
+    """
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{path}/batch={batch}")
+
+
+def write_ordered(df: DataFrame, path: str, keys: list, fmt: str = "csv") -> None:
+    """Files whose names keep the order of ``keys``: read by name, they are the sorted list.
+
+    A range partition per file, sorted within. ``keys`` should tell all rows apart, so
+    that rows alike in the first ones are split as well.
+    """
+    write_table(df.repartitionByRange(*keys).sortWithinPartitions(*keys), path, fmt)
+
+
+def read_ordered(spark: SparkSession, path: str, place: str = "place") -> DataFrame:
+    """CSV files of ``write_ordered`` with the place of each row in the list, from 0."""
+    rows = read_table(spark, path).select("*", F.col("_metadata.file_name").alias("__file"),
+                                          F.col("_metadata.file_block_start").alias("__block"),
+                                          F.monotonically_increasing_id().alias("__mark"))
+    sizes = rows.groupBy("__file", "__block").agg(
+        F.count("*").alias("n"), F.min("__mark").alias("__first")).collect()  # one row per split
+    offsets, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["__file"], r["__block"])):
+        offsets.append((r["__file"], r["__block"], total - r["__first"]))
+        total += r.n
+    if not offsets:
+        return rows.drop("__file", "__block", "__mark").withColumn(place, F.lit(0).cast("long"))
+    table = spark.createDataFrame(offsets, "__file string, __block bigint, __shift bigint")
+    return rows.join(F.broadcast(table), ["__file", "__block"]).withColumn(
+        place, F.col("__mark") + F.col("__shift")).drop("__file", "__block", "__mark", "__shift")

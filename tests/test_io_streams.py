@@ -67,30 +67,72 @@ def feed(spark, sf_dir, tmp_path_factory):
     return spark.readStream.schema(people.schema).option("maxFilesPerTrigger", 1).parquet(place), people
 
 
+def run(writer):
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def test_stream_split_equals_batch(spark, feed, tmp_path):
     stream, people = feed
     cleaner = streams.StreamCleaner(derived.FIELDS, mask_output=True)
-    query = streams.write_split(
-        stream, cleaner, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    run(streams.write_split(stream, cleaner, str(tmp_path / "out"), str(tmp_path / "cp")))
     for frame, name in zip(cleaner.split(people), ("valid", "quarantine")):
-        written = spark.read.parquet(str(tmp_path / "out" / name)).drop("batch")
+        written = streams.read_side(spark, str(tmp_path / "out"), name)
         assert written.count() == frame.count() > 0
-        assert written.exceptAll(frame).isEmpty()
+        assert written.exceptAll(frame.select(written.columns)).isEmpty()
+    plan = cleaner.sides(spark.read.parquet(str(tmp_path / "out"))).select("*")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Exchange" not in text
+
+
+def test_batches_are_replaced_when_tried_again(spark, tmp_path):
+    place, df = str(tmp_path / "log"), spark.range(10).selectExpr("id", "id % 3 AS org_id")
+    for batch, rows in ((0, df), (1, df.limit(4)), (0, df.limit(2)), (1, df)):
+        io.append_batch(rows, place, batch, "org_id")
+    assert spark.read.parquet(place).groupBy("batch").count().orderBy("batch").collect() == [(0, 2), (1, 10)]
+    one = spark.read.parquet(place).where("org_id = 1")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(org_id" in plan
+
+
+def test_ordered_files(spark, tmp_path):
+    rows = [(i * 7919 % 500, "same", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, c int").repartition(4)
+    io.write_ordered(df, str(tmp_path / "o"), ["b", "a", "c"])
+    back = io.read_ordered(spark, str(tmp_path / "o")).orderBy("place").collect()
+    assert [r.place for r in back] == list(range(500))
+    assert [int(r.a) for r in back] == sorted(r[0] for r in rows)
+    io.write_ordered(df.limit(0), str(tmp_path / "none"), ["a"])
+    assert io.read_ordered(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_stream_windows(spark, feed, tmp_path):
     stream, people = feed
-    cleaner = streams.StreamCleaner(derived.FIELDS)
-    counts = streams.windowed_counts(cleaner.findings(stream, "ts"), lateness="2 days")
-    query = (counts.writeStream.format("memory").queryName("rule_windows").outputMode("update")
-             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
-    query.awaitTermination()
-    got = spark.table("rule_windows").groupBy("window_start", "rule").agg({"count": "max"})
-    want = ev.findings(cleaner.evaluate(people), "ts").groupBy(
-        "rule").count().collect()
-    totals = {r.rule: r[1] for r in got.groupBy("rule").sum("max(count)").collect()}
-    assert totals == {r.rule: r["count"] for r in want}
+    cleaner, place = streams.StreamCleaner(derived.FIELDS), str(tmp_path / "w")
+    run(streams.write_windows(cleaner.findings(stream, "ts"), place, str(tmp_path / "cp"),
+                              lateness="30 minutes"))
+    early = streams.read_windows(spark, place).count()
+    for _ in range(2):  # closing twice changes nothing
+        streams.close_windows(spark, place)
+        closed, late = (streams.read_windows(spark, place, s) for s in ("closed", "late"))
+        assert closed.count() == closed.select("window_start", "rule").distinct().count() > early
+        got = {tuple(r) for r in closed.unionByName(late).groupBy("window_start", "rule").sum(
+            "count").collect()}
+        found = ev.findings(cleaner.evaluate(people), "ts")
+        want = found.selectExpr("date_trunc('hour', ts) AS w", "rule").groupBy("w", "rule").count()
+        assert late.count() > 0 and got == {tuple(r) for r in want.collect()}
+
+
+def test_upsert_replaces_rows_of_touched_partitions(spark, tmp_path):
+    place = str(tmp_path / "t")
+    def rows(*x):
+        return spark.createDataFrame(list(x), "k string, p int, v int")
+    streams.upsert(rows(("a", 1, 1), ("b", 1, 1), (None, 1, 1), ("c", 2, 1)), place, ["k", "p"], "p")
+    for _ in range(2):
+        streams.upsert(rows(("a", 1, 5), (None, 1, 7), ("d", 3, 1)), place, ["k", "p"], "p")
+        got = {(r.k, r.p, r.v) for r in spark.read.parquet(place).collect()}
+        assert got == {("a", 1, 5), ("b", 1, 1), (None, 1, 7), ("c", 2, 1), ("d", 3, 1)}
+    streams.upsert(rows().limit(0), place, ["k", "p"], "p")
+    assert spark.read.parquet(place).count() == 5
 
 
 def test_stream_events(spark, sf_dir, tmp_path):
@@ -109,20 +151,24 @@ def test_stream_events(spark, sf_dir, tmp_path):
     assert spark.table("used").agg({"jobs_run": "sum"}).head()[0] == spark.read.parquet(place).count()
 
 
-def test_stream_limits(spark, tmp_path):
+@pytest.mark.parametrize("step", [0.05, 0.7, 3.0, 40.0])
+def test_stream_limits(spark, tmp_path, step):
     place, t0 = str(tmp_path / "log"), dt.datetime(2024, 1, 1)
-    spark.createDataFrame(
-        [(i, "k", "signup", t0 + dt.timedelta(seconds=i)) for i in range(20)],
-        "event_id long, key string, plan string, ts timestamp").coalesce(1).write.parquet(place)
-    log = spark.readStream.schema(spark.read.parquet(place).schema).parquet(place)
-    query = (streams.request_limits_stream(log).writeStream.format("memory").queryName("limits")
-             .outputMode("append").option("checkpointLocation", str(tmp_path / "cp"))
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    got = {r.event_id: r.allowed for r in spark.table("limits").collect()}
+    plans = ("signup", "public", "scale")
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 4}", plans[i % 4 % 3] if i % 3 else "signup",
+             t0 + dt.timedelta(seconds=i * step + (200 if i > 150 else 0))) for i in range(240)]
+    schema = "event_id long, key string, plan string, ts timestamp"
+    for n in range(4):
+        part = rows[n * 60:(n + 1) * 60]
+        spark.createDataFrame(part[::-1], schema).coalesce(1).write.mode("append").parquet(place)
+    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
+    run(streams.write_limits(log, str(tmp_path / "out"), str(tmp_path / "cp")))
     from tersa.operators.accounts import over_limit_events
-    batch = {r.event_id: r.allowed for r in over_limit_events(spark.read.parquet(place)).collect()}
-    assert got == batch and not all(got.values())
+    names = ["event_id", "key", "allowed", "remaining", "retry_after", "limit"]
+    got = sorted(spark.read.parquet(str(tmp_path / "out" / "answers")).select(names).collect())
+    batch = sorted(over_limit_events(spark.createDataFrame(rows, schema)).select(names).collect())
+    assert got == batch
+    assert step > 1 or not all(r.allowed for r in got)
 
 
 def test_stream_keys(spark, feed, tmp_path):
@@ -138,6 +184,33 @@ def test_stream_keys(spark, feed, tmp_path):
     assert links.count() == batch.count() > 0
 
 
+def test_late_batches_read_their_buckets_alone(spark, tmp_path):
+    place = str(tmp_path / "keys")
+    schema = "key_type string, key string, hash long, head long, bucket int"
+    rows = [("email", f"k{i}", i * 1_000_003, i, i % 8) for i in range(400)]
+    io.append_batch(spark.createDataFrame(rows, schema), place, 0, "bucket")
+    wanted = spark.createDataFrame([(3 * 1_000_003, 3), (11 * 1_000_003, 3)], "hash long, bucket int")
+    known = streams.known_keys(spark, str(tmp_path), wanted, 1)
+    assert sorted(r["head"] for r in known.collect()) == [3, 11]
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters:")[1].split("PushedFilters")[0]
+    assert "In(hash" in plan and streams.known_keys(spark, str(tmp_path), wanted, 0).isEmpty()
+
+
+def test_stream_keys_in_any_order(spark, tmp_path):
+    people = [(i, f"u{i % 5 if i % 3 else 0}@x.es") for i in range(60)]
+    schema, place = "row_id long, email string", str(tmp_path / "in")
+    for n in (3, 0, 2, 1):
+        spark.createDataFrame(people[n * 15:(n + 1) * 15], schema).coalesce(1).write.mode(
+            "append").parquet(place)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
+    run(streams.register_keys(feed, {"email": "email"}, str(tmp_path / "reg"), str(tmp_path / "cp")))
+    from tersa.operators import resolve
+    rows = resolve.key_rows(spark.createDataFrame(people, schema), {"email": "email"})
+    want = resolve.star_links(rows, resolve.key_buckets(rows).where("n > 1"))
+    assert sorted(streams.key_links(spark, str(tmp_path / "reg")).collect()) == sorted(want.collect())
+
+
 def test_plans(spark, sf_dir):
     people = queries.crm(spark, sf_dir)
     cleaned = ev.corrected(ev.evaluate(people, derived.FIELDS), derived.FIELDS)
