@@ -798,4 +798,5 @@ ORACLES.update({
     "stream_usage": ORACLES["monthly_usage"],
     "stream_key_links": ORACLES["exact_key_links"],
     "stream_limits": ORACLES["over_limit_events"],
+    "stream_subscription_state": ORACLES["subscription_state"],
 })

@@ -16,7 +16,7 @@ from ..session import materialize, shared_folder
 from ..sources.io import (
     append_batch, append_rows, read_ordered, read_records, read_table, with_row_id, write_records,
     write_table)
-from ..streaming import streams
+from ..streaming import streams, subscriptions
 from . import derived
 from .clean import CleanOptions, clean
 
@@ -650,6 +650,14 @@ def stream_key_links(spark, sf_dir):
     return streams.key_links(spark, f"{place}/out")
 
 
+def stream_subscription_state(spark, sf_dir):
+    """Subscriptions from billing events in no order, some delivered twice."""
+    log, place = billing(spark, sf_dir), _place(spark, "subscriptions")
+    feed = _feed(spark, log, _shuffled("event_id", "ts"))
+    _run_sink(subscriptions.write_subscriptions(feed, f"{place}/out", f"{place}/log"))
+    return _plain(subscriptions.read_subscriptions(spark, f"{place}/out"), "period_end", "updated_at")
+
+
 def stream_limits(spark, sf_dir):
     """Request limits of a live log, in the order of time from batch to batch."""
     log, place = _request_log(spark, sf_dir), _place(spark, "limits")
@@ -760,4 +768,5 @@ QUERIES = {
     "stream_usage": stream_usage,
     "stream_key_links": stream_key_links,
     "stream_limits": stream_limits,
+    "stream_subscription_state": stream_subscription_state,
 }

@@ -168,3 +168,20 @@ def test_runs(spark):
         usage, "2024-01-01")
     assert {r.org_id: (r.rows_used, r.rows_remaining) for r in left.collect()} == {
         "o1": (150, 1850), "zz": (0, 500_000)}
+
+
+def test_subscriptions_of_a_shuffled_stream(spark, tmp_path):
+    """Unnamed events belong to the holder of their time, however late that becomes known."""
+    from tersa.plans import queries
+    from tersa.streaming import subscriptions
+
+    log = queries.billing(spark, "/root/testdata/sf0.001")
+    want = sorted(accounts.subscription_state(log).collect())
+    rows = log.where("event_id % 2 = 0").unionByName(log)  # many deliveries twice
+    for n, files in enumerate((3, 2)):
+        feed = queries._feed(spark, rows, queries._shuffled(F.lit(n), "event_id", "ts", files=files), files)
+        place = str(tmp_path / f"s{n}")
+        queries._run_sink(subscriptions.write_subscriptions(feed, place, place + "-log", buckets=4))
+        got = subscriptions.read_subscriptions(spark, place)
+        assert got.columns == accounts.subscription_state(log).columns
+        assert sorted(got.collect()) == want
