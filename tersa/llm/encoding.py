@@ -14,6 +14,7 @@ import json
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import pairwise
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,7 @@ class MergeQueue:
         byte = {x: b for b, x in enumerate(letters)}
         self.string = {i: bytes(byte[x] for x in s) for s, i in vocab.items()}
         self.string.update((i, s.encode()) for s, i in self.special.items())
+        self.listed = {i: str(i) for i in self.string}
         self.memo = Memo(self._entry, _MEMO)
 
     def merge(self, data: bytes) -> list[int]:
@@ -112,7 +114,8 @@ class MergeQueue:
 
     def _entry(self, piece: str):
         ids = [self.special[piece]] if piece in self.special else self.merge(piece.encode())
-        return np.array(ids, "<u4").tobytes(), ",".join(map(str, ids)), self.decode(ids)
+        listed = self.listed
+        return pack(f"<{len(ids)}I", *ids), ",".join([listed[i] for i in ids]), self.decode(ids)
 
     def encode(self, chunk: str) -> list[int]:
         cut = [chunk] if chunk in self.special else _pieces().findall(chunk)
@@ -122,6 +125,9 @@ class MergeQueue:
         """Packed ids, listed ids and decoded bytes of each chunk."""
         memo, cut, special, out = self.memo, _pieces().findall, self.special, []
         for value in values:
+            if value.isascii() and value[1:].isalpha() and (value[0] == " " or value[0].isalpha()):
+                out.append(memo[value])  # letters, behind one space at most, are one piece
+                continue
             pieces = [value] if value in special else cut(value)
             if len(pieces) == 1:
                 out.append(memo[pieces[0]])
