@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialize
 
-__all__ = ["load", "materialize", "slices", "small_batches", "per_text", "words_of", "mix64",
+__all__ = ["load", "materialize", "slices", "gathered", "small_batches", "per_text", "words_of", "mix64",
            "unmix64", "Memo", "sums", "settle"]
 
 #: Bytes of text that one step of a task works on at once; a longer text is one slice.
@@ -63,6 +63,25 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[
     settle()
 
 
+def gathered(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Like ``slices``, but small batches come together until they hold ``limit`` bytes."""
+    held, size = [], 0
+    for part in slices(batches, column, limit):
+        more = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and size + more > limit:
+            yield _one(held)
+            held, size = [], 0
+        held.append(part)
+        size += more
+    if held:
+        yield _one(held)
+
+
+def _one(batches: list) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else \
+        pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def per_text(df: DataFrame, step: Callable, schema: str, limit: int = SLICE_BYTES) -> DataFrame:
     """``step(slice, texts)`` over ``df``; it gets whole texts (null: empty), and returns arrays."""
     names = [f.split()[0] for f in schema.split(",")]

@@ -13,8 +13,9 @@ Queries run in blocks of ``BLOCK_QUERIES``, one pass over the documents for each
 block; a block's terms and frequencies are all that is broadcast.
 
 Words are lower-cased runs of letters and digits; each distinct word of a query
-counts once. Rows without id take no part; a query's own id is not among its
-results; repeated rows are documents of their own. A query without words, or
+counts once. Rows without id take no part. Query rows of one id are one query, with
+the words of all; documents of its id are not among its results. Rows that repeat
+another id are documents of their own. A query without words, or
 whose words are nowhere else, has no results. Scores are ranked after rounding
 to nine places, equal ones by id.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import per_text, slices, words_of
+from .common import gathered, per_text, slices, words_of
 from .toxicity import word_keys
 
 K1, B = 1.2, 0.75
@@ -185,7 +186,7 @@ def _block(docs: DataFrame, asked: list, count: int, mean_length: float, k: int)
     def run(batches):
         known, idf, queries = shared.value, weights.value, wanted.value
         top = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        for batch in slices(batches, limit=SHARD_BYTES):
+        for batch in gathered(batches, limit=SHARD_BYTES):
             starts, codes, values = words_of(batch.column("text").fill_null(""))
             at = np.searchsorted(known, keys := word_keys(values))
             hit = known[np.minimum(at, len(known) - 1)] == keys
@@ -224,7 +225,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     out = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     for i in range(blocks if total[1] else 0):
         own = queries.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == i)
-        asked = query_terms(own).where("size(terms) > 0").orderBy("query_id").collect()
+        asked = query_terms(own).groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(
+            F.collect_list("terms")))).alias("terms")).where("size(terms) > 0").orderBy(
+            "query_id").collect()
         if asked:
             out = out.unionByName(_block(docs, asked, total[0], total[1] / total[0], k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

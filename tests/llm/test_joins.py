@@ -158,6 +158,27 @@ def test_search_against_every_score(spark, monkeypatch, shard, block):
     assert topk_search.search(df.where("doc_id < 0"), df.where("doc_id = 1")).count() == 0
 
 
+def test_query_rows_of_one_id_are_one_query(spark):
+    rows = [(0, "alpha beta"), (0, "gamma"), *[(i, f"{'alpha' if i % 2 else 'gamma'} w{i}")
+                                               for i in range(1, 9)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = topk_search.search(df, df.where("doc_id = 0"), k=10).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 9))
+    assert sorted(r.doc_id for r in got) == list(range(1, 9))
+
+
+def test_small_batches_come_together():
+    import pyarrow as pa
+
+    from tersa.llm.common import gathered
+
+    batch = pa.record_batch({"text": ["a" * 10, None, "b" * 30], "n": [1, 2, 3]})
+    out = list(gathered([batch, batch, batch], limit=90))
+    assert [b.num_rows for b in out] == [6, 3]
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches([batch] * 3))
+    assert [b.num_rows for b in gathered([batch, batch.slice(0, 0)], limit=15)] == [2, 1]
+
+
 # --- neighbours ---------------------------------------------------------------
 
 def test_index_finds_every_code():
