@@ -26,6 +26,7 @@ KEY = ["key_type", "block", "key"]
 _PHASE = {t: i for i, t in enumerate((*fixed.KEY_CONFIDENCE, "name"))}
 _GRAM_CODES = 16_384
 _CELL = 4_096
+_FEW_KEYS = 2_000
 
 
 @dataclass(frozen=True)
@@ -156,9 +157,12 @@ def _gram_prefixes(keys: DataFrame, threshold: float) -> DataFrame:
         "slice(first, i + 1, size(first)), y -> "
         f"(element_at(first, i) + 1L) * {_GRAM_CODES} + y)))")
     alone = "IF(size(listed) < miss + 2, slice(listed, 1, miss + 1), array())"
-    return select(first.where("size(first) > 0"), {
-        "gram": f"explode(concat(transform({alone}, x -> CAST(x AS BIGINT)), {pairs}))"},
-        keep=keys.columns)
+    many = f"concat(transform({alone}, x -> CAST(x AS BIGINT)), {pairs})"
+    if "keys" in keys.columns:
+        few = "transform(slice(listed, 1, miss + 1), x -> CAST(x AS BIGINT))"
+        many = f"IF(keys <= {_FEW_KEYS}, {few}, {many})"
+    return select(first.where("size(first) > 0"), {"gram": f"explode({many})"},
+                  keep=[c for c in keys.columns if c != "keys"])
 
 
 def name_candidates(
@@ -166,12 +170,14 @@ def name_candidates(
 ) -> DataFrame:
     """Pairs of distinct keys of one block that may reach the threshold.
 
-    ``keys``: block, key, lo, hi (one record per distinct key of a block). A
+    ``keys``: block, key, lo, hi (one record per distinct key of a block) and, if
+    known, keys (how many there are in the block, the same for all of a block). A
     signature that many keys of a block share becomes a grid of cells, one task
     each.
     """
     tokens = materialize(
-        _gram_prefixes(keys.select("block", "key", "lo", "hi"), threshold), "tokens")
+        _gram_prefixes(keys.select("block", "key", "lo", "hi", *(
+            c for c in keys.columns if c == "keys")), threshold), "tokens")
     on = ["block", "gram"]
     crowd = materialize(
         tokens.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "crowds")

@@ -186,3 +186,13 @@ def test_attach_bounds_what_it_broadcasts(spark):
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         resolve.find_duplicates(table(spark, [{}]), FIELDS, threshold=0)
+
+
+def test_crowded_blocks_give_the_same_pairs(spark, sf_dir, monkeypatch):
+    """Pairs of grams, as in blocks of many keys, and single grams find the same names."""
+    from tersa.plans import queries
+
+    few = {tuple(r) for r in queries.candidate_pairs(spark, sf_dir).collect()}
+    monkeypatch.setattr(resolve, "_FEW_KEYS", 0)
+    assert {tuple(r) for r in queries.candidate_pairs(spark, sf_dir).collect()} == few
+    assert few
