@@ -4,10 +4,11 @@ A model is a handful of doubles. It is fitted by distributed aggregates and
 then becomes literals of the scoring projection: no join, no shuffle, and the
 same projection scores a stream.
 
-``exact_median`` stays exact at any size. While the number of distinct values
+``exact_medians`` stays exact at any size. While the number of distinct values
 fits ``exact_limit`` the built-in ``median`` (a value → count map) does it.
 Above that, a bounded quantile sketch brackets the middle rank and plain counts
 prove which bracket holds it; each round keeps under a thousandth of the rows.
+All columns go through the same rounds, so scans do not grow with their number.
 """
 
 from __future__ import annotations
@@ -78,78 +79,116 @@ def outlier_score(value: str, model: OutlierModel) -> str:
         f"/ {literal(model.scale)})")
 
 
-def _bracket(part: DataFrame, rank: int, rows: int) -> tuple[float, float]:
-    """Two data values that, up to sketch error, enclose the value at ``rank``."""
-    share, margin = rank / rows, 3.0 / _SKETCH_ACCURACY
-    probes = [max(share - margin, 0.0), min(share + margin, 1.0)]
-    return tuple(part.agg(F.percentile_approx("x", probes, _SKETCH_ACCURACY)).head()[0])
+def _row(df: DataFrame, exprs) -> dict:
+    """Values of several aggregates, equal ones computed once, by their text."""
+    names = {e: f"c{i}" for i, e in enumerate(dict.fromkeys(exprs))}
+    if not names:
+        return {}
+    row = df.selectExpr(*[f"{e} AS {n}" for e, n in names.items()]).head()
+    return {e: row[n] for e, n in names.items()}
+
+
+def _bracket(x: str, share: float = 0.5) -> str:
+    """Aggregate of two data values that, up to sketch error, enclose the rank at ``share``."""
+    margin = 3.0 / _SKETCH_ACCURACY
+    low, high = literal(max(share - margin, 0.0)), literal(min(share + margin, 1.0))
+    return f"percentile_approx({x}, array({low}, {high}), {_SKETCH_ACCURACY})"
+
+
+@dataclass
+class _Sought:
+    """A 1-based ``rank`` among the ``rows`` values of ``x`` that meet ``within``."""
+
+    x: str
+    rank: int
+    rows: int
+    distinct: int  # estimate of the number of different values
+    within: str = "TRUE"
+    found: float | None = None
+
+    @property
+    def part(self) -> str:
+        return self.x if self.within == "TRUE" else f"IF({self.within}, {self.x}, NULL)"
 
+    @property
+    def bracket(self) -> str:
+        return _bracket(self.part, self.rank / self.rows)
 
-def order_statistic(
-    df: DataFrame, rank: int, rows: int, distinct: int, limit: int = EXACT_LIMIT
-) -> float:
-    """Value at 1-based ``rank`` among the ``rows`` doubles of ``df.x``.
+    @property
+    def value(self) -> str:
+        share = literal((self.rank - 0.5) / self.rows)
+        return f"percentile_disc({share}) WITHIN GROUP (ORDER BY {self.part})"
 
-    ``distinct`` is an estimate of the number of different values.
+    def stretches(self, low: float, high: float) -> dict[str, tuple[str, str]]:
+        """Predicate → counts of the rows and of the different values that meet it, in order."""
+        lo, hi = literal(low), literal(high)
+        out = {}
+        for e in (f"< {lo}", f"= {lo}", f"> {lo} AND {{x}} < {hi}", f"= {hi} AND {{x}} > {lo}",
+                  f"> {hi}"):
+            where = f"({self.within}) AND {self.x} {e.format(x=self.x)}"
+            single = e.startswith("=")
+            out[where] = (f"count_if({where})", "1" if single else
+                          f"approx_count_distinct(IF({where}, {self.x}, NULL))")
+        return out
+
+    def narrow(self, low: float, high: float, counted: dict) -> None:
+        for i, (where, (n, d)) in enumerate(self.stretches(low, high).items()):
+            if self.rank <= counted[n]:
+                self.within, self.rows, self.distinct = where, counted[n], int(counted.get(d, 1))
+                if i in (1, 3):
+                    self.found = low if i == 1 else high
+                return
+            self.rank -= counted[n]
+        raise RuntimeError("The rank lies beyond the rows.")
+
+
+def order_statistics(df: DataFrame, sought: list[_Sought], limit: int, first: dict) -> list[str]:
+    """Narrow every rank down to at most ``limit`` different values, all in the same scans.
+
+    ``first`` holds brackets that are known already. Returns the aggregates of the values left.
     """
-    part = df
     for _ in range(64):
-        if distinct <= limit:
-            # Few distinct values: the built-in keeps one counter per value.
-            share = literal((rank - 0.5) / rows)
-            return part.selectExpr(
-                f"percentile_disc({share}) WITHIN GROUP (ORDER BY x)").head()[0]
-        low, high = _bracket(part, rank, rows)
-        lo, hi = literal(low), literal(high)
-        inner = f"x > {lo} AND x < {hi}"
-        under, at_low, inside, at_high, d_under, d_inside, d_over = part.selectExpr(
-            f"count_if(x < {lo})", f"count_if(x = {lo})", f"count_if({inner})",
-            f"count_if(x = {hi} AND x > {lo})", f"approx_count_distinct(IF(x < {lo}, x, NULL))",
-            f"approx_count_distinct(IF({inner}, x, NULL))",
-            f"approx_count_distinct(IF(x > {hi}, x, NULL))",
-        ).head()
-        if rank <= under:
-            part, rows, distinct = part.where(f"x < {lo}"), under, d_under
-        elif rank <= under + at_low:
-            return low
-        elif rank <= under + at_low + inside:
-            part, rank, rows, distinct = (
-                part.where(inner), rank - under - at_low, inside, d_inside)
-        elif rank <= under + at_low + inside + at_high:
-            return high
-        else:
-            gone = under + at_low + inside + at_high
-            part, rank, rows, distinct = part.where(f"x > {hi}"), rank - gone, rows - gone, d_over
-    raise RuntimeError("The order statistic did not converge.")
-
-
-def exact_median(df: DataFrame, rows: int, distinct: int, limit: int = EXACT_LIMIT) -> float:
-    """Median of ``df.x`` (``rows`` finite doubles), interpolated between the middle two."""
-    rank = (rows + 1) // 2
-    lower = order_statistic(df, rank, rows, distinct, limit)
-    if rows % 2:
-        return lower
-    value = literal(lower)
-    upto, after = df.selectExpr(
-        f"count_if(x <= {value})", f"min(IF(x > {value}, x, NULL))").head()
-    return lower if upto > rank else (lower + after) / 2
-
-
-def _medians(df: DataFrame, columns: dict[str, str], sizes: dict[str, tuple[int, int]],
-             limit: int) -> dict[str, float]:
-    """Medians of several expressions; one aggregate for all that fit the limit."""
-    small = {k: e for k, e in columns.items() if sizes[k][1] <= limit}
-    out: dict[str, float] = {}
-    if small:
-        out.update(df.selectExpr(
-            *[f"median({e}) AS {ident(k)}" for k, e in small.items()]).head().asDict())
-    for k, e in columns.items():
-        if k not in small:
-            part = df.selectExpr(f"{e} AS x").where("x IS NOT NULL")
-            out[k] = exact_median(part, *sizes[k], limit)
+        wide = [s for s in sought if s.found is None and s.distinct > limit]
+        if not wide:
+            return [s.value for s in sought if s.found is None]
+        ends = first or _row(df, [s.bracket for s in wide])
+        ends = [ends[s.x] if first else ends[s.bracket] for s in wide]
+        counted = _row(df, [e for s, (lo, hi) in zip(wide, ends, strict=True)
+                            for pair in s.stretches(lo, hi).values() for e in pair if e != "1"])
+        for s, (lo, hi) in zip(wide, ends, strict=True):
+            s.narrow(lo, hi, counted)
+        first = {}
+    raise RuntimeError("The order statistics did not converge.")
+
+
+def exact_medians(df: DataFrame, sizes: dict[str, tuple[int, int]], limit: int = EXACT_LIMIT,
+                  brackets: dict | None = None) -> dict[str, float]:
+    """Medians of several expressions over ``df``, interpolated between the middle two values.
+
+    ``sizes``: expression → (finite values, estimate of the different ones). However many
+    expressions there are, they share every scan: brackets, counts and the values inside.
+    """
+    few = {x: f"median({x})" for x, (_, distinct) in sizes.items() if distinct <= limit}
+    middle = {x: [_Sought(x, rank, rows, distinct) for rank in ((rows + 1) // 2, rows // 2 + 1)]
+              for x, (rows, distinct) in sizes.items() if x not in few}
+    sought = [s for pair in middle.values() for s in pair]
+    left = order_statistics(df, sought, limit, brackets or {})
+    got = _row(df, [*few.values(), *left])
+    out = {x: got[e] for x, e in few.items()}
+    for x, pair in middle.items():
+        low, high = (got[s.value] if s.found is None else s.found for s in pair)
+        out[x] = low if low == high else (low + high) / 2
     return out
 
 
+def _sizes(df: DataFrame, exprs) -> tuple[dict, dict]:
+    """Finite values and estimated different ones of each expression, and its middle's bracket."""
+    ask = {e: (f"count({e})", f"approx_count_distinct({e})", _bracket(e)) for e in exprs}
+    got = _row(df, [a for three in ask.values() for a in three])
+    return ({e: (got[n], got[d]) for e, (n, d, _) in ask.items()},
+            {e: got[b] for e, (_, _, b) in ask.items()})
+
+
 def fit_models(
     df: DataFrame,
     fields: dict[str, str],
@@ -158,34 +197,37 @@ def fit_models(
 ) -> dict[str, OutlierModel]:
     """Fit every numeric field of ``fields`` (field → column) together.
 
-    Three aggregates over a scan that reads only those columns.
+    All fields share their scans, which read only those columns: three for the medians and
+    three for the deviations, two of each where no field has over ``exact_limit`` values.
     """
     if not fields:
         return {}
     values = {f: numeric_value(ident(c), df.schema[c].dataType) for f, c in fields.items()}
-    row = df.selectExpr(
-        *[f"count({v}) AS {ident('n_' + f)}" for f, v in values.items()],
-        *[f"approx_count_distinct({v}) AS {ident('d_' + f)}" for f, v in values.items()],
-    ).head()
-    sizes = {f: (row[f"n_{f}"], row[f"d_{f}"]) for f in fields}
-    some = {f: v for f, v in values.items() if sizes[f][0]}
-    centre = _medians(df, some, sizes, exact_limit)
+    df = df.selectExpr(*[f"{v} AS v{i}" for i, v in enumerate(values.values())])
+    values = {f: f"v{i}" for i, f in enumerate(fields)}
+    sizes, brackets = _sizes(df, values.values())
+    some = {f: v for f, v in values.items() if sizes[v][0]}
+    found = exact_medians(df, {v: sizes[v] for v in some.values()}, exact_limit, brackets)
+    centre = {f: found[v] for f, v in some.items()}
     spread = {f: f"abs({v} - {literal(centre[f])})" for f, v in some.items()}
-    mads = _medians(df, spread, sizes, exact_limit)
-    flat = [f for f in some if not mads[f] > 0]
-    means = df.selectExpr(
-        *[f"avg({spread[f]}) AS {ident(f)}" for f in flat]).head().asDict() if flat else {}
+    if any(sizes[v][1] > exact_limit for v in some.values()):
+        apart, brackets = _sizes(df, spread.values())
+    else:  # there are no more different distances than values
+        apart, brackets = {spread[f]: sizes[v] for f, v in some.items()}, {}
+    found = exact_medians(df, apart, exact_limit, brackets)
+    mads = {f: found[e] for f, e in spread.items()}
+    means = _row(df, [f"avg({spread[f]})" for f in some if not mads[f] > 0])
 
     models = {}
     for field, column in fields.items():
-        n = sizes[field][0]
+        n = sizes[values[field]][0]
         if not n:
             models[field] = OutlierModel(field, column, 0.0, 0.0, 0.0, threshold, 0, "empty")
         elif mads[field] > 0:
             m = mads[field]
             models[field] = OutlierModel(field, column, centre[field], m, m, threshold, n)
         else:
-            dev = means[field] * fixed.MEAN_DEV_TO_MAD
+            dev = means[f"avg({spread[field]})"] * fixed.MEAN_DEV_TO_MAD
             models[field] = OutlierModel(
                 field, column, centre[field], 0.0, dev, threshold, n,
                 "mean_abs_dev" if dev > 0 else "constant")

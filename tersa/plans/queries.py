@@ -197,9 +197,9 @@ _NUMBERS = (
 
 def outlier_models(spark, sf_dir):
     models = {}
-    for table, column in _NUMBERS:
-        models.update({column: numeric.fit_models(
-            load(spark, sf_dir, table), {column: column})[column]})
+    for table in dict.fromkeys(t for t, _ in _NUMBERS):
+        models.update(numeric.fit_models(
+            load(spark, sf_dir, table), {c: c for t, c in _NUMBERS if t == table}))
     people = crm(spark, sf_dir)
     models.update(_models(people))
     out = numeric.models_table(spark, models)
