@@ -20,7 +20,7 @@ from ..functions.sql import any_of, case, ident, literal, lookup, pinned, select
 from ..functions.text import cell_text, company_key, normalize_key, strip
 from ..session import materialize
 from .components import connected_components
-from .skew import MIN_HEAVY_ROWS, attach
+from .skew import MIN_HEAVY_ROWS, attach, counted
 
 KEY = ["key_type", "block", "key"]
 _PHASE = {t: i for i, t in enumerate((*fixed.KEY_CONFIDENCE, "name"))}
@@ -97,9 +97,7 @@ def block_sizes(buckets: DataFrame) -> DataFrame:
 
 def _within_blocks(buckets: DataFrame, floor: int) -> DataFrame:
     """Name buckets with the number of different keys of their block, whatever its size."""
-    names = buckets.where("key_type = 'name'")
-    sizes = materialize(block_sizes(buckets), "blocks")
-    return attach(names, sizes, ["block"], "keys", floor)
+    return counted(buckets.where("key_type = 'name'"), ["block"], "keys", floor)
 
 
 def star_links(rows: DataFrame, buckets: DataFrame, floor: int = MIN_HEAVY_ROWS) -> DataFrame:
@@ -179,9 +177,7 @@ def name_candidates(
         _gram_prefixes(keys.select("block", "key", "lo", "hi", *(
             c for c in keys.columns if c == "keys")), threshold), "tokens")
     on = ["block", "gram"]
-    crowd = materialize(
-        tokens.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "crowds")
-    sized = select(attach(tokens, crowd, on, "n", floor), {
+    sized = select(counted(tokens, on, "n", floor).where("n > 1"), {
         "cells": f"CAST(ceil(n / {_CELL}) AS INT)"})
     left = select(sized, {"cell": "CAST(pmod(xxhash64(key), cells) AS INT)"})
     right = select(sized, {"cell": "explode(sequence(0, cells - 1))"})

@@ -12,9 +12,11 @@ rest joins by shuffle, where no key exceeds the heavy limit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 MAX_HEAVY = 1_000
 MIN_HEAVY_ROWS = 1_000_000
 
@@ -44,3 +46,17 @@ def attach(
     hot = rows.join(F.broadcast(heavy), keys)
     cold = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     return hot.unionByName(cold)
+
+
+def counted(
+    rows: DataFrame, keys: list[str], size: str, floor: int = MIN_HEAVY_ROWS
+) -> DataFrame:
+    """Adds ``size``, how many of ``rows`` share the row's ``keys``; null keys leave.
+
+    ``rows`` should be materialised. Where no group can be heavy one shuffle does it.
+    """
+    known = rows.dropna(subset=keys)
+    if known.count() <= floor:
+        return known.withColumn(size, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    groups = materialize(known.groupBy(*keys).agg(F.count("*").alias(size)), "sizes")
+    return attach(known, groups, keys, size, floor)

@@ -196,3 +196,13 @@ def test_crowded_blocks_give_the_same_pairs(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(resolve, "_FEW_KEYS", 0)
     assert {tuple(r) for r in queries.candidate_pairs(spark, sf_dir).collect()} == few
     assert few
+
+
+@pytest.mark.parametrize("floor", [1_000_000, 4])
+def test_rows_get_the_size_of_their_group(spark, floor):
+    keys = ["hot"] * 40 + ["a", "a", "b", None, ""]
+    rows = resolve.materialize(spark.createDataFrame(
+        [(i, k) for i, k in enumerate(keys)], "i long, k string"), "rows")
+    got = {r.i: r.n for r in skew.counted(rows, ["k"], "n", floor).collect()}
+    assert got == {i: keys.count(k) for i, k in enumerate(keys) if k is not None}
+    assert skew.counted(rows.where("i < 0"), ["k"], "n", floor).count() == 0
