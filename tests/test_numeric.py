@@ -22,6 +22,23 @@ def test_median_and_mad(spark, limit):
         assert model.mad == float(np.median(np.abs(values - median)))
 
 
+@pytest.mark.parametrize("limit", [100_000, 20])
+def test_fields_fitted_together_are_as_apart(spark, limit):
+    rng = np.random.default_rng(3)
+    columns = {"a": rng.normal(0, 9, 700).round(2), "b": rng.integers(0, 30, 700).astype(float),
+               "c": np.r_[np.zeros(400), rng.normal(5, 1, 300)], "d": np.full(700, 7.0)}
+    rows = [tuple(map(float, r)) + (None,) for r in zip(*columns.values(), strict=True)]
+    df = spark.createDataFrame([*rows, (None, float("nan"), None, None, None)],
+                               "a double, b double, c double, d double, e double")
+    models = numeric.fit_models(df, {c: c for c in "abcde"}, exact_limit=limit)
+    for c, values in columns.items():
+        assert models[c].n_fitted == 700 and models[c].median == np.median(values)
+        assert models[c].mad == np.median(np.abs(values - np.median(values)))
+    assert [models[c].fallback for c in "abcde"] == [
+        None, None, "mean_abs_dev", "constant", "empty"]
+    assert models["c"].scale == pytest.approx(np.mean(np.abs(columns["c"])) * 1.253314)
+
+
 def test_robust(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(45000, 12000, 500)
