@@ -6,10 +6,10 @@ letter 1-, 2- and 3-grams within the lower-cased words of the whole text, as
 shares of all of them, so a text's margins are sums of what its words add: each
 distinct word of a slice is looked at once.
 
-The classifier is fitted on a bounded sample: ``PER_LANGUAGE`` rows of each
-``lang`` value of the rows that may be learned from. A text that is null or has
-no letter is ``und`` with score 0, and so is every text if there is nothing to
-learn from. Rows whose id is null are neither learned from nor held out.
+The classifier is fitted on a bounded sample: ``PER_LANGUAGE`` different texts of
+each ``lang`` value of the rows that may be learned from, ``MOST_LEARNT`` in all, of
+the ``LANGUAGES`` commonest values. A text that is null or has no letter is ``und``
+with score 0, and so is every text if there is nothing to learn from. Rows whose id is null are neither learned from nor held out.
 Repeated rows come out repeated; other columns are not read.
 """
 
@@ -20,10 +20,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import per_text, slices, sums, words_of
+from .sampling import smallest
 
 # Families of languages by code. A code not listed is a family of its own.
 FAMILIES = {
@@ -36,6 +37,9 @@ FAMILIES = {
 UNKNOWN = "und"
 NOT_LETTERS = r"\P{L}+"
 PER_LANGUAGE = 250
+#: Languages that are learned, and rows to learn from in all: one-versus-one machines grow by
+#: the square of the languages of a family.
+LANGUAGES, MOST_LEARNT = 128, 10_000
 DIMENSIONS = 1 << 12
 #: Numbers that letter 3-grams are hashed to, to tell which ones a language has.
 KINDS_OF_GRAMS = 1 << 18
@@ -226,15 +230,19 @@ class Limits:
         return kept
 
 
-def _sample(df: DataFrame, per_language: int) -> DataFrame:
-    """``lang, text`` of ``per_language`` rows of each language: the smallest hashes of text."""
-    rows = df.where("lang is not null and text rlike '\\\\p{L}'").select(
-        "lang", F.xxhash64("text").alias("h"), "text")
-    order = Window.partitionBy("lang").orderBy("h")
-    picked = rows.select("lang", "h").distinct().withColumn("n", F.row_number().over(order)).where(
-        F.col("n") <= per_language).select("lang", "h")
-    # At most per_language short rows for each language.
-    return rows.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])
+def _sample(df: DataFrame, per_language: int) -> DataFrame | None:
+    """``lang, h, text`` of ``per_language`` different texts of each language: the smallest hashes.
+
+    Of more than ``LANGUAGES`` values the commonest are learned. With more languages
+    than ``MOST_LEARNT`` rows allow for, each has fewer rows.
+    """
+    rows = df.where("lang is not null and text is not null").select("lang", "text")
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(
+        F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    wanted = max(1, min(per_language, MOST_LEARNT // max(1, len(sizes))))
+    lettered = F.when(F.col("text").rlike("\\p{L}"), F.col("lang"))
+    found = smallest(rows, lettered, sizes, wanted)
+    return None if found is None else found.withColumnRenamed("side", "lang")
 
 
 def _fitted(rows: list, families=None) -> Model:
@@ -248,8 +256,9 @@ def fit(df: DataFrame, per_language: int = PER_LANGUAGE, families=None) -> Model
         data = [v.astype(np.float32).tobytes() for v in _doc_features(texts)]
         return [batch.column("lang"), pa.array(data, pa.binary())]
 
-    found = per_text(_sample(df, per_language).select("lang", "text"), step,
-                     "lang string, counts binary").collect()
+    sample = _sample(df, per_language)
+    found = [] if sample is None else per_text(
+        sample.select("lang", "text"), step, "lang string, counts binary").collect()
     found.sort(key=lambda r: (r.lang, bytes(r.counts)))
     return _fitted(found, families)
 
@@ -263,8 +272,8 @@ def fit_limits(df: DataFrame, least: float, per_language: int = PER_LANGUAGE):
             pa.array([v.tobytes() for v in x], pa.binary()) for x in (kinds, n)]]
 
     sample = _sample(df, per_language * HELD_BACK // (HELD_BACK - 1))
-    found = per_text(sample, step, "lang string, h long, counts binary, kinds binary, n binary"
-                     ).collect()
+    found = [] if sample is None else per_text(
+        sample, step, "lang string, h long, counts binary, kinds binary, n binary").collect()
     found.sort(key=lambda r: (r.lang, r.h))
     held = found[HELD_BACK - 1::HELD_BACK]
     learnt = [r for i, r in enumerate(found) if i % HELD_BACK < HELD_BACK - 1]

@@ -7,11 +7,12 @@ words and features of the file, and is decoded by Viterbi over the whole text.
 Base spans stay as they are; an added span keeps off every base span.
 
 The field is fitted on windows of a bounded sample: ``SAMPLE`` texts where a base
-pattern may match and as many others, none longer than ``SAMPLE_CHARS``; the base
-spans are its labels. Without any base span in the sample nothing is added.
+pattern may match and as many others, all different, none longer than
+``SAMPLE_CHARS``; the base spans are its labels. Without any base span in the sample nothing is added.
 
 A null text counts as empty: no spans. Offsets are code points. Repeated rows
-come out repeated; other columns are not read. One pass, no shuffle.
+come out repeated; other columns are not read. One pass without a shuffle, after
+the sample (texts whose hash passes, usually in one look over the table).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, per_text, slices, small_batches
-from .sampling import bounded
+from .sampling import smallest
 
 # The base patterns and their least lengths.
 KINDS = ("assign", "access", "hex", "crf")
@@ -343,14 +344,11 @@ def fit_field(texts: list[str], rounds: int = 120, penalty: float = 0.02) -> Fie
 
 
 def fit(df: DataFrame, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Field | None:
-    """Fit on a bounded sample of whole texts of at most ``most_chars`` characters."""
-    short = df.select("text").where(F.length("text") <= most_chars)
-    maybe = F.col("text").rlike(MAYBE)
-    sizes = short.groupBy(maybe.alias("m")).count().collect()
-    texts = []
-    for row in sorted(sizes, key=lambda r: not r.m):
-        side = short.where(maybe if row.m else ~maybe)
-        texts += sorted(r.text for r in bounded(side, ["text"], sample, row["count"]).collect())
+    """Fit on a bounded sample of different whole texts of at most ``most_chars`` characters."""
+    short, total = df.select("text").where(F.length("text") <= most_chars), df.count()
+    rows = smallest(short, F.col("text").rlike(MAYBE), {True: total, False: total}, sample, 64)
+    found = rows.collect()
+    texts = [t for side in (True, False) for t in sorted(r.text for r in found if r.side == side)]
     return fit_field(texts)
 
 

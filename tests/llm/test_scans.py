@@ -5,8 +5,9 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tersa.llm import license_scan, secret_scan
+from tersa.llm import license_scan, sampling, secret_scan
 from tersa.llm.common import Memo
 
 KEY = "AKIA" + "ABCD1234EFGH5678"
@@ -197,3 +198,32 @@ def test_long_licence_texts_take_linear_time():
         assert found["places"][:2 * len(starts)] == [
             r * len(words) + i for r in range(2) for i in starts]
         assert len(found["places"]) == len(starts) * (3_000_000 // len(phrase))
+
+
+# --- samples --------------------------------------------------------------------
+
+def test_smallest_hashes_of_each_group(spark, monkeypatch):
+    texts = [f"text {i}" for i in range(3_000)] + ["hot copy"] * 2_000 + [
+        f"rare {i}" for i in range(7)] + ["none 1", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    group = F.when(F.col("text").startswith("rare"), "r").when(
+        ~F.col("text").startswith("none"), "t")
+    hashed = {r.text: r.h for r in df.dropna().distinct().select(
+        "text", F.xxhash64("text").alias("h")).collect()}
+    for spread in (1, 8, 10**6):
+        got = sampling.smallest(df, group, {"r": len(texts), "t": len(texts)}, 20, spread)
+        rows = [(r.side, r.text) for r in got.collect()]
+        usual = sorted((t for t in hashed if t[:4] not in ("rare", "none")), key=hashed.get)[:20]
+        assert sorted(rows) == sorted([("t", t) for t in usual] + [
+            ("r", f"rare {i}") for i in range(7)])
+    assert sampling.smallest(df, group, {}, 20) is None
+    assert sampling.smallest(df.limit(0), group, {"t": 0}, 20).count() == 0
+
+
+def test_the_field_learns_from_different_texts(spark):
+    """A large group of copies is one text of the sample."""
+    copies = [(i, "nothing to see here") for i in range(2_000)]
+    some = [(5_000 + i, f"line {i}\npassword = Xy{i:04d}zZ9q{i * 7919 % 10007:05d}\n") for i in range(40)]
+    df = spark.createDataFrame(copies + some, "doc_id long, text string")
+    assert secret_scan.fit(df, 300) is not None
+    assert secret_scan.fit(df.limit(0)) is None
