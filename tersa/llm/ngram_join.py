@@ -163,22 +163,25 @@ def row_key() -> list:
 def _candidates(nodes: DataFrame) -> DataFrame:
     """``band, node, head`` of the bands that more than one representative has."""
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("head"))
-    return materialize(bands.join(shared.where("n > 1"), "band").select("band", "node", "head"),
+    shared = materialize(bands.groupBy("band").agg(
+        F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1"), "shared")
+    return materialize(attach(bands, shared, ["band"], "n").select("band", "node", "head"),
                        "bands")
 
 
 def _blocks(nodes: DataFrame, bands: DataFrame) -> DataFrame:
     """``node, block, copies, k, h`` of all candidates."""
     label = bands.groupBy("node").agg(F.min("head").alias("label"))
-    lower = bands.join(label, "node").groupBy("band").agg(F.min("label").alias("label"))
-    label = materialize(
-        bands.join(lower, "band").groupBy("node").agg(F.min("label").alias("label")), "labels")
-    rows = nodes.join(label, "node").select("node", "label", "copies", "shingles", "k", "h")
-    parts = rows.groupBy("label").agg(F.greatest(
+    lower = materialize(bands.join(label, "node").groupBy("band").agg(
+        F.min("label").alias("label"), F.count("*").alias("n")), "lower")
+    label = attach(bands.select("band", "node"), lower, ["band"], "n").groupBy("node").agg(
+        F.min("label").alias("label"))
+    rows = materialize(nodes.join(label, "node").select(
+        "node", "label", "copies", "shingles", "k", "h"), "labels")
+    parts = materialize(rows.groupBy("label").agg(F.count("*").alias("n"), F.greatest(
         F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)
-    ).alias("parts"))
-    return materialize(rows.join(parts, "label").select(
+    ).alias("parts")), "parts")
+    return materialize(attach(rows, parts, ["label"], "n").select(
         "node", "copies", "k", "h",
         F.xxhash64("label", F.expr("pmod(xxhash64(node), parts)")).alias("block")), "blocks")
 
@@ -188,8 +191,9 @@ def _meetings(blocks: DataFrame, bands: DataFrame) -> DataFrame:
     within = blocks.groupBy("block").count().where("count > 1").select(
         F.col("block").alias("one"), F.col("block").alias("two"))
     held = bands.join(blocks.select("node", "block"), "node").select("band", "block").distinct()
-    several = held.groupBy("band").count().where("count > 1").select("band")
-    held = materialize(held.join(several, "band"), "held")
+    several = materialize(held.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"),
+                          "several")
+    held = materialize(attach(held, several, ["band"], "n").select("band", "block"), "held")
     across = held.select("band", F.col("block").alias("one")).join(
         held.select("band", F.col("block").alias("two")), "band").where("one < two").select(
         "one", "two").distinct()

@@ -1,10 +1,12 @@
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pytest
 
 from tersa.llm import neighbours, ngram_join, topk_search
+from tersa.operators.skew import attach
 
 
 def words(text):
@@ -79,9 +81,11 @@ def test_join_against_all_pairs(spark, monkeypatch, seed, block):
     assert len({by_text[r.text] for r in left if words(r.text)}) == len(worded)
 
 
-@pytest.mark.parametrize("broadcast", [10**6, 0])
-def test_join_of_a_large_group(spark, monkeypatch, broadcast):
+@pytest.mark.parametrize("broadcast,floor", [(10**6, 10**6), (0, 5)])
+def test_join_of_a_large_group(spark, monkeypatch, broadcast, floor):
+    """Also where bands, labels and copies above ``floor`` rows are hot."""
     monkeypatch.setattr(ngram_join, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(ngram_join, "attach", partial(attach, floor=floor))
     monkeypatch.setattr(ngram_join, "BLOCK_TEXTS", 16)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
