@@ -27,11 +27,11 @@ def smallest(df: DataFrame, group, sizes: dict, rows: int,
              spread: int = SPREAD) -> DataFrame | None:
     """``side, h, text``: of each group the ``rows`` different texts with the smallest hashes.
 
-    ``group`` is the column that tells a text's group (null: none), ``sizes`` an upper
-    bound of the rows of each group that is wanted. Hashes come first: only texts whose
+    ``group`` is the column that tells a text's group (null: none), ``sizes`` an
+    estimate of the rows of each group that is wanted. Hashes come first: only texts whose
     hash lies below a limit have their group computed, so that the first look handles
     about ``spread`` texts for each wanted one. A group that shows fewer than ``rows`` (it is rarer
-    than its bound, or holds many copies) is looked at again under a higher limit, in
+    than estimated, or holds many copies) is looked at again under a higher limit, in
     the end under none. The result does not depend on the limits. Copies count once.
     None if no group is asked for.
     """

@@ -41,6 +41,8 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 MAYBE = "(?i)password|passwd|secret|token|api_?key|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
 SAMPLE, SAMPLE_CHARS, AROUND, WINDOW = 300, 20_000, 12, 25
+#: Texts among which one where a base pattern may match is looked for at first.
+MAYBE_ONE_IN = 32
 BEGIN, INSIDE, OUTSIDE = range(3)
 
 _TOKEN = re.compile(r"[^\t\n\f\r ]+")
@@ -346,7 +348,8 @@ def fit_field(texts: list[str], rounds: int = 120, penalty: float = 0.02) -> Fie
 def fit(df: DataFrame, sample: int = SAMPLE, most_chars: int = SAMPLE_CHARS) -> Field | None:
     """Fit on a bounded sample of different whole texts of at most ``most_chars`` characters."""
     short, total = df.select("text").where(F.length("text") <= most_chars), df.count()
-    rows = smallest(short, F.col("text").rlike(MAYBE), {True: total, False: total}, sample, 64)
+    guess = {True: total // MAYBE_ONE_IN, False: total}
+    rows = smallest(short, F.col("text").rlike(MAYBE), guess, sample)
     found = rows.collect()
     texts = [t for side in (True, False) for t in sorted(r.text for r in found if r.side == side)]
     return fit_field(texts)
