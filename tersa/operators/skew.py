@@ -6,8 +6,8 @@ to every row. A plain shuffle join would send all rows of a hot key to one task.
 
 ``attach`` splits the groups by size. A group is *heavy* when it holds more than
 ``1 / MAX_HEAVY`` of all rows, so there can be at most ``MAX_HEAVY`` of them,
-whatever the data: that short list (some megabytes of keys and numbers) is
-broadcast and its rows never move. The rest joins by shuffle, where no key exceeds the heavy limit.
+whatever the data: that short list is broadcast and its rows never move. The
+rest joins by shuffle, where no key exceeds the heavy limit.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_HEAVY = 50_000
+MAX_HEAVY = 1_000
 MIN_HEAVY_ROWS = 1_000_000
 
 
