@@ -44,6 +44,8 @@ SAMPLE, SAMPLE_CHARS, AROUND, WINDOW = 300, 20_000, 12, 25
 #: Texts among which one where a base pattern may match is looked for at first.
 MAYBE_ONE_IN = 32
 BEGIN, INSIDE, OUTSIDE = range(3)
+#: Bytes of text whose tokens are tagged at once: a token takes some twenty times its bytes.
+SLICE = 1 << 20
 
 _TOKEN = re.compile(r"[^\t\n\f\r ]+")
 _IS_HEX = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256))
@@ -214,9 +216,12 @@ class Field:
             keep = codes != values.index("")
             kept = np.concatenate(([0], np.cumsum(keep)))
             starts, codes = kept[starts], codes[keep]
-        table = np.array([memo[v] for v in values]).reshape(-1, 9)
+        table = np.empty((len(values), 9))
+        for i, v in enumerate(values):
+            table[i] = memo[v]
         of_file = np.array([self.file(t) for t in rows]).reshape(-1, 3)
-        emission = table[codes, :3] + np.repeat(of_file, np.diff(starts), axis=0)
+        emission = table[codes, :3]
+        emission += np.repeat(of_file, np.diff(starts), axis=0)
         inner = np.ones(len(codes) + 1, bool)
         inner[starts] = False
         at = np.flatnonzero(inner[:-1])
@@ -393,7 +398,7 @@ def secret_spans(df: DataFrame, field: Field | None) -> DataFrame:
         "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint>>"
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             yield pa.RecordBatch.from_arrays(
                 step(batch, pc.fill_null(batch.column("text"), "")), names=names)
 
@@ -416,7 +421,7 @@ def digests(df: DataFrame, field: Field | None) -> DataFrame:
 
     return per_text(df.select("doc_id", "text"), step,
                     "doc_id long, n_assign long, n_access long, n_hex long,"
-                    "base_sha256 string, spans string")
+                    "base_sha256 string, spans string", SLICE)
 
 
 def secret_scan(df: DataFrame) -> DataFrame:
@@ -441,7 +446,7 @@ def mask_secrets(df: DataFrame) -> DataFrame:
     spans = _scanner(df, fit(df))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE):
             column = batch.column("text")
             texts = pc.fill_null(column, "")
             found = spans(texts)
