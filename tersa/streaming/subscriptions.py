@@ -8,9 +8,15 @@ a batch resolves anew the customers it touches: those of its own events, and tho
 an organisation with news of its customer has ever held. Their result replaces
 the earlier one of the same customers; nobody else is read.
 
+What a look-up needs of an event that names its organisation is who held whom since when,
+a narrow row; such events are never read again. A fact or event that comes twice weighs
+nothing: all of it are maxima and the last rows before a time.
+
 Tables under ``path``, each in folders of its batch, replaced when it is replayed:
-``named`` (folds), ``events`` (by bucket of the customer), ``held`` (who held whom, by
-bucket of the organisation), ``resolved`` (folds of customers, the latest batch counts).
+``named`` (folds), ``events`` (those without a name, by bucket of the customer), ``held``
+(who held whom, by bucket of the organisation), ``holders`` and ``holdings`` (different
+pairs of both, by bucket of the customer and of the organisation), ``resolved`` (folds of
+customers, the latest batch counts).
 """
 
 from __future__ import annotations
@@ -58,10 +64,16 @@ def _stored(spark, path: str, batch_id: int, schema: str, keys: DataFrame, on: s
         "batch", "bucket").join(keys.select(on), on, "left_semi")
 
 
+def _keep(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write by bucket: a file or a few for each, not one of each task."""
+    append_batch(rows.hint("rebalance", "bucket"), path, batch_id, "bucket")
+
+
 def write_subscriptions(events: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS):
     """Keep the tables of ``path`` up to date with a stream of billing events."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    held_schema = "org_id string, customer string, ts timestamp, event_id " \
+    pair_schema = "org_id string, customer string"
+    held_schema = f"{pair_schema}, ts timestamp, event_id " \
         + events.schema["event_id"].dataType.simpleString()
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -69,32 +81,32 @@ def write_subscriptions(events: DataFrame, path: str, checkpoint: str, buckets:
         news = materialize(accounts.relevant_events(batch).where(accounts._WRITES_STATE), "news")
         named = news.withColumn("org", F.expr(_NAMED))
         append_batch(fold(accounts._changes(named), "org_id"), f"{path}/named", batch_id)
-        append_batch(select(news.where("customer IS NOT NULL"),
-                            {"bucket": _bucket("customer", buckets)}),
-                     f"{path}/events", batch_id, "bucket")
-        facts = materialize(named.where("org IS NOT NULL AND customer IS NOT NULL").selectExpr(
-            "org AS org_id", "customer", "ts", "event_id", f"{_bucket('org', buckets)} AS bucket"),
-            "facts")
-        append_batch(facts, f"{path}/held", batch_id, "bucket")
-        append_batch(_resolved(spark, news, facts, batch_id), f"{path}/resolved", batch_id)
-
-    def _resolved(spark, news, facts, batch_id):
-        with_news = facts.select("org_id", "bucket").distinct()
-        others = _stored(spark, f"{path}/held", batch_id, held_schema, with_news, "org_id")
+        _keep(select(news.where(f"customer IS NOT NULL AND {_NAMED} IS NULL"),
+                     {"bucket": _bucket("customer", buckets)}), f"{path}/events", batch_id)
+        facts = named.where("org IS NOT NULL AND customer IS NOT NULL").selectExpr(
+            "org AS org_id", "customer", "ts", "event_id", f"{_bucket('org', buckets)} AS bucket")
+        _keep(facts, f"{path}/held", batch_id)
+        pairs = materialize(facts.select("org_id", "customer", "bucket").distinct(), "pairs")
+        _keep(pairs, f"{path}/holdings", batch_id)
+        _keep(select(pairs, {"bucket": _bucket("customer", buckets)}), f"{path}/holders", batch_id)
+        append_batch(_resolved(spark, news, pairs, batch_id), f"{path}/resolved", batch_id)
+
+    def _resolved(spark, news, pairs, batch_id):
+        with_news = pairs.select("org_id", "bucket").distinct()
+        others = _stored(spark, f"{path}/holdings", batch_id, pair_schema, with_news, "org_id")
         touched = materialize(
             news.where("customer IS NOT NULL").select("customer").unionByName(
                 others.select("customer")).distinct().selectExpr(
                 "customer", f"{_bucket('customer', buckets)} AS bucket"), "touched")
-        theirs = materialize(_stored(
-            spark, f"{path}/events", batch_id, schema, touched, "customer").dropDuplicates(
-            ["event_id"]), "theirs")
-        owners = theirs.selectExpr(f"{_NAMED} AS org_id").where("org_id IS NOT NULL").distinct()
+        theirs = _stored(spark, f"{path}/events", batch_id, schema, touched, "customer")
+        owners = _stored(
+            spark, f"{path}/holders", batch_id, pair_schema, touched, "customer").select(
+            "org_id").distinct()
         owners = materialize(select(owners, {"bucket": _bucket("org_id", buckets)}), "owners")
         held = _stored(spark, f"{path}/held", batch_id, held_schema, owners, "org_id")
-        facts_again = held.withColumns({
+        facts = held.withColumns({
             "type": F.lit(fixed.CHECKOUT_EVENT), "mode": F.lit("subscription")})
-        # Facts of events that are there already are the same facts.
-        every = theirs.unionByName(facts_again, allowMissingColumns=True).dropDuplicates(["event_id"])
+        every = theirs.unionByName(facts, allowMissingColumns=True)
         found = accounts.with_organisation(every).where(f"{_NAMED} IS NULL")
         changes = accounts._changes(found)
         folds = fold(changes.withColumn("__buyer", F.col("customer")), "__buyer", "org_id")
