@@ -46,13 +46,13 @@ from .common import SLICE_BYTES, materialize, per_text, settle, slices, small_ba
 from .toxicity import word_keys
 
 K1, B = 1.2, 0.75
-BLOCK_QUERIES, BLOCK_DOCS = 4_000, 64
+BLOCK_QUERIES, BLOCK_DOCS = 12_000, 64
 #: Bytes of text and documents of a shard.
 SHARD_BYTES, SHARD_DOCS = 32 << 20, 16_384
 PLACES, SLACK = 9, 1e-8
 #: A term's share of the queries times its share of a shard's documents from which on it is
 #: a row of the matrix; most such rows; queries that are multiplied at once.
-MATRIX_SHARE, MATRIX_TERMS, MATRIX_QUERIES = 0.006, 1024, 256
+MATRIX_SHARE, MATRIX_TERMS, MATRIX_QUERIES = 0.003, 1024, 256
 #: Documents and postings of queries that are added up at once.
 STEP = 1 << 19
 #: Relative error that sums of ``MATRIX_TERMS`` products of single precision stay far below.
@@ -60,7 +60,7 @@ MARGIN = 5e-4
 #: Of the threshold, what the terms behind the pivot may add up to.
 BEHIND = 0.05
 #: Shards searched first: one in so many, and so many at most.
-FIRST, MOST_FIRST = 8, 32
+FIRST, MOST_FIRST = 16, 24
 
 
 def impacts(tf, length, mean_length: float, idf):
@@ -304,7 +304,7 @@ def _found(table: DataFrame, block, thresholds, mean_length: float, k: int) -> D
                 kept = np.repeat(mine, n)
                 shard = Shard(ids, lengths, np.concatenate([[0], np.cumsum(n[where])]), doc[kept],
                               tf[kept], idf[at], asked[at], mean_length)
-                place = np.full(len(known), -1)
+                place = np.full(len(known), -1, np.int32)
                 place[at] = np.arange(len(at))
                 least = np.maximum(floor, reached)
                 for i, docs, new in shard.search(place[terms], start, own, k, least):
